@@ -121,13 +121,15 @@ def normalise_samples(readings: DataFrame) -> DataFrame:
         F.col("energy_kcal").alias("total_energy_burned_cal"),
         F.col("strokes").alias("total_swimming_stroke_count"),
         F.col("flights").alias("total_flights_climbed")))
-    own = F.coalesce("metadata", F.lit("{}"))
+
+    def entries(text: Column) -> Column:
+        """A JSON object as a map that keeps each value's type; anything else as an empty map."""
+        kind = "map<string,variant>"
+        return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", kind), F.create_map().cast(kind))
 
     def merged(extra: Column) -> Column:
-        as_map = "map<string,string>"
-        return F.to_json(F.map_concat(
-            F.map_filter(F.from_json(own, as_map), lambda k, _: ~F.map_contains_key(F.from_json(extra, as_map), k)),
-            F.from_json(extra, as_map)))
+        kept = F.map_filter(entries(F.col("metadata")), lambda key, _: ~F.map_contains_key(entries(extra), key))
+        return F.to_json(F.map_concat(kept, entries(extra)))
 
     return readings.select(
         "user_id", "metric_type",

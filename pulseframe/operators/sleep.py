@@ -60,6 +60,19 @@ def nights_by_priority(samples: DataFrame, sources: list[str], tz: str = DEFAULT
         F.min_by(F.struct(*cols), F.col("rank")).alias("n")).select("user_id", "night_date", "n.*"))
 
 
+def as_points(nightly: DataFrame) -> DataFrame:
+    """Nights as daily points of the sleep metric, in minutes asleep.
+
+    The mean of sleep codes has no meaning; minutes asleep is what thresholds,
+    baselines and comparisons of sleep are about.
+    """
+    m = F.col("total_minutes")
+    return nightly.select(
+        "user_id", F.lit(SLEEP).alias("metric_type"), F.col("night_date").alias("date"), m.alias("avg_value"),
+        m.alias("min_value"), m.alias("max_value"), m.alias("sum_value"), F.lit(1).cast("bigint").alias("sample_count"),
+        F.lit("min").alias("unit"), F.lit("raw").alias("source"))
+
+
 def summary(nightly: DataFrame) -> DataFrame:
     """Nights with sleep and their mean hours, per user."""
     return nightly.groupBy("user_id").agg(

@@ -13,7 +13,7 @@ from ..functions.numbers import half_up
 from ..functions.time import as_date, days_before, local_day, local_midnight
 from ..operators.scans import for_metrics
 from ..operators.trends import islands
-from ..operators.stats import correlation, metric_stats
+from ..operators.stats import correlation
 
 LOAD_SLOT_MINUTES = 15  # every time zone's midnight falls on a quarter hour
 
@@ -22,6 +22,14 @@ def day_values(points: DataFrame, metric: str, name: str) -> DataFrame:
     return for_metrics(points, metric).select("user_id", "date", F.col("avg_value").alias(name))
 
 
+def side_by_side(points: DataFrame, **metrics: str) -> DataFrame:
+    """One row per user and day with a column per named metric, NULL where it has no
+    data: ``side_by_side(points, hrv=HRV, rhr=RESTING_HR)``.  One aggregation, no joins."""
+    wanted = for_metrics(points, *metrics.values())
+    return wanted.groupBy("user_id", "date").agg(*[
+        F.max(F.when(F.col("metric_type") == m, F.col("avg_value"))).alias(name) for name, m in metrics.items()])
+
+
 def morning_after(nights: DataFrame, hrv: DataFrame) -> DataFrame:
     """Nights joined to the HRV of the following day."""
     following = nights.withColumn("date", F.date_add("night_date", 1))
@@ -91,10 +99,10 @@ def heavy_week_next_hrv(workouts: DataFrame, hrv: DataFrame, min_sessions: int =
             .withColumn("change", half_up(F.col("next_week_hrv") - F.col("week_hrv"), 1)))
 
 
-def suppression_runs(hrv: DataFrame, rhr: DataFrame, min_days: int = 2) -> DataFrame:
+def suppression_runs(points: DataFrame, min_days: int = 2) -> DataFrame:
     """Runs of consecutive days with HRV under and resting heart rate over the user's mean."""
     user = Window.partitionBy("user_id")
-    both = hrv.join(rhr, ["user_id", "date"])
+    both = side_by_side(points, hrv=S.HRV, rhr=S.RESTING_HR).dropna()
     marked = both.withColumn("hrv_mean", half_up(F.avg("hrv").over(user), 4)).withColumn(
         "rhr_mean", half_up(F.avg("rhr").over(user), 4))
     bad = marked.filter((F.col("hrv") < F.col("hrv_mean")) & (F.col("rhr") > F.col("rhr_mean")))
@@ -109,24 +117,22 @@ def recovery_score(points: DataFrame, nights: DataFrame, as_of, baseline_days: i
     against the user's own percentiles.  The ladder values are fixed."""
     as_of = as_date(as_of)
     window = points.filter(F.col("date").between(F.lit(days_before(as_of, baseline_days)), F.lit(as_of)))
-    base = metric_stats(for_metrics(window, S.HRV, S.RESTING_HR))
-
-    def part(metric, tag):
-        cuts = for_metrics(base, metric).select("user_id", *[F.col(p).alias(f"{tag}_{p}") for p in ("p25", "p50", "p75")])
-        return day_values(window, metric, tag).join(cuts, "user_id")
-
+    days = side_by_side(window, hrv=S.HRV, rhr=S.RESTING_HR)
+    quartiles = F.array(F.lit(0.25), F.lit(0.50), F.lit(0.75))
+    base = days.groupBy("user_id").agg(F.percentile("hrv", quartiles).alias("h"), F.percentile("rhr", quartiles).alias("r"))
+    base = base.select("user_id", *[half_up(F.col(c)[i], 2).alias(f"{c}{q}") for c in "hr" for i, q in enumerate((25, 50, 75))])
     slept = nights.select("user_id", F.date_add("night_date", 1).alias("date"), "sleep_hours")
-    days = part(S.HRV, "hrv").join(part(S.RESTING_HR, "rhr"), ["user_id", "date"]).join(slept, ["user_id", "date"])
+    scored = days.dropna().join(slept, ["user_id", "date"]).join(base, "user_id")
     hrv, rhr, h = F.col("hrv"), F.col("rhr"), F.col("sleep_hours")
-    hrv_points = (F.when(hrv > F.col("hrv_p75"), 40).when(hrv >= F.col("hrv_p50"), 30)
-                  .when(hrv >= F.col("hrv_p25"), 20).otherwise(10))
-    rhr_points = (F.when(rhr <= F.col("rhr_p25"), 30).when(rhr <= F.col("rhr_p50"), 20)
-                  .when(rhr <= F.col("rhr_p75"), 10).otherwise(5))
+    hrv_points = (F.when(hrv > F.col("h75"), 40).when(hrv >= F.col("h50"), 30).when(hrv >= F.col("h25"), 20)
+                  .otherwise(10))
+    rhr_points = (F.when(rhr <= F.col("r25"), 30).when(rhr <= F.col("r50"), 20).when(rhr <= F.col("r75"), 10)
+                  .otherwise(5))
     sleep_points = F.when(h >= 7.5, 30).when(h >= 6.5, 20).when(h >= 6, 10).otherwise(5)
-    return days.select("user_id", "date", "hrv", "rhr", "sleep_hours",
-                       hrv_points.cast("bigint").alias("hrv_points"), rhr_points.cast("bigint").alias("rhr_points"),
-                       sleep_points.cast("bigint").alias("sleep_points"),
-                       (hrv_points + rhr_points + sleep_points).cast("bigint").alias("score"))
+    return scored.select("user_id", "date", "hrv", "rhr", "sleep_hours",
+                         hrv_points.cast("bigint").alias("hrv_points"), rhr_points.cast("bigint").alias("rhr_points"),
+                         sleep_points.cast("bigint").alias("sleep_points"),
+                         (hrv_points + rhr_points + sleep_points).cast("bigint").alias("score"))
 
 
 def device_difference(samples: DataFrame, metric: str, a: str = "Apple Watch", b: str = "Oura",
@@ -145,9 +151,7 @@ def illness_flag(points: DataFrame) -> DataFrame:
     """Days with oxygen saturation, respiratory rate and HRV, each judged against the
     user's mean and deviation, and what their combination suggests."""
     user = Window.partitionBy("user_id")
-    days = day_values(points, S.SPO2, "spo2").join(
-        day_values(points, S.RESPIRATORY_RATE, "resp"), ["user_id", "date"]).join(
-        day_values(points, S.HRV, "hrv"), ["user_id", "date"])
+    days = side_by_side(points, spo2=S.SPO2, resp=S.RESPIRATORY_RATE, hrv=S.HRV).dropna()
 
     def edge(c, sign):
         return half_up(F.avg(c).over(user) + sign * F.stddev_pop(c).over(user), 4)

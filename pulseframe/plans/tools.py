@@ -7,6 +7,8 @@ report with several parts returns them by name.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
@@ -20,24 +22,36 @@ def _quantities(samples: DataFrame, *metrics: str, user_id=None) -> DataFrame:
     return scans.for_metrics(scans.for_user(samples, user_id), *metrics)
 
 
-def _series(samples, summaries, as_of, days, raw_days, tz, metrics, user_id) -> DataFrame:
-    """Daily points of `metrics` (all quantities when empty) for the window ending at `as_of`."""
-    samples = scans.for_metrics(scans.for_user(samples, user_id), *metrics)
-    if not metrics:
-        samples = samples.filter(is_summarisable())
+def _tier_rows(samples, summaries, metrics, user_id):
+    """Both tiers cut down to a user and to `metrics`, or to all quantities when empty."""
+    samples = scans.for_metrics(scans.for_user(samples, user_id), *metrics).filter(is_summarisable())
     if summaries is not None:
         summaries = scans.for_metrics(scans.for_user(summaries, user_id), *metrics)
+    return samples, summaries
+
+
+def _range(samples, summaries, as_of, start, end, raw_days, tz, metrics, user_id) -> DataFrame:
+    """Daily points of a closed range.  Sleep, when asked for, comes as minutes per night;
+    the other category metrics have no daily value."""
+    points = daily.series_range(*_tier_rows(samples, summaries, metrics, user_id), as_of, start, end, raw_days, tz)
+    if S.SLEEP not in metrics:
+        return points
+    # A night runs past midnight, so its segments may start on the following day.
+    window = in_days("started_at", start, as_date(end) + dt.timedelta(days=1), tz)
+    segs = sleep.segments(scans.for_user(samples, user_id).filter(window), tz=tz)
+    nightly = sleep.nights(segs.filter(F.col("night_date").between(F.lit(as_date(start)), F.lit(as_date(end)))))
+    asleep = sleep.as_points(nightly)
+    return asleep if tuple(metrics) == (S.SLEEP,) else points.unionByName(asleep)
+
+
+def _series(samples, summaries, as_of, days, raw_days, tz, metrics, user_id) -> DataFrame:
+    """Daily points of the window ending at `as_of`."""
     start = days_before(as_of, clamp(days, 1, S.MAX_DAYS))
-    return daily.series_range(samples, summaries, as_of, start, as_of, raw_days, tz)
+    return _range(samples, summaries, as_of, start, as_of, raw_days, tz, metrics, user_id)
 
 
 def _tiered(samples, summaries, as_of, days, raw_days, tz, metrics, user_id) -> DataFrame:
-    samples = scans.for_metrics(scans.for_user(samples, user_id), *metrics)
-    if not metrics:
-        samples = samples.filter(is_summarisable())
-    if summaries is not None:
-        summaries = scans.for_metrics(scans.for_user(summaries, user_id), *metrics)
-    return daily.tiered_daily(samples, summaries, as_of, days, raw_days, tz)
+    return daily.tiered_daily(*_tier_rows(samples, summaries, metrics, user_id), as_of, days, raw_days, tz)
 
 
 # --- overview --------------------------------------------------------------
@@ -195,12 +209,7 @@ def compare_periods(samples: DataFrame, summaries: DataFrame | None, as_of, a: t
                     user_id=None, raw_days: int = S.RAW_DAYS, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Two date ranges of a metric, their difference and a verdict."""
     a, b = check_range(*a), check_range(*b)
-    samples = scans.for_metrics(scans.for_user(samples, user_id), *metrics)
-    if not metrics:
-        samples = samples.filter(is_summarisable())
-    if summaries is not None:
-        summaries = scans.for_metrics(scans.for_user(summaries, user_id), *metrics)
-    points = daily.series_range(samples, summaries, as_of, min(a[0], b[0]), max(a[1], b[1]), raw_days, tz)
+    points = _range(samples, summaries, as_of, min(a[0], b[0]), max(a[1], b[1]), raw_days, tz, metrics, user_id)
     return stats.compare_periods(points, a, b, label_a, label_b)
 
 

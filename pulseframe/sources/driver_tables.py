@@ -35,21 +35,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def _sample(metric: str, k: Column) -> Column:
-    """The sample of one metric that an event carries, as a struct."""
-    start, value = F.col("ts"), F.col("value")
+def _fields(metric: str, k: Column) -> dict[str, Column]:
+    """What one metric's sample takes from an event, besides its user and start."""
+    value = F.col("value")
     device = F.when(F.col("event_id") % 4 == 0, "Apple Watch Series 9").otherwise("Oura Ring")
+    unit, ended, metadata = "count/min", F.lit(None).cast("timestamp"), F.lit(None).cast("string")
 
     def after(minutes: Column) -> Column:
-        return F.timestamp_add("MINUTE", minutes, start)
+        return F.timestamp_add("MINUTE", minutes, F.col("ts"))
 
-    unit, ended, metadata = "count/min", F.lit(None).cast("timestamp"), F.lit(None).cast("string")
     if metric == S.STEPS:
         unit, device = "count", F.lit("iPhone")
     elif metric == S.HRV:
         unit = "ms"
     elif metric == S.SLEEP:
-        value, unit, ended = (k % 6).cast("double"), "category", after(10 + k)
+        value, unit, ended = k % 6, "category", after(10 + k)
     elif metric == S.WORKOUT:
         seconds = (60 * k).cast("double")
         name = F.when(k % 3 == 0, "Running").when(k % 3 == 1, "Cycling").otherwise("Yoga")
@@ -67,26 +67,39 @@ def _sample(metric: str, k: Column) -> Column:
         value, unit = 35 + k / 5.0, "ml/kg·min"
     elif metric == S.ACTIVE_ENERGY:
         unit = "kcal"
-    return F.struct(
-        F.col("user_id"), F.lit(metric).alias("metric_type"), value.cast("double").alias("value"),
-        F.lit(unit).alias("unit"), device.alias("source_device"), start.alias("started_at"),
-        ended.alias("ended_at"), metadata.alias("metadata"),
-        (F.col("event_id") * 2 + (0 if metric == S.STEPS else 1)).alias("seq"))
+    return {"metric_type": F.lit(metric), "value": value.cast("double"), "unit": F.lit(unit),
+            "source_device": device, "ended_at": ended, "metadata": metadata,
+            "seq": F.col("event_id") * 2 + (0 if metric == S.STEPS else 1)}
 
 
 def samples(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
-    """Raw samples of the named metrics (the five base metrics by default)."""
+    """Raw samples of the named metrics (the five base metrics by default).
+
+    User and start stay plain columns, so filters on them reach the scan even
+    where one event yields several samples.
+    """
     metrics = metrics or BASE_METRICS
-    wanted = sorted({t for m in metrics for t in EVENT_TYPES[m]})
+    carriers = [t for m in metrics for t in EVENT_TYPES[m]]
     src = events(spark, sf_dir)
-    if len(wanted) < len(EVENT_TYPES[S.STEPS]):
-        src = src.filter(F.col("event_type").isin(*wanted))
+    if len(set(carriers)) < len(EVENT_TYPES[S.STEPS]):
+        src = src.filter(F.col("event_type").isin(*sorted(set(carriers))))
     src = src.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    k = F.col("k")
-    if len(metrics) == 1:
-        return src.select(_sample(metrics[0], k).alias("s")).select("s.*")
-    carried = [F.when(F.col("event_type").isin(*EVENT_TYPES[m]), _sample(m, k)) for m in metrics]
-    return src.select(F.inline(F.array_compact(F.array(*carried))))
+    fields = {m: _fields(m, F.col("k")) for m in metrics}
+
+    def carried(m: str) -> Column:
+        return F.col("event_type").isin(*EVENT_TYPES[m])
+
+    if len(carriers) == len(set(carriers)):  # at most one sample per event
+        columns = []
+        for name in fields[metrics[0]]:
+            pick = fields[metrics[0]][name] if len(metrics) == 1 else F.coalesce(
+                *[F.when(carried(m), fields[m][name]) for m in metrics])
+            columns.append(pick.alias(name))
+        rows = src.select("user_id", F.col("ts").alias("started_at"), *columns)
+    else:
+        each = [F.when(carried(m), F.struct(*[c.alias(n) for n, c in fields[m].items()])) for m in metrics]
+        rows = src.select("user_id", F.col("ts").alias("started_at"), F.inline(F.array_compact(F.array(*each))))
+    return rows.select(*S.SAMPLE_COLUMNS)
 
 
 def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,8 @@ add("sleep_nightly", samples(SLEEP), segs(), NIGHTS,
 add("sleep_nights_priority", samples(SLEEP), segs("TRUE", "every"),
     """segs AS (SELECT * FROM (SELECT *, CASE WHEN source_device ILIKE '%Oura%' THEN 0 ELSE 1 END r FROM every)
   QUALIFY r = min(r) OVER (PARTITION BY user_id, night_date))""", NIGHTS, "SELECT * FROM nights")
+add("search_sleep_minutes", samples(SLEEP), segs(), NIGHTS, f"""SELECT user_id, '{SLEEP}' metric_type, night_date AS date,
+{rnd('total_minutes', 2)} AS value, 'daily_avg' value_type, 'raw' source FROM nights WHERE total_minutes <= 100""")
 add("sleep_stage_rows", samples(SLEEP), f"""SELECT user_id, started_at, ended_at, value, {rnd(MIN, 1)} duration_min,
 CASE value WHEN 2 THEN 'Awake' WHEN 3 THEN 'Core' WHEN 4 THEN 'Deep' ELSE 'REM' END stage FROM samples WHERE value IN (2, 3, 4, 5)""")
 add("sleep_sessions", samples(SLEEP), """o AS (SELECT *, max(ended_at) OVER (PARTITION BY user_id ORDER BY started_at

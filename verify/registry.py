@@ -382,6 +382,12 @@ def search_counts(spark, d):
     return tools.search_records(*tiers(spark, d, *QUANTITIES), AS_OF, 90, 20.0, 120.0, raw_days=RAW_DAYS)["counts"]
 
 
+@query
+def search_sleep_minutes(spark, d):
+    return tools.search_records(raw(spark, d, S.SLEEP), None, AS_OF, 90, max_value=100.0, limit=None,
+                                metrics=(S.SLEEP,))["records"]
+
+
 @query
 def compare_periods(spark, d):
     return tools.compare_periods(*tiers(spark, d, *QUANTITIES), AS_OF, ("2024-01-03", "2024-01-16"),
@@ -652,9 +658,7 @@ def streaks(spark, d):
 
 @query
 def suppression_runs(spark, d):
-    p = points(spark, d, S.HRV, S.RESTING_HR)
-    return analyses.suppression_runs(analyses.day_values(p, S.HRV, "hrv"),
-                                     analyses.day_values(p, S.RESTING_HR, "rhr"), 1)
+    return analyses.suppression_runs(points(spark, d, S.HRV, S.RESTING_HR), 1)
 
 
 @query
