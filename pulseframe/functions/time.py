@@ -15,6 +15,7 @@ from pyspark.sql import Column, functions as F
 
 from ..schema import BACKFILL_CHUNK_DAYS, BACKFILL_EPOCH, DEFAULT_TZ, MAX_DAYS
 
+DAY_MICROS = 86_400_000_000
 NIGHT_SHIFT_HOURS = 6  # a segment that starts before 06:00 belongs to the night before
 
 
@@ -61,22 +62,32 @@ def day_start(day: dt.date, tz: str = DEFAULT_TZ) -> dt.datetime:
     return dt.datetime.combine(as_date(day), dt.time(), ZoneInfo(tz)).astimezone(dt.timezone.utc)
 
 
-def local_time(ts: Column | str, tz: str = DEFAULT_TZ) -> Column:
-    """Wall-clock time of an instant in `tz`, as TIMESTAMP_NTZ."""
-    return F.convert_timezone(None, F.lit(tz), as_col(ts))
+def local_micros(ts: Column | str, tz: str = DEFAULT_TZ) -> Column:
+    """Wall-clock time of an instant in `tz`, as microseconds since 1970-01-01 00:00 there."""
+    return F.unix_micros(F.from_utc_timestamp(as_col(ts), tz))
 
 
-def utc_time(ts: Column | str) -> Column:
-    return local_time(ts, "UTC")
+def _day_of(micros: Column) -> Column:
+    return F.date_from_unix_date(F.floor(micros / DAY_MICROS).cast("int"))
 
 
 def local_day(ts: Column | str, tz: str = DEFAULT_TZ) -> Column:
-    return F.to_date(local_time(ts, tz))
+    return _day_of(local_micros(ts, tz))
+
+
+def local_minute(ts: Column | str, tz: str = DEFAULT_TZ) -> Column:
+    """Minute of the local day, 0 to 1439."""
+    return F.pmod(F.floor(local_micros(ts, tz) / 60_000_000), F.lit(1440))
 
 
 def night_date(ts: Column | str, tz: str = DEFAULT_TZ) -> Column:
     """The night an instant belongs to: its local day after stepping back six hours."""
-    return F.to_date(local_time(ts, tz) - F.expr(f"INTERVAL {NIGHT_SHIFT_HOURS} HOURS"))
+    return _day_of(local_micros(ts, tz) - NIGHT_SHIFT_HOURS * 3_600_000_000)
+
+
+def utc_time(ts: Column | str) -> Column:
+    """An instant's UTC wall-clock time, as TIMESTAMP_NTZ."""
+    return F.to_utc_timestamp(as_col(ts), F.current_timezone()).cast("timestamp_ntz")
 
 
 def local_midnight(day: Column | str, tz: str = DEFAULT_TZ) -> Column:

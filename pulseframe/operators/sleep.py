@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.metrics import stage_name
 from ..functions.numbers import half_up, ratio
-from ..functions.time import local_time, minutes_between, night_date
+from ..functions.time import local_minute, minutes_between, night_date
 from ..schema import ASLEEP_CORE, ASLEEP_DEEP, ASLEEP_REM, ASLEEP_STAGES, DEFAULT_TZ, SLEEP
 from .scans import for_metrics, source_matches
 from .stats import correlation
@@ -114,9 +114,7 @@ def best_worst_night(nightly: DataFrame) -> DataFrame:
 
 def bedtime_effect(nightly: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
     """Per user: mean bedtime (minutes after 18:00 local) and its correlation with deep sleep."""
-    start = local_time("bedtime", tz)
-    clock = F.hour(start) * 60 + F.minute(start)
-    late = (clock + 360) % 1440  # 18:00 -> 0, midnight -> 360, noon -> 1080
+    late = (local_minute("bedtime", tz) + 360) % 1440  # 18:00 -> 0, midnight -> 360, noon -> 1080
     x, y = late.cast("double"), F.col("deep_minutes")
     return nightly.groupBy("user_id").agg(
         F.count("*").alias("nights"), half_up(F.avg(x), 1).alias("avg_bedtime_min_after_18h"),

@@ -7,6 +7,8 @@ the event types and columns those metrics use.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
@@ -75,31 +77,34 @@ def _fields(metric: str, k: Column) -> dict[str, Column]:
 def samples(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
     """Raw samples of the named metrics (the five base metrics by default).
 
-    User and start stay plain columns, so filters on them reach the scan even
-    where one event yields several samples.
+    Metrics carried by different event types share one scan; only metrics that
+    claim the same events need another.  Filters on user, time and metric reach
+    the scans, and a report on one metric reads only its scan.
     """
-    metrics = metrics or BASE_METRICS
-    carriers = [t for m in metrics for t in EVENT_TYPES[m]]
+    layers: list[dict[str, str]] = []  # event type -> metric, one dict per scan
+    for m in metrics or BASE_METRICS:
+        free = next((layer for layer in layers if not layer.keys() & set(EVENT_TYPES[m])), None)
+        if free is None:
+            layers.append(free := {})
+        free.update(dict.fromkeys(EVENT_TYPES[m], m))
+    parts = [_layer(spark, sf_dir, list(dict.fromkeys(layer.values()))) for layer in layers]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _layer(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
+    types = sorted({t for m in metrics for t in EVENT_TYPES[m]})
     src = events(spark, sf_dir)
-    if len(set(carriers)) < len(EVENT_TYPES[S.STEPS]):
-        src = src.filter(F.col("event_type").isin(*sorted(set(carriers))))
+    if len(types) < len(EVENT_TYPES[S.STEPS]):
+        src = src.filter(F.col("event_type").isin(*types))
     src = src.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     fields = {m: _fields(m, F.col("k")) for m in metrics}
-
-    def carried(m: str) -> Column:
-        return F.col("event_type").isin(*EVENT_TYPES[m])
-
-    if len(carriers) == len(set(carriers)):  # at most one sample per event
-        columns = []
-        for name in fields[metrics[0]]:
-            pick = fields[metrics[0]][name] if len(metrics) == 1 else F.coalesce(
-                *[F.when(carried(m), fields[m][name]) for m in metrics])
-            columns.append(pick.alias(name))
-        rows = src.select("user_id", F.col("ts").alias("started_at"), *columns)
-    else:
-        each = [F.when(carried(m), F.struct(*[c.alias(n) for n, c in fields[m].items()])) for m in metrics]
-        rows = src.select("user_id", F.col("ts").alias("started_at"), F.inline(F.array_compact(F.array(*each))))
-    return rows.select(*S.SAMPLE_COLUMNS)
+    columns = []
+    for name in fields[metrics[0]]:
+        pick = fields[metrics[-1]][name]
+        for m in reversed(metrics[:-1]):
+            pick = F.when(F.col("event_type").isin(*EVENT_TYPES[m]), fields[m][name]).otherwise(pick)
+        columns.append(pick.alias(name))
+    return src.select("user_id", F.col("ts").alias("started_at"), *columns).select(*S.SAMPLE_COLUMNS)
 
 
 def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

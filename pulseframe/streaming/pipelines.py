@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as S
 from ..functions.numbers import half_up
-from ..functions.time import local_time
+from ..functions.time import local_day, local_micros
 from ..operators import daily, ingest
 
 BATCH_FILES = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("batch_no", T.LongType()),
@@ -51,17 +51,17 @@ def daily_points(spark: SparkSession, landing: str, schema, sink: str, checkpoin
                  tz: str = S.DEFAULT_TZ) -> None:
     """Daily points of days the watermark has passed.
 
-    Event time is the local wall clock, so one-day windows are local days.
+    Event time is the local wall clock read as if it were UTC, so one-day windows
+    are local days.
     """
     rows = (spark.readStream.schema(schema).parquet(landing).filter(F.col("value").isNotNull())
-            .withColumn("wall", F.convert_timezone(F.lit("UTC"), F.current_timezone(), local_time("started_at", tz)).cast("timestamp"))
+            .withColumn("wall", F.timestamp_micros(local_micros("started_at", tz)))
             .withWatermark("wall", delay))
     points = rows.groupBy("user_id", "metric_type", F.window("wall", "1 day").alias("w")).agg(
         half_up(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"),
         F.max("value").alias("max_value"), half_up(F.sum("value"), 4).alias("sum_value"),
         F.count("value").alias("sample_count"))
-    day = F.to_date(F.convert_timezone(None, F.lit("UTC"), F.col("w.start")))
-    drain(points.withColumn("date", day).drop("w"), sink, checkpoint)
+    drain(points.withColumn("date", local_day("w.start", "UTC")).drop("w"), sink, checkpoint)
 
 
 def closed_and_open(closed: DataFrame, samples: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:

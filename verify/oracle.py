@@ -139,11 +139,11 @@ FROM ids GROUP BY 1, 2, 3""")
 PAYLOAD = f"""batches AS (SELECT user_id, event_id batch_no, value, ts, {_K} k,
   CAST(CASE WHEN {_K} < 10 THEN 0 ELSE {_K} // 10 + 1 END AS BIGINT) sample_count FROM events)"""
 VERDICT = "CASE WHEN sample_count = 0 THEN 'empty' WHEN sample_count > 9 THEN 'too many samples' WHEN k * 3 > 256 THEN 'string too long' ELSE 'accepted' END"
-ACCEPTED = f"""rows AS (SELECT user_id, batch_no, p pos, value + p AS value, 3 * k device_length,
+ACCEPTED = f"""rows AS (SELECT user_id, batch_no, p pos, value + p AS value,
   date_trunc('microsecond', ts) + to_minutes(CAST(CASE WHEN p = sample_count - 1 THEN p ELSE p + 1 END AS BIGINT)) started_at
   FROM (SELECT *, unnest(range(sample_count)) p FROM batches WHERE {VERDICT} = 'accepted'))"""
 add("ingest_validate", PAYLOAD, f"SELECT user_id, batch_no, sample_count, {VERDICT} verdict FROM batches")
-add("ingest_batch", PAYLOAD, ACCEPTED, f"""SELECT user_id, '{STEPS}' metric_type, value, started_at, CAST(device_length AS BIGINT) device_length FROM rows
+add("ingest_batch", PAYLOAD, ACCEPTED, f"""SELECT user_id, '{STEPS}' metric_type, value, started_at, 'Watch' source_device FROM rows
 QUALIFY row_number() OVER (PARTITION BY user_id, epoch_ms(started_at) ORDER BY batch_no DESC, pos DESC) = 1""")
 RESENT = """resent AS (SELECT * FROM samples UNION ALL SELECT * REPLACE (value + 1 AS value, seq + 1000000000000 AS seq)
   FROM samples WHERE source_device = 'Oura Ring')"""
