@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 
@@ -37,41 +37,28 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def _fields(metric: str, k: Column) -> dict[str, Column]:
-    """What one metric's sample takes from an event, besides its user and start."""
-    value = F.col("value")
-    device = F.when(F.col("event_id") % 4 == 0, "Apple Watch Series 9").otherwise("Oura Ring")
-    unit, ended, metadata = "count/min", F.lit(None).cast("timestamp"), F.lit(None).cast("string")
-
-    def after(minutes: Column) -> Column:
-        return F.timestamp_add("MINUTE", minutes, F.col("ts"))
-
-    if metric == S.STEPS:
-        unit, device = "count", F.lit("iPhone")
-    elif metric == S.HRV:
-        unit = "ms"
-    elif metric == S.SLEEP:
-        value, unit, ended = k % 6, "category", after(10 + k)
-    elif metric == S.WORKOUT:
-        seconds = (60 * k).cast("double")
-        name = F.when(k % 3 == 0, "Running").when(k % 3 == 1, "Cycling").otherwise("Yoga")
-        metadata = F.to_json(F.struct(
-            name.alias("workout_type"), seconds.alias("duration_seconds"),
-            F.col("value").alias("total_energy_burned_cal")))
-        value, unit, ended = seconds, "seconds", after(k)
-    elif metric == S.SPO2:
-        value, unit = 0.9 + k / 1000.0, "%"
-    elif metric == S.RESPIRATORY_RATE:
-        value = 12 + k / 10.0
-    elif metric == S.WEIGHT:
-        value, unit = 60 + k / 5.0, "kg"
-    elif metric == S.VO2MAX:
-        value, unit = 35 + k / 5.0, "ml/kg·min"
-    elif metric == S.ACTIVE_ENERGY:
-        unit = "kcal"
-    return {"metric_type": F.lit(metric), "value": value.cast("double"), "unit": F.lit(unit),
-            "source_device": device, "ended_at": ended, "metadata": metadata,
-            "seq": F.col("event_id") * 2 + (0 if metric == S.STEPS else 1)}
+K = "cast(get_json_object(props, '$.k') as int)"
+DEVICE = "CASE WHEN event_id % 4 = 0 THEN 'Apple Watch Series 9' ELSE 'Oura Ring' END"
+WORKOUT_JSON = f"""to_json(named_struct(
+    'workout_type', CASE {K} % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'Cycling' ELSE 'Yoga' END,
+    'duration_seconds', cast(60 * {K} as double), 'total_energy_burned_cal', value))"""
+# What each metric's sample takes from its event; absent fields are the defaults.
+DEFAULTS = {"value": "value", "unit": "'count/min'", "source_device": DEVICE, "ended_at": "cast(NULL as timestamp)",
+            "metadata": "cast(NULL as string)", "seq": "event_id * 2 + 1"}
+FIELDS = {
+    S.STEPS: {"unit": "'count'", "source_device": "'iPhone'", "seq": "event_id * 2"},
+    S.HRV: {"unit": "'ms'"},
+    S.RESTING_HR: {},
+    S.SLEEP: {"value": f"cast({K} % 6 as double)", "unit": "'category'",
+              "ended_at": f"timestampadd(MINUTE, 10 + {K}, ts)"},
+    S.WORKOUT: {"value": f"cast(60 * {K} as double)", "unit": "'seconds'",
+                "ended_at": f"timestampadd(MINUTE, {K}, ts)", "metadata": WORKOUT_JSON},
+    S.SPO2: {"value": f"0.9D + {K} / 1000D", "unit": "'%'"},
+    S.RESPIRATORY_RATE: {"value": f"12 + {K} / 10D"},
+    S.WEIGHT: {"value": f"60 + {K} / 5D", "unit": "'kg'"},
+    S.VO2MAX: {"value": f"35 + {K} / 5D", "unit": "'ml/kg·min'"},
+    S.ACTIVE_ENERGY: {"unit": "'kcal'"},
+}
 
 
 def samples(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
@@ -91,20 +78,29 @@ def samples(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _quoted(types) -> str:
+    return ", ".join(f"'{t}'" for t in types)
+
+
 def _layer(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
+    """One scan: each event becomes the sample of the metric its type carries."""
     types = sorted({t for m in metrics for t in EVENT_TYPES[m]})
     src = events(spark, sf_dir)
     if len(types) < len(EVENT_TYPES[S.STEPS]):
-        src = src.filter(F.col("event_type").isin(*types))
-    src = src.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    fields = {m: _fields(m, F.col("k")) for m in metrics}
-    columns = []
-    for name in fields[metrics[0]]:
-        pick = fields[metrics[-1]][name]
-        for m in reversed(metrics[:-1]):
-            pick = F.when(F.col("event_type").isin(*EVENT_TYPES[m]), fields[m][name]).otherwise(pick)
-        columns.append(pick.alias(name))
-    return src.select("user_id", F.col("ts").alias("started_at"), *columns).select(*S.SAMPLE_COLUMNS)
+        src = src.filter(f"event_type IN ({_quoted(types)})")
+
+    def column(name: str, default: str | None) -> str:
+        def of(m: str) -> str:
+            return f"'{m}'" if name == "metric_type" else FIELDS[m].get(name, default)
+
+        if len({of(m) for m in metrics}) == 1:
+            return f"{of(metrics[0])} AS {name}"
+        cases = " ".join(f"WHEN event_type IN ({_quoted(EVENT_TYPES[m])}) THEN {of(m)}" for m in metrics[:-1])
+        return f"CASE {cases} ELSE {of(metrics[-1])} END AS {name}"
+
+    return src.selectExpr(
+        "user_id", column("metric_type", None), *[column(c, DEFAULTS[c]) for c in ("value", "unit", "source_device")],
+        "ts AS started_at", *[column(c, DEFAULTS[c]) for c in ("ended_at", "metadata", "seq")])
 
 
 def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

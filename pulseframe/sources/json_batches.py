@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import PAYLOAD
 
 
-def read_batches(spark: SparkSession, path: str, user_id=None) -> DataFrame:
-    """Batches from JSON-lines files, one document per line.
+BATCH_FILES = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("batch_no", T.LongType()),
+                            *PAYLOAD.fields])
 
-    The user comes from a directory level ``user_id=...`` or from the argument.
-    """
-    df = spark.read.schema(PAYLOAD).json(path)
-    return df if user_id is None else df.withColumn("user_id", F.lit(user_id))
+
+def read_batches(spark: SparkSession, path: str, schema=BATCH_FILES) -> DataFrame:
+    """Batches from JSON-lines files, one document per line.  The schema is given,
+    so nothing is read twice to infer it."""
+    return spark.read.schema(schema).json(path)
 
 
 def parse_batches(df: DataFrame, text: str = "payload") -> DataFrame:

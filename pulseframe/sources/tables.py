@@ -9,16 +9,19 @@ tables, and a job that dies half way leaves the old version in force.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.time import utc_time
+from ..functions.time import local_day
+from ..operators.ingest import latest_per_key, upsert_latest
 from ..schema import SAMPLE_COLUMNS, SUMMARY_COLUMNS
 
 VERSION_LOG = "_versions"
+LOG_ENTRY = "version bigint, samples string, summaries string"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -31,23 +34,58 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/pulseframe/{name}-{uuid.uuid4().hex}"
 
 
+def _by_month(samples: DataFrame) -> DataFrame:
+    return samples.select(*SAMPLE_COLUMNS).withColumn("month", F.date_format(local_day("started_at", "UTC"), "yyyy-MM"))
+
+
+def _writer(rows: DataFrame, rows_per_file: int):
+    """Rows spread over tasks by AQE's rebalance, which splits a metric-month far larger
+    than the rest (heart rate usually is) over several tasks and files."""
+    return (rows.hint("rebalance", "metric_type", "month")
+            .sortWithinPartitions("metric_type", "month", "user_id", "started_at")
+            .write.option("maxRecordsPerFile", rows_per_file).partitionBy("metric_type", "month"))
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "error", rows_per_file: int = 20_000_000) -> None:
-    """Write raw samples by metric and month.
+    """Write raw samples by metric and month."""
+    _writer(_by_month(samples), rows_per_file).mode(mode).parquet(path)
 
-    Rows are spread over tasks by AQE's rebalance, which splits a metric-month
-    that is far larger than the rest (heart rate usually is) into several
-    files instead of one task.
+
+def upsert_samples(spark: SparkSession, path: str, new: DataFrame, rows_per_file: int = 20_000_000) -> None:
+    """Upsert into stored samples, rewriting only the metric-months that `new` touches.
+
+    Their names are collected to prune the read; there are at most as many as
+    metrics times months.  The merged rows are staged first, because a plan must
+    not overwrite what it reads.  Running the same upsert again changes nothing,
+    so a run that died in between is simply repeated.
     """
-    out = samples.select(*SAMPLE_COLUMNS).withColumn(
-        "month", F.date_format(utc_time("started_at"), "yyyy-MM"))
-    (out.hint("rebalance", "metric_type", "month")
-        .sortWithinPartitions("metric_type", "month", "user_id", "started_at")
-        .write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("metric_type", "month").parquet(path))
+    new = _by_month(new)
+    touched = new.select("metric_type", "month").distinct().collect()
+    if not touched:
+        return
+    merged = new.select(*SAMPLE_COLUMNS)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = latest_per_key(merged)
+    else:
+        months = {}
+        for r in touched:
+            months.setdefault(r["metric_type"], []).append(r["month"])
+        hit = F.lit(False)
+        for metric, names in sorted(months.items()):
+            hit = hit | ((F.col("metric_type") == metric) & F.col("month").isin(*sorted(names)))
+        merged = upsert_latest(stored.filter(hit), merged)
+    staged = shared_dir(spark, "upsert")
+    _by_month(merged).write.parquet(staged)
+    (_writer(spark.read.parquet(staged), rows_per_file)
+     .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("month")
+    return spark.read.parquet(path).select(*SAMPLE_COLUMNS)
 
 
 def write_summaries(summaries: DataFrame, path: str, mode: str = "error") -> None:
@@ -56,23 +94,24 @@ def write_summaries(summaries: DataFrame, path: str, mode: str = "error") -> Non
         .write.mode(mode).partitionBy("month").parquet(path))
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("month")
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    """Number of the version in force, 0 before the first publish."""
+def _latest_entry(spark: SparkSession, root: str):
     try:
-        log = spark.read.schema("version bigint").json(f"{root}/{VERSION_LOG}")
-        return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        log = spark.read.schema(LOG_ENTRY).json(f"{root}/{VERSION_LOG}")
+        return log.orderBy(F.desc("version")).first()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return 0
+            return None
         raise
 
 
+def current_version(spark: SparkSession, root: str) -> int:
+    """Number of the version in force, 0 before the first publish."""
+    entry = _latest_entry(spark, root)
+    return entry["version"] if entry else 0
+
+
 def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataFrame) -> int:
-    """Write both tiers as a new version, then log it as the current one.
+    """Write both tiers as a new version, then log it, with the tables' schemas, as current.
 
     One writer at a time.  A run that died before the log entry leaves a
     half-written directory that the next run overwrites.
@@ -80,15 +119,18 @@ def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataF
     version = current_version(spark, root) + 1
     write_samples(samples, f"{root}/v{version}/samples", mode="overwrite")
     write_summaries(summaries, f"{root}/v{version}/summaries", mode="overwrite")
-    entry = spark.createDataFrame([(version,)], "version bigint").coalesce(1)
+    schemas = [df.select(*names).schema.json()
+               for df, names in ((samples, SAMPLE_COLUMNS), (summaries, SUMMARY_COLUMNS))]
+    entry = spark.createDataFrame([(version, *schemas)], LOG_ENTRY).coalesce(1)
     entry.write.mode("append").json(f"{root}/{VERSION_LOG}")
     return version
 
 
 def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, summaries) of the current version."""
-    version = current_version(spark, root)
-    if not version:
+    """(samples, summaries) of the current version, either of which may be empty."""
+    entry = _latest_entry(spark, root)
+    if entry is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    return (read_samples(spark, f"{root}/v{version}/samples"),
-            read_summaries(spark, f"{root}/v{version}/summaries"))
+    return tuple(
+        spark.read.schema(T.StructType.fromJson(json.loads(entry[name]))).parquet(f"{root}/v{entry['version']}/{name}")
+        for name in ("samples", "summaries"))

@@ -9,16 +9,14 @@ which avoids rewriting stored data for every micro-batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions.numbers import half_up
 from ..functions.time import local_day, local_micros
 from ..operators import daily, ingest
-
-BATCH_FILES = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("batch_no", T.LongType()),
-                            *S.PAYLOAD.fields])
-
+from ..sources import tables
+from ..sources.json_batches import BATCH_FILES
 
 def drain(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Process everything that has arrived, then stop."""
@@ -40,6 +38,17 @@ def current(spark: SparkSession, sink: str) -> DataFrame:
     return ingest.latest_per_key(spark.read.parquet(sink))
 
 
+def upsert_batches(spark: SparkSession, landing: str, table: str, checkpoint: str,
+                   max_samples: int = S.MAX_BATCH) -> None:
+    """JSON batch files straight into the stored table, last write wins.  A micro-batch
+    that is replayed after a failure upserts the same rows again, which changes nothing."""
+    batches = spark.readStream.schema(BATCH_FILES).json(landing)
+    rows = ingest.samples_of(ingest.check_batches(batches, max_samples), "batch_no")
+    query = (rows.writeStream.foreachBatch(lambda df, _: tables.upsert_samples(df.sparkSession, table, df))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def dedupe(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, delay: str = "2 days") -> None:
     """Drop re-deliveries of a sample that arrive within `delay`; keys older than
     the watermark leave the state.  Older corrections belong to the batch upsert."""

@@ -143,8 +143,9 @@ ACCEPTED = f"""rows AS (SELECT user_id, batch_no, p pos, value + p AS value,
   date_trunc('microsecond', ts) + to_minutes(CAST(CASE WHEN p = sample_count - 1 THEN p ELSE p + 1 END AS BIGINT)) started_at
   FROM (SELECT *, unnest(range(sample_count)) p FROM batches WHERE {VERDICT} = 'accepted'))"""
 add("ingest_validate", PAYLOAD, f"SELECT user_id, batch_no, sample_count, {VERDICT} verdict FROM batches")
-add("ingest_batch", PAYLOAD, ACCEPTED, f"""SELECT user_id, '{STEPS}' metric_type, value, started_at, 'Watch' source_device FROM rows
+add("ingest_batch", PAYLOAD, ACCEPTED, f"""SELECT CAST(user_id AS VARCHAR) user_id, '{STEPS}' metric_type, value, started_at, 'Watch' source_device FROM rows
 QUALIFY row_number() OVER (PARTITION BY user_id, epoch_ms(started_at) ORDER BY batch_no DESC, pos DESC) = 1""")
+add("ingest_parse", PAYLOAD, "SELECT user_id, batch_no, sample_count FROM batches")
 RESENT = """resent AS (SELECT * FROM samples UNION ALL SELECT * REPLACE (value + 1 AS value, seq + 1000000000000 AS seq)
   FROM samples WHERE source_device = 'Oura Ring')"""
 add("ingest_dedupe", samples(), RESENT, """SELECT user_id, metric_type, started_at, value, source_device, seq FROM resent
@@ -518,3 +519,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id, started_at ORDER BY batch_no DE
 add("stream_dedupe", samples(), "SELECT user_id, metric_type, started_at, unit, source_device FROM samples")
 add("stream_daily", samples(*QUANTITIES), daily(), f"""SELECT {POINT}, CASE WHEN CAST(date + 1 AS TIMESTAMP) <= (SELECT date_trunc('millisecond', max({wall('started_at')})) FROM samples) - INTERVAL 1 DAY
 THEN 'closed' ELSE 'open' END state FROM daily""")
+ORACLE["stream_upsert"] = ORACLE["stream_ingest"]
+add("xml_import_report", samples(), f"""SELECT CASE WHEN metric_type = '{WORKOUT}' THEN 'skipped' ELSE 'ok' END import_status, count(*) records
+FROM samples GROUP BY 1""")
+add("publish_tiers", samples(), daily(where=Q_ONLY), """SELECT user_id, metric_type, date AS day, avg_value, min_value, max_value, sum_value, sample_count,
+CASE WHEN date < DATE '2024-01-21' THEN 'summary' ELSE 'raw' END source FROM daily""")

@@ -15,7 +15,7 @@ from pulseframe.operators import daily, hygiene, ingest, retention, scans, sleep
 from pulseframe.plans import analyses, recipes, tools
 from pulseframe.sources import driver_tables as tables
 from pulseframe.sources import json_batches, xml_export
-from pulseframe.sources.tables import shared_dir
+from pulseframe.sources.tables import open_tiers, publish, read_samples, shared_dir
 from pulseframe.streaming import pipelines
 
 AS_OF = dt.date(2024, 1, 31)
@@ -156,7 +156,7 @@ def _instant(c):
     return F.date_format(utc_time(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def payload_rows(spark, d, repeat=True):
+def payload_rows(spark, d):
     """One batch per event: k div 10 step samples a minute apart, written with an
     offset, the last sent twice; the highest k have a device name past the size limit."""
     e = tables.events(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -172,25 +172,31 @@ def payload_rows(spark, d, repeat=True):
             _instant(start).alias("started_at"), F.lit(None).cast("string").alias("ended_at"),
             F.lit(None).cast("string").alias("metadata"))
 
-    return e.select(F.col("user_id"), F.col("event_id").alias("batch_no"),
-                    F.transform(idx, sample).alias("samples"))
-
-
-def checked(spark, d):
-    text = payload_rows(spark, d).select(
-        "user_id", "batch_no", F.to_json(F.struct("samples")).alias("payload"))
-    return ingest.check_batches(json_batches.parse_batches(text), max_samples=9)
+    return e.select("user_id", F.col("event_id").alias("batch_no"), F.transform(idx, sample).alias("samples"))
 
 
 @query
 def ingest_validate(spark, d):
-    return checked(spark, d).select("user_id", "batch_no", "sample_count", "verdict")
+    return ingest.check_batches(payload_rows(spark, d), max_samples=9).select(
+        "user_id", "batch_no", "sample_count", "verdict")
 
 
 @query
 def ingest_batch(spark, d):
-    rows = ingest.dedupe_batch(ingest.samples_of(checked(spark, d), "batch_no"))
-    return rows.select("user_id", "metric_type", "value", "started_at", "source_device")
+    """Batches written as JSON files by Spark, then read, judged, unpacked and deduplicated."""
+    path = shared_dir(spark, "json")
+    payload_rows(spark, d).write.json(path)
+    batches = ingest.check_batches(json_batches.read_batches(spark, path), max_samples=9)
+    return ingest.dedupe_batch(ingest.samples_of(batches, "batch_no")).select(
+        "user_id", "metric_type", "value", "started_at", "source_device")
+
+
+@query
+def ingest_parse(spark, d):
+    """Batches arriving as a column of JSON text."""
+    text = payload_rows(spark, d).select("user_id", "batch_no", F.to_json(F.struct("samples")).alias("payload"))
+    return json_batches.parse_batches(text).select(
+        "user_id", "batch_no", F.size("samples").cast("bigint").alias("sample_count"))
 
 
 @query
@@ -743,6 +749,17 @@ def heavy_months_hrv(spark, d):
 
 
 # --- files and streams -----------------------------------------------------
+@query
+def publish_tiers(spark, d):
+    """Both tiers published, put through a retention run, and read back as one daily series."""
+    root = shared_dir(spark, "publish")
+    s = raw(spark, d)
+    publish(spark, root, s, daily.daily_summary(s.filter(F.lit(False))))
+    retention.run_retention(spark, root, AS_OF, RAW_DAYS)
+    kept, stored = open_tiers(spark, root)
+    return daily.daily_quantity_view(kept, stored).drop("unit")
+
+
 @query
 def xml_import(spark, d):
     """Samples written as an XML export by Spark, then imported; sleep values as stage names."""
@@ -760,14 +777,27 @@ def xml_import(spark, d):
     return xml_export.normalise_records(xml_export.read_records(spark, path), "me").drop("metadata")
 
 
+@query
+def xml_import_report(spark, d):
+    return xml_export.import_report(xml_import(spark, d))
+
+
 @query
 def stream_ingest(spark, d):
     root = shared_dir(spark, "stream-ingest")
-    payload_rows(spark, d).select(F.col("user_id").cast("string").alias("user_id"), "batch_no", "samples").write.json(f"{root}/landing")
+    payload_rows(spark, d).write.json(f"{root}/landing")
     pipelines.ingest_batches(spark, f"{root}/landing", f"{root}/sink", f"{root}/checkpoint", max_samples=9)
     return pipelines.current(spark, f"{root}/sink").select("user_id", "metric_type", "started_at", "value")
 
 
+@query
+def stream_upsert(spark, d):
+    root = shared_dir(spark, "stream-upsert")
+    payload_rows(spark, d).write.json(f"{root}/landing")
+    pipelines.upsert_batches(spark, f"{root}/landing", f"{root}/table", f"{root}/checkpoint", max_samples=9)
+    return read_samples(spark, f"{root}/table").select("user_id", "metric_type", "started_at", "value")
+
+
 @query
 def stream_dedupe(spark, d):
     root = shared_dir(spark, "stream-dedupe")
