@@ -6,6 +6,7 @@ them whatever the size of the data.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import QUANTITY_PREFIX
@@ -100,8 +101,9 @@ UNIT_SIZES = {
 
 def preferred_units(spark: SparkSession) -> DataFrame:
     """metric_type -> preferred_unit."""
-    rows = [(QUANTITY_PREFIX + name, unit) for unit, names in PREFERRED_UNITS.items() for name in names]
-    return spark.createDataFrame(rows, "metric_type string, preferred_unit string")
+    rows = [{"metric_type": QUANTITY_PREFIX + name, "preferred_unit": unit}
+            for unit, names in PREFERRED_UNITS.items() for name in names]
+    return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
 def unit_conversions(spark: SparkSession) -> DataFrame:
@@ -114,7 +116,6 @@ def unit_conversions(spark: SparkSession) -> DataFrame:
     for src, (dim, factor, offset) in UNIT_SIZES.items():
         for dst, (dst_dim, dst_factor, dst_offset) in UNIT_SIZES.items():
             if dim == dst_dim:
-                rows.append((src, dst, factor / dst_factor, (offset - dst_offset) / dst_factor,
-                             fallback.get(dim) == dst))
-    return spark.createDataFrame(
-        rows, "from_unit string, to_unit string, factor double, shift double, is_fallback boolean")
+                rows.append({"from_unit": src, "to_unit": dst, "factor": factor / dst_factor,
+                             "shift": (offset - dst_offset) / dst_factor, "is_fallback": fallback.get(dim) == dst})
+    return spark.createDataFrame(pa.Table.from_pylist(rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.metrics import WORKOUT_NAME_PREFIX, WORKOUT_NAMES, metadata_number, workout_type
@@ -85,8 +86,8 @@ def streaks(rows: DataFrame, min_days: int = 5) -> DataFrame:
 
 def workout_names(spark: SparkSession) -> DataFrame:
     """raw_name -> display_name for every known activity."""
-    return spark.createDataFrame([(WORKOUT_NAME_PREFIX + n, n) for n in WORKOUT_NAMES],
-                                 "raw_name string, display_name string")
+    rows = [{"raw_name": WORKOUT_NAME_PREFIX + n, "display_name": n} for n in WORKOUT_NAMES]
+    return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
 def with_display_name(rows: DataFrame, raw: str = "raw_name") -> DataFrame:

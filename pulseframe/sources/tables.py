@@ -131,6 +131,9 @@ def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     entry = _latest_entry(spark, root)
     if entry is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    return tuple(
-        spark.read.schema(T.StructType.fromJson(json.loads(entry[name]))).parquet(f"{root}/v{entry['version']}/{name}")
-        for name in ("samples", "summaries"))
+
+    def table(name: str) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(entry[name]))
+        return spark.read.schema(schema).parquet(f"{root}/v{entry['version']}/{name}").select(*schema.fieldNames())
+
+    return table("samples"), table("summaries")
