@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.metrics import is_summarisable, metric_kind
 from ..functions.time import before_day, days_before, local_day
 from ..schema import DEFAULT_TZ, RAW_DAYS
-from ..sources.tables import open_tiers, publish
+from ..sources import tables
 from .daily import daily_summary, merge_summaries
 
 
@@ -49,7 +49,8 @@ def dry_run(samples: DataFrame, as_of, raw_days: int = RAW_DAYS, tz: str = DEFAU
 
 def run_retention(spark: SparkSession, root: str, as_of, raw_days: int = RAW_DAYS,
                   tz: str = DEFAULT_TZ) -> int:
-    """Apply retention to the published tables and publish the result as one version."""
-    samples, summaries = open_tiers(spark, root)
+    """Apply retention to the published tables: one new version with the merged summaries
+    and the new raw cut.  Only days between the last cut and the new one are read."""
+    samples, summaries = tables.open_tiers(spark, root)
     plan = retain(samples, summaries, as_of, raw_days, tz)
-    return publish(spark, root, plan.samples, plan.summaries)
+    return tables.publish_cut(spark, root, plan.summaries, days_before(as_of, raw_days), tz)

@@ -34,6 +34,11 @@ def freshness(samples: DataFrame, as_of, limit: int = 10, tz: str = S.DEFAULT_TZ
             .withColumn("hours_behind", half_up(age, 2)))
 
 
+def last_record(samples: DataFrame) -> DataFrame:
+    """Per user: when anything was last recorded."""
+    return samples.groupBy("user_id").agg(F.max("started_at").alias("last_record"), F.count("*").alias("rows"))
+
+
 def recent_rows(samples: DataFrame, metric: str, as_of, days: int = 7, tz: str = S.DEFAULT_TZ) -> DataFrame:
     as_of = as_date(as_of)
     return (for_metrics(samples, metric).filter(in_days("started_at", days_before(as_of, days), as_of, tz))

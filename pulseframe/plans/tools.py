@@ -145,7 +145,7 @@ def get_workouts(samples: DataFrame, as_of, days: int = 30, limit: int | None =
 
 def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT, user_id=None,
                        tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
-    """Everything of one local day: highlights per user, and the rows themselves.
+    """Everything of one local day: highlights per user, the workouts, and the rows themselves.
 
     Highlights cover the whole day; only the row listing is limited.
     """
@@ -175,7 +175,9 @@ def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT,
                   .withColumn("truncated", F.col("total_records") >= cap))
     return {"highlights": highlights, "rows": scans.on_day(
         scans.for_user(samples, user_id), day, limit, tz).select(
-        "user_id", "metric_type", "value", "unit", "source_device", "started_at")}
+        "user_id", "metric_type", "value", "unit", "source_device", "started_at"),
+        "workouts": workouts.workouts(df, tz).select("user_id", "started_at", "workout_type", "duration_minutes",
+                                                     F.col("calories_burned").alias("calories"))}
 
 
 def get_long_term_trend(samples: DataFrame, summaries: DataFrame | None, as_of, months: int = 24,
@@ -268,14 +270,17 @@ def coaching_sleep(samples: DataFrame, as_of, source: str | None = sleep.DEFAULT
 
 
 def coaching_load(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """Workouts of the last 30 days: count, hours and weekly rate."""
+    """Workouts of the last 30 days: count, hours, weekly rate and count by type."""
     as_of = as_date(as_of)
     df = _quantities(samples, S.WORKOUT, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 30), as_of, tz))
     seconds = F.coalesce(metadata_number("duration_seconds"), F.lit(0.0))
-    return df.groupBy("user_id").agg(
-        F.count("*").alias("total_workouts"), half_up(F.sum(seconds) / 3600, 1).alias("total_hours"),
-        half_up(F.count("*") / F.lit(4.3), 1).alias("weekly_avg_workouts"))
+    typed = df.groupBy("user_id", workout_type().alias("type")).agg(F.count("*").alias("n"), F.sum(seconds).alias("s"))
+    label = F.concat_ws(":", "type", F.col("n").cast("string"))
+    return typed.groupBy("user_id").agg(
+        F.sum("n").alias("total_workouts"), half_up(F.sum("s") / 3600, 1).alias("total_hours"),
+        half_up(F.sum("n") / F.lit(4.3), 1).alias("weekly_avg_workouts"),
+        F.array_join(F.array_sort(F.collect_list(label)), ",").alias("by_type"))
 
 
 def coaching_activity(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:

@@ -1,10 +1,11 @@
-"""The two stored tiers: parquet layout, scratch space and publishing.
+"""The two stored tiers: parquet layout, scratch space, publishing and upserts.
 
 Raw samples are stored by metric and month of `started_at`; a report on one
 metric over a window then reads only those directories.  Summaries are stored
-by month.  A publish writes complete new copies next to the old ones and then
-appends one line to a version log, so readers see either both old or both new
-tables, and a job that dies half way leaves the old version in force.
+by month.  A log next to the tables says which directories are current and
+from which local day on raw quantities still count.  A change writes new
+directories first and appends its log line last, so readers see either the
+old or the new state, and a job that dies half way changes nothing.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.time import local_day
+from ..functions.metrics import is_summarisable
+from ..functions.time import as_date, before_day, day_start, local_day
+from ..operators.daily import daily_summary, merge_summaries
 from ..operators.ingest import latest_per_key, upsert_latest
 from ..schema import SAMPLE_COLUMNS, SUMMARY_COLUMNS
 
 VERSION_LOG = "_versions"
-LOG_ENTRY = "version bigint, samples string, summaries string"
+LOG_ENTRY = ("version bigint, samples_dir string, summaries_dir string, samples_schema string, "
+             "summaries_schema string, cut string, tz string")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -104,14 +108,28 @@ def _latest_entry(spark: SparkSession, root: str):
         raise
 
 
+def _append_entry(spark: SparkSession, root: str, **entry) -> int:
+    line = spark.createDataFrame([entry], LOG_ENTRY).coalesce(1)
+    line.write.mode("append").json(f"{root}/{VERSION_LOG}")
+    return entry["version"]
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """Number of the version in force, 0 before the first publish."""
     entry = _latest_entry(spark, root)
     return entry["version"] if entry else 0
 
 
+def current_entry(spark: SparkSession, root: str):
+    """The log line in force: directories, schemas, and the raw cut."""
+    entry = _latest_entry(spark, root)
+    if entry is None:
+        raise FileNotFoundError(f"nothing published under {root}")
+    return entry
+
+
 def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataFrame) -> int:
-    """Write both tiers as a new version, then log it, with the tables' schemas, as current.
+    """Write both tiers in full as a new version and make it current.
 
     One writer at a time.  A run that died before the log entry leaves a
     half-written directory that the next run overwrites.
@@ -119,21 +137,57 @@ def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataF
     version = current_version(spark, root) + 1
     write_samples(samples, f"{root}/v{version}/samples", mode="overwrite")
     write_summaries(summaries, f"{root}/v{version}/summaries", mode="overwrite")
-    schemas = [df.select(*names).schema.json()
-               for df, names in ((samples, SAMPLE_COLUMNS), (summaries, SUMMARY_COLUMNS))]
-    entry = spark.createDataFrame([(version, *schemas)], LOG_ENTRY).coalesce(1)
-    entry.write.mode("append").json(f"{root}/{VERSION_LOG}")
-    return version
+    return _append_entry(
+        spark, root, version=version, samples_dir=f"v{version}/samples", summaries_dir=f"v{version}/summaries",
+        samples_schema=samples.select(*SAMPLE_COLUMNS).schema.json(),
+        summaries_schema=summaries.select(*SUMMARY_COLUMNS).schema.json(), cut=None, tz=None)
+
+
+def publish_cut(spark: SparkSession, root: str, summaries: DataFrame, cut, tz: str) -> int:
+    """Publish new summaries and, in the same log line, the local day before which raw
+    quantities no longer count.
+
+    The raw files stay where they are, so a daily retention run writes summaries
+    only, however large the raw tier is.  ``publish(spark, root, *open_tiers(...))``
+    rewrites the raw tier without the expired rows when the space is wanted back.
+    """
+    old = current_entry(spark, root)
+    version = old["version"] + 1
+    write_summaries(summaries, f"{root}/v{version}/summaries", mode="overwrite")
+    return _append_entry(spark, root, **{
+        **old.asDict(), "version": version, "summaries_dir": f"v{version}/summaries",
+        "summaries_schema": summaries.select(*SUMMARY_COLUMNS).schema.json(), "cut": str(as_date(cut)), "tz": tz})
 
 
 def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(samples, summaries) of the current version, either of which may be empty."""
-    entry = _latest_entry(spark, root)
-    if entry is None:
-        raise FileNotFoundError(f"nothing published under {root}")
+    entry = current_entry(spark, root)
 
     def table(name: str) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(entry[name]))
-        return spark.read.schema(schema).parquet(f"{root}/v{entry['version']}/{name}").select(*schema.fieldNames())
-
-    return table("samples"), table("summaries")
+        schema = T.StructType.fromJson(json.loads(entry[f"{name}_schema"]))
+        return spark.read.schema(schema.add("month", "string")).parquet(f"{root}/{entry[f'{name}_dir']}")
+
+    samples = table("samples")
+    if entry["cut"]:
+        # Metric and month are directories, so expired months are not even listed.
+        first_month = str(day_start(entry["cut"], entry["tz"]))[:7]
+        samples = samples.filter((F.col("month") >= first_month) | ~is_summarisable())
+        samples = samples.filter(~before_day("started_at", entry["cut"], entry["tz"]) | ~is_summarisable())
+    return samples.drop("month").select(*SAMPLE_COLUMNS), table("summaries").drop("month")
+
+
+def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> None:
+    """Upsert samples into the published tables.  Quantities from before the raw cut are
+    merged into the summary of their day, the only form in which that day still exists."""
+    entry = current_entry(spark, root)
+    path = f"{root}/{entry['samples_dir']}"
+    if not entry["cut"]:
+        upsert_samples(spark, path, new)
+        return
+    late = before_day("started_at", entry["cut"], entry["tz"]) & is_summarisable()
+    upsert_samples(spark, path, new.filter(~late))
+    old_days = latest_per_key(new.filter(late).select(*SAMPLE_COLUMNS))
+    if not old_days.isEmpty():
+        summaries = open_tiers(spark, root)[1]
+        publish_cut(spark, root, merge_summaries(summaries, daily_summary(old_days, entry["tz"])),
+                    entry["cut"], entry["tz"])

@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ def test_publish_and_retention_run_twice(spark, make, tmp_path):
     assert kept.filter(F.col("metric_type") == S.SLEEP).count() == 1
 
 
+def test_retention_leaves_raw_files_alone_and_merges_late_rows(spark, make, tmp_path):
+    root = str(tmp_path / "r")
+    s = make([("u", S.HRV, 10, "2024-01-05 12:00"), ("u", S.HRV, 20, "2024-01-05 13:00"), ("u", S.HRV, 5, "2024-02-15 12:00"),
+              ("u", S.SLEEP, 3, "2024-01-05 05:00", "2024-01-05 06:00")])
+    tables.publish(spark, root, s, daily.daily_summary(s.filter(F.lit(False))))
+    raw_files = {f for f in files(f"{root}/v1/samples")}
+    retention.run_retention(spark, root, "2024-02-20", 10)
+    assert {f for f in files(f"{root}/v1/samples")} == raw_files
+    kept, stored = tables.open_tiers(spark, root)
+    assert rows(kept.select("value"), "value") == [(3.0,), (5.0,)]
+    text = kept.filter(F.col("metric_type") == S.HRV)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ >= 2024-02", text)
+    tables.upsert_into_tiers(spark, root, make([("u", S.HRV, 60, "2024-01-05 14:00"), ("u", S.HRV, 7, "2024-02-15 12:00")]))
+    kept, stored = tables.open_tiers(spark, root)
+    assert rows(stored.select("avg_value", "sample_count")) == [(30.0, 3)]
+    assert rows(kept.select("value"), "value") == [(3.0,), (7.0,)]
+    tables.publish(spark, root, kept, stored)  # compaction
+    assert rows(tables.open_tiers(spark, root)[0].select("value"), "value") == [(3.0,), (7.0,)]
+
+
 def test_a_publish_that_died_is_not_visible(spark, make, tmp_path):
     root = str(tmp_path / "r")
     s = make([("u", S.HRV, 1, "2024-01-01 12:00")])

@@ -350,8 +350,9 @@ CSL = [f"""cn AS (SELECT user_id, {NIGHT} night_date, sum({MIN}) AS minutes FROM
        f"""cs AS (SELECT user_id, {rnd('avg(minutes) / 60', 1)} avg_hours_last_7_nights, count(*) nights_tracked FROM c7 GROUP BY 1)""",
        """csleep AS (SELECT *, CASE WHEN avg_hours_last_7_nights >= 7.5 THEN 'good' WHEN avg_hours_last_7_nights >= 6.5 THEN 'borderline' ELSE 'poor' END quality_flag FROM cs)"""]
 add("coaching_sleep", samples(SLEEP), *CSL, "SELECT * FROM csleep")
-CLOAD = f"""cload AS (SELECT user_id, count(*) total_workouts, {rnd('sum(wsec) / 3600', 1)} total_hours, {rnd('count(*) / 4.3::DOUBLE', 1)} weekly_avg_workouts
-  FROM samples WHERE metric_type = '{WORKOUT}' AND {win(30)} GROUP BY 1)"""
+CLOAD = f"""cload AS (SELECT user_id, CAST(sum(n) AS BIGINT) total_workouts, {rnd('sum(s) / 3600', 1)} total_hours, {rnd('sum(n) / 4.3::DOUBLE', 1)} weekly_avg_workouts,
+  string_agg(wtype || ':' || n, ',' ORDER BY wtype) by_type FROM (SELECT user_id, wtype, count(*) n, sum(wsec) s FROM samples
+  WHERE metric_type = '{WORKOUT}' AND {win(30)} GROUP BY 1, 2) GROUP BY 1)"""
 add("coaching_load", samples(WORKOUT), CLOAD, "SELECT * FROM cload")
 CACT = [daily("cd", where=f"metric_type IN ('{STEPS}', '{ENERGY}') AND {win(7)}"), f"""cact AS (SELECT user_id, {rnd('avg(' + m(STEPS, 'sum_value') + ')', 1)} avg_daily_steps,
   {rnd('avg(' + m(ENERGY, 'sum_value') + ')', 1)} avg_active_energy_cal FROM cd GROUP BY 1)"""]
@@ -524,3 +525,12 @@ add("xml_import_report", samples(), f"""SELECT CASE WHEN metric_type = '{WORKOUT
 FROM samples GROUP BY 1""")
 add("publish_tiers", samples(), daily(where=Q_ONLY), """SELECT user_id, metric_type, date AS day, avg_value, min_value, max_value, sum_value, sample_count,
 CASE WHEN date < DATE '2024-01-21' THEN 'summary' ELSE 'raw' END source FROM daily""")
+add("daily_snapshot_workouts", samples(WORKOUT), DAY15, f"""SELECT user_id, started_at, wtype workout_type, {rnd('wsec / 60', 1)} duration_minutes, wcal calories FROM w""")
+add("long_term_daily", LONG, LDAILY, f"SELECT {POINT}, CASE WHEN {LSRC} THEN 'raw' ELSE 'summary' END source FROM daily WHERE {LWIN}")
+add("metric_stats_approx", samples(*QUANTITIES), daily(), VALUED, "o AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY v) rn, count(*) OVER (PARTITION BY user_id, metric_type) n FROM valued)",
+    "SELECT user_id, metric_type, count(*) data_points, " + rnd("avg(v)", 2) + " mean, " + ", ".join(
+        f"{rnd(f'max(v) FILTER (rn = greatest(1, CAST(ceil(CAST(n * {p} AS DECIMAL(18,4))) AS BIGINT)))', 2)} p{int(p * 100)}" for p in (0.10, 0.25, 0.50, 0.75, 0.90))
+    + " FROM o GROUP BY 1, 2")
+add("last_record", samples(), "SELECT user_id, max(started_at) last_record, count(*) AS rows FROM samples GROUP BY 1")
+add("weekday_sleep", samples(SLEEP), segs(), NIGHTS, f"""SELECT user_id, '{SLEEP}' metric_type, CAST(isodow(night_date) AS BIGINT) weekday, {rnd('avg(total_minutes)', 2)} AS avg,
+count(*) AS days FROM nights GROUP BY 1, 2, 3""")

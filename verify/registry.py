@@ -410,6 +410,16 @@ def long_term_overall(spark, d):
     return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80)["overall"]
 
 
+@query
+def long_term_daily(spark, d):
+    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80)["daily"].select(*POINT, "source")
+
+
+@query
+def metric_stats_approx(spark, d):
+    return stats.approx_metric_stats(points(spark, d, *QUANTITIES))
+
+
 # --- reports ---------------------------------------------------------------
 @query
 def health_summary(spark, d):
@@ -522,6 +532,11 @@ def daily_snapshot_rows(spark, d):
     return _snapshot(spark, d)["rows"]
 
 
+@query
+def daily_snapshot_workouts(spark, d):
+    return _snapshot(spark, d)["workouts"]
+
+
 COACHING = (S.STEPS, S.HRV, S.RESTING_HR, S.SLEEP, S.WORKOUT, S.VO2MAX, S.WEIGHT, S.ACTIVE_ENERGY)
 
 
@@ -566,6 +581,11 @@ def freshness(spark, d):
     return recipes.freshness(raw(spark, d), AS_OF)
 
 
+@query
+def last_record(spark, d):
+    return recipes.last_record(raw(spark, d))
+
+
 @query
 def recent_rows(spark, d):
     return recipes.recent_rows(raw(spark, d, S.HRV), S.HRV, AS_OF)
@@ -687,6 +707,11 @@ def weekday_pattern(spark, d):
     return trends.weekday_pattern(points(spark, d, *QUANTITIES))
 
 
+@query
+def weekday_sleep(spark, d):
+    return trends.weekday_pattern(sleep.as_points(nights(spark, d)))
+
+
 @query
 def recovery_score(spark, d):
     return analyses.recovery_score(points(spark, d, S.HRV, S.RESTING_HR), nights(spark, d), AS_OF)
