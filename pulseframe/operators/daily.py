@@ -40,17 +40,20 @@ def daily_summary(samples: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
     return daily_from_raw(samples.filter(is_summarisable()), tz).drop("source")
 
 
-def merge_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One summary per key; a day present on both sides is combined, never replaced."""
-    both = old.unionByName(new)
+def combine_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per key; rows of the same day are combined, never replaced."""
     n, total = F.sum("sample_count"), F.sum("sum_value")
-    return both.groupBy(*DAY_KEY).agg(
-        # a day from one side keeps its stored average
+    return summaries.groupBy(*DAY_KEY).agg(
+        # a day with a single row keeps its stored average
         F.when(F.count("*") == 1, F.max("avg_value")).otherwise(half_up(ratio(total, n), 4)).alias("avg_value"),
         F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
         half_up(total, 4).alias("sum_value"), n.alias("sample_count"), F.max("unit").alias("unit"))
 
 
+def merge_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
+    return combine_summaries(old.unionByName(new))
+
+
 def _from_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.select(*DAY_KEY, *POINT_VALUES).withColumn("source", F.lit("summary"))
 

@@ -49,8 +49,8 @@ def dry_run(samples: DataFrame, as_of, raw_days: int = RAW_DAYS, tz: str = DEFAU
 
 def run_retention(spark: SparkSession, root: str, as_of, raw_days: int = RAW_DAYS,
                   tz: str = DEFAULT_TZ) -> int:
-    """Apply retention to the published tables: one new version with the merged summaries
-    and the new raw cut.  Only days between the last cut and the new one are read."""
-    samples, summaries = tables.open_tiers(spark, root)
-    plan = retain(samples, summaries, as_of, raw_days, tz)
+    """Apply retention to the published tables: one new version with the summaries of the
+    days between the last cut and the new one, and the new cut."""
+    samples, _ = tables.open_tiers(spark, root)
+    plan = retain(samples, None, as_of, raw_days, tz)
     return tables.publish_cut(spark, root, plan.summaries, days_before(as_of, raw_days), tz)

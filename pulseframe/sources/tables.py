@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.metrics import is_summarisable
 from ..functions.time import as_date, before_day, day_start, local_day
-from ..operators.daily import daily_summary, merge_summaries
+from ..operators.daily import combine_summaries, daily_summary
 from ..operators.ingest import latest_per_key, upsert_latest
 from ..schema import SAMPLE_COLUMNS, SUMMARY_COLUMNS
 
 VERSION_LOG = "_versions"
-LOG_ENTRY = ("version bigint, samples_dir string, summaries_dir string, samples_schema string, "
-             "summaries_schema string, cut string, tz string")
+LOG_ENTRY = ("version bigint, samples_dir string, summaries_dirs array<string>, samples_schema string, "
+             "summaries_schema string, cut string, tz string, overlapping boolean")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -135,45 +135,48 @@ def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataF
     half-written directory that the next run overwrites.
     """
     version = current_version(spark, root) + 1
-    write_samples(samples, f"{root}/v{version}/samples", mode="overwrite")
-    write_summaries(summaries, f"{root}/v{version}/summaries", mode="overwrite")
+    write_samples(samples, f"{root}/samples/version={version}", mode="overwrite")
+    write_summaries(summaries, f"{root}/summaries/version={version}", mode="overwrite")
     return _append_entry(
-        spark, root, version=version, samples_dir=f"v{version}/samples", summaries_dir=f"v{version}/summaries",
-        samples_schema=samples.select(*SAMPLE_COLUMNS).schema.json(),
-        summaries_schema=summaries.select(*SUMMARY_COLUMNS).schema.json(), cut=None, tz=None)
+        spark, root, version=version, samples_dir=f"samples/version={version}",
+        summaries_dirs=[f"summaries/version={version}"], samples_schema=samples.select(*SAMPLE_COLUMNS).schema.json(),
+        summaries_schema=summaries.select(*SUMMARY_COLUMNS).schema.json(), cut=None, tz=None, overlapping=False)
 
 
-def publish_cut(spark: SparkSession, root: str, summaries: DataFrame, cut, tz: str) -> int:
-    """Publish new summaries and, in the same log line, the local day before which raw
+def publish_cut(spark: SparkSession, root: str, new_summaries: DataFrame, cut, tz: str,
+                overlapping: bool = False) -> int:
+    """Add summaries and, in the same log line, set the local day before which raw
     quantities no longer count.
 
-    The raw files stay where they are, so a daily retention run writes summaries
-    only, however large the raw tier is.  ``publish(spark, root, *open_tiers(...))``
-    rewrites the raw tier without the expired rows when the space is wanted back.
+    Nothing stored is rewritten: a daily retention run reads the days that expire
+    and writes their summaries, however large both tiers are.  `overlapping` says
+    that stored days may be among the new ones; they are then combined on read.
+    ``publish(spark, root, *open_tiers(...))`` compacts both tiers now and then.
     """
     old = current_entry(spark, root)
     version = old["version"] + 1
-    write_summaries(summaries, f"{root}/v{version}/summaries", mode="overwrite")
+    write_summaries(new_summaries, f"{root}/summaries/version={version}", mode="overwrite")
     return _append_entry(spark, root, **{
-        **old.asDict(), "version": version, "summaries_dir": f"v{version}/summaries",
-        "summaries_schema": summaries.select(*SUMMARY_COLUMNS).schema.json(), "cut": str(as_date(cut)), "tz": tz})
+        **old.asDict(), "version": version, "summaries_dirs": [*old["summaries_dirs"], f"summaries/version={version}"],
+        "cut": str(as_date(cut)), "tz": tz, "overlapping": overlapping or old["overlapping"]})
 
 
 def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(samples, summaries) of the current version, either of which may be empty."""
     entry = current_entry(spark, root)
 
-    def table(name: str) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(entry[f"{name}_schema"]))
-        return spark.read.schema(schema.add("month", "string")).parquet(f"{root}/{entry[f'{name}_dir']}")
+    def table(name: str, dirs: list[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(entry[f"{name}_schema"])).add("month", "string")
+        return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*[f"{root}/{d}" for d in dirs])
 
-    samples = table("samples")
+    samples = table("samples", [entry["samples_dir"]])
     if entry["cut"]:
         # Metric and month are directories, so expired months are not even listed.
         first_month = str(day_start(entry["cut"], entry["tz"]))[:7]
         samples = samples.filter((F.col("month") >= first_month) | ~is_summarisable())
         samples = samples.filter(~before_day("started_at", entry["cut"], entry["tz"]) | ~is_summarisable())
-    return samples.drop("month").select(*SAMPLE_COLUMNS), table("summaries").drop("month")
+    summaries = table("summaries", entry["summaries_dirs"]).select(*SUMMARY_COLUMNS)
+    return samples.select(*SAMPLE_COLUMNS), combine_summaries(summaries) if entry["overlapping"] else summaries
 
 
 def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> None:
@@ -188,6 +191,4 @@ def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> None:
     upsert_samples(spark, path, new.filter(~late))
     old_days = latest_per_key(new.filter(late).select(*SAMPLE_COLUMNS))
     if not old_days.isEmpty():
-        summaries = open_tiers(spark, root)[1]
-        publish_cut(spark, root, merge_summaries(summaries, daily_summary(old_days, entry["tz"])),
-                    entry["cut"], entry["tz"])
+        publish_cut(spark, root, daily_summary(old_days, entry["tz"]), entry["cut"], entry["tz"], overlapping=True)

@@ -56,9 +56,9 @@ def test_retention_leaves_raw_files_alone_and_merges_late_rows(spark, make, tmp_
     s = make([("u", S.HRV, 10, "2024-01-05 12:00"), ("u", S.HRV, 20, "2024-01-05 13:00"), ("u", S.HRV, 5, "2024-02-15 12:00"),
               ("u", S.SLEEP, 3, "2024-01-05 05:00", "2024-01-05 06:00")])
     tables.publish(spark, root, s, daily.daily_summary(s.filter(F.lit(False))))
-    raw_files = {f for f in files(f"{root}/v1/samples")}
+    raw_files = {f for f in files(f"{root}/samples/version=1")}
     retention.run_retention(spark, root, "2024-02-20", 10)
-    assert {f for f in files(f"{root}/v1/samples")} == raw_files
+    assert {f for f in files(f"{root}/samples/version=1")} == raw_files
     kept, stored = tables.open_tiers(spark, root)
     assert rows(kept.select("value"), "value") == [(3.0,), (5.0,)]
     text = kept.filter(F.col("metric_type") == S.HRV)._jdf.queryExecution().executedPlan().toString()
@@ -76,7 +76,7 @@ def test_a_publish_that_died_is_not_visible(spark, make, tmp_path):
     s = make([("u", S.HRV, 1, "2024-01-01 12:00")])
     empty = daily.daily_summary(s.filter(F.lit(False)))
     tables.publish(spark, root, s, empty)
-    tables.write_samples(make([("u", S.HRV, 9, "2024-01-01 12:00")]), f"{root}/v2/samples")  # no log entry
+    tables.write_samples(make([("u", S.HRV, 9, "2024-01-01 12:00")]), f"{root}/samples/version=2")  # no log entry
     assert rows(tables.open_tiers(spark, root)[0].select("value")) == [(1.0,)]
     assert tables.publish(spark, root, make([("u", S.HRV, 5, "2024-01-01 12:00")]), empty) == 2
     assert rows(tables.open_tiers(spark, root)[0].select("value")) == [(5.0,)]
