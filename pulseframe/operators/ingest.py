@@ -32,29 +32,11 @@ def check_batches(batches: DataFrame, max_samples: int = MAX_BATCH, max_string:
         .when(too_long, "string too long").otherwise("accepted"))
 
 
-def samples_of(batches: DataFrame, batch_order: Column | str) -> DataFrame:
-    """Samples of the accepted batches, in arrival order.
-
-    ``seq`` is (batch order, position in batch) packed into one number.  A
-    sample whose start time cannot be read is dropped here; see `rejected_samples`.
-    """
-    s = F.col("s")
-    rows = (batches.filter(F.col("verdict") == "accepted")
-            .select("user_id", as_col(batch_order).cast("bigint").alias("_b"),
-                    F.posexplode("samples").alias("_pos", "s")))
-    return _typed(rows, s).filter(F.col("started_at").isNotNull())
-
-
-def rejected_samples(batches: DataFrame, batch_order: Column | str) -> DataFrame:
-    """Samples of accepted batches whose start time cannot be read."""
+def _unpacked(batches: DataFrame, batch_order: Column | str) -> DataFrame:
     s = F.col("s")
     rows = (batches.filter(F.col("verdict") == "accepted")
             .select("user_id", as_col(batch_order).cast("bigint").alias("_b"),
                     F.posexplode("samples").alias("_pos", "s")))
-    return _typed(rows, s).filter(F.col("started_at").isNull())
-
-
-def _typed(rows: DataFrame, s: Column) -> DataFrame:
     return rows.select(
         "user_id", s["metric_type"].alias("metric_type"), s["value"].alias("value"),
         s["unit"].alias("unit"), s["source_device"].alias("source_device"),
@@ -63,6 +45,20 @@ def _typed(rows: DataFrame, s: Column) -> DataFrame:
         (F.col("_b") * 1_000_000 + F.col("_pos")).alias("seq"))
 
 
+def samples_of(batches: DataFrame, batch_order: Column | str) -> DataFrame:
+    """Samples of the accepted batches, in arrival order.
+
+    ``seq`` is (batch order, position in batch) packed into one number.  A
+    sample whose start time cannot be read is left to `rejected_samples`.
+    """
+    return _unpacked(batches, batch_order).filter(F.col("started_at").isNotNull())
+
+
+def rejected_samples(batches: DataFrame, batch_order: Column | str) -> DataFrame:
+    """Samples of accepted batches whose start time cannot be read."""
+    return _unpacked(batches, batch_order).filter(F.col("started_at").isNull())
+
+
 def _pick(df: DataFrame, key, chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     return (df.groupBy(*key).agg(chooser(F.struct(*rest), F.col("seq")).alias("_r"))

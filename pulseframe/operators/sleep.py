@@ -25,7 +25,7 @@ def segments(samples: DataFrame, source: str | None = DEFAULT_SOURCE, tz: str =
                      "started_at", "ended_at", minutes_between("started_at", "ended_at").alias("minutes"))
 
 
-def _totals(minutes=None):
+def _totals():
     m = F.col("minutes")
     stage = F.col("value")
     return [F.sum(F.when(stage == ASLEEP_CORE, m).otherwise(0.0)).alias("core"),

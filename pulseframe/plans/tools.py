@@ -17,8 +17,15 @@ from ..functions.numbers import half_up
 from ..functions.time import as_date, check_range, clamp, days_before, in_days, local_day
 from ..operators import daily, scans, sleep, stats, trends, workouts
 
+# --- fixed values: the note that goes with each HRV trend ------------------
+RECOVERY_NOTES = {
+    "improving": "Good recovery — normal or increased training load appropriate",
+    "declining": "Recovery declining — prioritize sleep, reduce intensity if trend continues",
+}
+DEFAULT_NOTE = "Recovery stable"
 
-def _quantities(samples: DataFrame, *metrics: str, user_id=None) -> DataFrame:
+
+def _of(samples: DataFrame, *metrics: str, user_id=None) -> DataFrame:
     return scans.for_metrics(scans.for_user(samples, user_id), *metrics)
 
 
@@ -59,7 +66,7 @@ def get_health_summary(samples: DataFrame, as_of, days: int = 7, user_id=None,
                        tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Steps, HRV, resting heart rate, sleep records and workouts of the last `days` days."""
     as_of = as_date(as_of)
-    df = _quantities(samples, S.STEPS, S.HRV, S.RESTING_HR, S.SLEEP, S.WORKOUT, user_id=user_id)
+    df = _of(samples, S.STEPS, S.HRV, S.RESTING_HR, S.SLEEP, S.WORKOUT, user_id=user_id)
     m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
     per_day = (df.filter(in_days("started_at", days_before(as_of, days), as_of, tz))
                .groupBy("user_id", "metric_type", local_day("started_at", tz).alias("date"),
@@ -224,7 +231,7 @@ def coaching_recovery(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAU
     ever holds a user's full sample list.
     """
     as_of = as_date(as_of)
-    df = _quantities(samples, S.HRV, S.RESTING_HR, user_id=user_id).filter(
+    df = _of(samples, S.HRV, S.RESTING_HR, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 14), as_of, tz))
     m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
     week = in_days("started_at", days_before(as_of, 6), as_of, tz)
@@ -246,11 +253,9 @@ def coaching_recovery(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAU
     delta = half_up(F.try_divide(F.col("_sum7"), F.col("_n7"))
                     - F.try_divide(F.col("_sum") - F.col("_sum7"), F.col("_n") - F.col("_n7")), 1)
     status = F.coalesce(trends.direction(F.col("hrv_delta_samples"), 2.0), F.lit("unknown"))
-    note = (F.when(F.col("hrv_trend") == "improving",
-                   "Good recovery — normal or increased training load appropriate")
-            .when(F.col("hrv_trend") == "declining",
-                  "Recovery declining — prioritize sleep, reduce intensity if trend continues")
-            .otherwise("Recovery stable"))
+    note = F.lit(DEFAULT_NOTE)
+    for trend, text in RECOVERY_NOTES.items():
+        note = F.when(F.col("hrv_trend") == trend, text).otherwise(note)
     return (whole.join(last7, "user_id", "left").withColumn("hrv_delta_samples", delta)
             .withColumn("hrv_trend", status).withColumn("coaching_note", note)
             .drop("_sum", "_n", "_sum7", "_n7"))
@@ -272,7 +277,7 @@ def coaching_sleep(samples: DataFrame, as_of, source: str | None = sleep.DEFAULT
 def coaching_load(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Workouts of the last 30 days: count, hours, weekly rate and count by type."""
     as_of = as_date(as_of)
-    df = _quantities(samples, S.WORKOUT, user_id=user_id).filter(
+    df = _of(samples, S.WORKOUT, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 30), as_of, tz))
     seconds = F.coalesce(metadata_number("duration_seconds"), F.lit(0.0))
     typed = df.groupBy("user_id", workout_type().alias("type")).agg(F.count("*").alias("n"), F.sum(seconds).alias("s"))
@@ -286,7 +291,7 @@ def coaching_load(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_T
 def coaching_activity(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Mean daily steps and active energy of the last seven days."""
     as_of = as_date(as_of)
-    points = daily.daily_from_raw(_quantities(samples, S.STEPS, S.ACTIVE_ENERGY, user_id=user_id).filter(
+    points = daily.daily_from_raw(_of(samples, S.STEPS, S.ACTIVE_ENERGY, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 7), as_of, tz)), tz)
     return points.groupBy("user_id").agg(
         stats.mean_daily_total(1, F.col("metric_type") == S.STEPS).alias("avg_daily_steps"),
@@ -298,7 +303,7 @@ def coaching_markers(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAUL
     as_of = as_date(as_of)
     m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
     month = in_days("started_at", days_before(as_of, 30), as_of, tz)
-    df = _quantities(samples, S.VO2MAX, S.WEIGHT, user_id=user_id).filter(
+    df = _of(samples, S.VO2MAX, S.WEIGHT, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 365), as_of, tz) & v.isNotNull())
     vo2, weight = F.when(m == S.VO2MAX, at), F.when((m == S.WEIGHT) & month, at)
     return df.groupBy("user_id").agg(
@@ -319,5 +324,5 @@ def get_coaching_brief(samples: DataFrame, as_of, source: str | None = sleep.DEF
     for part in parts[1:]:
         brief = brief.join(part, "user_id", "full_outer")
     return (brief.withColumn("hrv_trend", F.coalesce("hrv_trend", F.lit("unknown")))
-            .withColumn("coaching_note", F.coalesce("coaching_note", F.lit("Recovery stable")))
+            .withColumn("coaching_note", F.coalesce("coaching_note", F.lit(DEFAULT_NOTE)))
             .withColumn("quality_flag", F.coalesce("quality_flag", F.lit("no data"))))

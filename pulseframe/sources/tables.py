@@ -21,7 +21,7 @@ from ..functions.metrics import is_summarisable
 from ..functions.time import as_date, before_day, day_start, local_day
 from ..operators.daily import combine_summaries, daily_summary
 from ..operators.ingest import latest_per_key, upsert_latest
-from ..schema import SAMPLE_COLUMNS, SUMMARY_COLUMNS
+from ..schema import RAW_DAYS, SAMPLE_COLUMNS, SUMMARY_COLUMNS
 
 VERSION_LOG = "_versions"
 LOG_ENTRY = ("version bigint, samples_dir string, summaries_dirs array<string>, samples_schema string, "
@@ -179,6 +179,13 @@ def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return samples.select(*SAMPLE_COLUMNS), combine_summaries(summaries) if entry["overlapping"] else summaries
 
 
+def raw_days_kept(spark: SparkSession, root: str, as_of, default: int = RAW_DAYS) -> int:
+    """Days before `as_of` that are still raw: the `raw_days` to give the reports, so that
+    days between the last retention run's cut and today's are read where they are."""
+    cut = current_entry(spark, root)["cut"]
+    return (as_date(as_of) - as_date(cut)).days if cut else default
+
+
 def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> None:
     """Upsert samples into the published tables.  Quantities from before the raw cut are
     merged into the summary of their day, the only form in which that day still exists."""

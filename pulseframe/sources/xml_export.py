@@ -8,7 +8,7 @@ keep a single task busy downstream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.metrics import is_importable, is_valid_metric, stage_code
 from ..functions.numbers import number_or_null
@@ -34,7 +34,7 @@ def normalise_records(records: DataFrame, user_id) -> DataFrame:
     """
     started = F.try_to_timestamp("_startDate", F.lit(DATE_FORMAT))
     return records.select(
-        (F.lit(user_id) if not hasattr(user_id, "_jc") else user_id).alias("user_id"),
+        (user_id if isinstance(user_id, Column) else F.lit(user_id)).alias("user_id"),
         F.col("_type").alias("metric_type"),
         F.coalesce(number_or_null("_value"), stage_code("_value")).alias("value"),
         F.substring(F.coalesce("_unit", F.lit("")), 1, MAX_STRING).alias("unit"),

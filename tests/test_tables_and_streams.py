@@ -67,6 +67,10 @@ def test_retention_leaves_raw_files_alone_and_merges_late_rows(spark, make, tmp_
     kept, stored = tables.open_tiers(spark, root)
     assert rows(stored.select("avg_value", "sample_count")) == [(30.0, 3)]
     assert rows(kept.select("value"), "value") == [(3.0,), (7.0,)]
+    # three weeks after the last run its cut still says which days are raw
+    days = tables.raw_days_kept(spark, root, "2024-03-12")
+    assert days == 31 and daily.tiered_daily(
+        kept.filter(F.col("metric_type") == S.HRV), stored, "2024-03-12", 90, days).count() == 2
     tables.publish(spark, root, kept, stored)  # compaction
     assert rows(tables.open_tiers(spark, root)[0].select("value"), "value") == [(3.0,), (7.0,)]
 
