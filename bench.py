@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from verify.registry import QUERIES  # noqa: E402
+from pulseframe_checks.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
     "daily_from_raw", "tiered_daily", "series_range", "view_daily_quantity", "retention_apply", "retention_keep",

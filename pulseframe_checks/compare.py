@@ -1,6 +1,6 @@
 """Run registered queries against their DuckDB oracles and report differences.
 
-    python -m verify.compare [sf_dir] [name ...]
+    python -m pulseframe_checks.compare [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -65,8 +65,8 @@ def compare(spark, con, name, run, sql, sf_dir):
 def main(argv):
     from pyspark.sql import SparkSession
 
-    from verify.oracle import ORACLE
-    from verify.registry import QUERIES
+    from pulseframe_checks.oracle import ORACLE
+    from pulseframe_checks.registry import QUERIES
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:] or list(QUERIES)

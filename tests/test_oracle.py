@@ -2,9 +2,9 @@
 
 import pytest
 
-from verify.compare import compare, duck
-from verify.oracle import ORACLE
-from verify.registry import QUERIES
+from pulseframe_checks.compare import compare, duck
+from pulseframe_checks.oracle import ORACLE
+from pulseframe_checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

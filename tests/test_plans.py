@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from verify.registry import QUERIES
+from pulseframe_checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a stream or write files while they are built.
