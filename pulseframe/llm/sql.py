@@ -69,9 +69,9 @@ FROM reach GROUP BY conv_id
 
 _TOP_K = """
 WITH rows AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(64 * x::DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, min([floor(64 * x::DOUBLE) for x in embedding]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
   GROUP BY vec_id
 ),
 scored AS (
