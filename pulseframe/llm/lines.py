@@ -16,7 +16,8 @@ line. What counts is each line as it stands in the input, also if that earlier l
 
 Defined cases: NULL and empty texts have no line to remove; rows with a NULL doc_id stay as they are and play no part;
 rows that share doc_id and line number tie, and both keep an equal line; lines end at ``\\n``, a final one leaves an empty
-last line; an empty table gives an empty one; other columns are kept by ``dedup_documents``.
+last line; an empty table gives an empty one; other columns are kept by
+``dedup_documents``, but for one named ``n_lines_removed``, which it sets.
 """
 
 from __future__ import annotations
@@ -189,14 +190,13 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their removed lines, and ``n_lines_removed``; all other columns are kept."""
-    drops = removed_lines(docs, min_chars).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
-        F.collect_set("no").alias("_drops"))
-    joined = docs.join(drops, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
-    lines = F.split("text", _SEPARATOR)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
-    joined = joined.withColumn("_lines", lines)
-    text = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), _SEPARATOR)
-    rest = [c for c in docs.columns if c != "text"]
-    return joined.select(*rest, F.when(F.col("_drops").isNull(), F.col("text")).otherwise(text).alias("text"),
-                         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_lines_removed")).select(
-        *docs.columns, "n_lines_removed")
+    drops = removed_lines(docs, min_chars).groupBy("doc_id", "th").agg(F.collect_set("no").alias("drops"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text",
+                        F.xxhash64("text").alias("th"))
+    joined = whole.join(drops, ["doc_id", "th"], "left").withColumn("lines", F.split("text", _SEPARATOR))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get("lines", i)), _SEPARATOR))
+    return joined.select(
+        *[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c != "n_lines_removed"],
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_lines_removed"))

@@ -11,7 +11,7 @@ The round function is SHA-256 over key, kind, round and half. The key is a param
 What looks like a number but does not validate (a card number with a wrong check digit, a 13th month) is left alone.
 
 Defined cases: NULL text stays NULL and empty text empty; repeated rows get equal results; an empty table gives an empty
-one; all columns are kept, only ``text`` changes.
+one; all columns are kept, only ``text`` changes; a column named ``n_replaced`` is replaced.
 """
 
 from __future__ import annotations
@@ -166,11 +166,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     if not key:
         raise ValueError("an empty key gives no protection")
     text = F.when(F.col("text").rlike(_MAYBE), F.col("text"))
-    split = docs.select("*", F.split(text, PATTERN, -1).alias("_pieces"),
-                        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_matches"))
-    masked = split.withColumn("_masked", F.when(F.size("_matches") > 0, F.transform(
-        "_matches", lambda m: pseudonym(m, F.lit(key)))))
-    joined = F.array_join(F.zip_with("_pieces", "_masked", lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_matches", "_masked", lambda a, b: a != b), lambda x: x))
-    out = masked.withColumn("text", F.coalesce(F.when(F.col("_masked").isNotNull(), joined), F.col("text")))
-    return out.withColumn("n_replaced", F.coalesce(changed, F.lit(0)).cast("long")).select(*docs.columns, "n_replaced")
+    split = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text",
+                        F.split(text, PATTERN, -1).alias("pieces"),
+                        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("matches"))
+    masked = split.withColumn("masked", F.when(F.size("matches") > 0, F.transform(
+        "matches", lambda m: pseudonym(m, F.lit(key)))))
+    joined = F.array_join(F.zip_with("pieces", "masked", lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("matches", "masked", lambda a, b: a != b), lambda x: x))
+    new = F.coalesce(F.when(F.col("masked").isNotNull(), joined), F.col("text"))
+    return masked.select(
+        *[(new if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c != "n_replaced"],
+        F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"))
