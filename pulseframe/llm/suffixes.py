@@ -37,7 +37,7 @@ from pulseframe.llm.shared import store, texts
 
 LENGTH, GRAM = 100, 24
 #: Documents are handled together up to so many bytes; a longer one is cut into overlapping parts of this size.
-_BUFFER = 2 << 20
+_BUFFER = 512 << 10
 _PLACE = 24  # bits of a position in a buffer
 #: One document in so many is looked at to find hot anchors.
 _SAMPLED = 32
@@ -150,18 +150,30 @@ def runs(docs: DataFrame, length: int = LENGTH, hot: np.ndarray | None = None) -
         run, "gram long, run long, doc_id long, th long, start int, n int, off int, hot boolean")
 
 
+def _sampled(docs: DataFrame, length: int) -> DataFrame:
+    """The anchors of the runs of a sample of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, parts in _buffers(batch, length):
+                sizes = np.array([len(p) for p in parts])
+                gram = anchors(np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.cumsum(sizes), sizes), length)[0]
+                yield pa.record_batch([pa.array(gram.view(np.int64))], ["gram"])
+
+    return docs.where(F.pmod(F.col("th"), F.lit(_SAMPLED)) == 0).select("text").mapInArrow(run, "gram long")
+
+
 def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
     """Anchors that hold more than a quarter of a task's mean share of all runs, judged by a sample of the documents."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = store(runs(docs.where(F.pmod(F.col("th"), F.lit(_SAMPLED)) == 0), length).groupBy("gram").agg(
-        F.count("*").alias("many")).where("many > 1"))
+    counts = store(_sampled(docs, length).groupBy("gram").agg(F.count("*").alias("many")))
     total = counts.agg(F.sum("many")).first()[0] or 0
     least = max(32.0, total / (4 * tasks))
     found = counts.where(F.col("many") > least).select("gram").toArrow()
     return found["gram"].to_numpy().astype(np.int64)
 
 
-def _decided(found: DataFrame) -> DataFrame:
+def _decided(found: DataFrame, any_hot: bool) -> DataFrame:
     """The runs that are not alone: ``again`` if an equal one came earlier, else they are the earliest of several kinds."""
     cold = found.where("NOT hot")
     of_gram = Window.partitionBy("gram")
@@ -170,8 +182,10 @@ def _decided(found: DataFrame) -> DataFrame:
     sorted_once = cold.select(*columns, F.rank().over(of_run).alias("place"),
                               (F.min("run").over(of_gram) != F.max("run").over(of_gram)).alias("mixed"))
     decided = sorted_once.where("place > 1 OR mixed").select(*columns, (F.col("place") > 1).alias("again"))
+    if not any_hot:
+        return decided
 
-    hot = found.where("hot")
+    hot = store(found.where("hot"))
     firsts = hot.groupBy("gram", "run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("many"))
     kinds = firsts.groupBy("gram").agg(F.count("*").alias("kinds"))
     known = firsts.join(kinds, "gram").where("many > 1 OR kinds > 1")
@@ -308,10 +322,12 @@ def _repeated_hot(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, th, start, n: runs of repeated windows. ``docs`` has doc_id, th and text."""
     known = docs.where("doc_id IS NOT NULL")
-    decided = store(_decided(runs(known, length, hot_anchors(known, length))))
+    hot = hot_anchors(known, length)
+    decided = store(_decided(runs(known, length, hot), len(hot) > 0))
     marks = decided.where("again").select("doc_id", "th", "start", "n")
     contexts = store(_contexts(known, decided.where("NOT again"), length))
-    return marks.unionByName(_repeated_in_groups(contexts, length)).unionByName(_repeated_hot(contexts, length))
+    marks = marks.unionByName(_repeated_in_groups(contexts, length))
+    return marks.unionByName(_repeated_hot(contexts, length)) if len(hot) else marks
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
