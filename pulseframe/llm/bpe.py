@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pulseframe.llm.units import Bounded, encode_texts, pretokens
 
 #: Distinct pre-tokens and units in a generation of what a worker remembers.
-PRETOKENS, UNITS = 500_000, 100_000
+PRETOKENS, UNITS = 500_000, 200_000
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -113,6 +113,8 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         known = self._known
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return known[text]  # letters alone, after one space at most, are one pre-token
         return [i for token in self._split(text) for i in known[token]]
 
     def decode(self, ids: list[int]) -> bytes:

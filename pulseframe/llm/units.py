@@ -16,7 +16,7 @@ import regex
 #: The white space that ``\s`` means in the tokenizer library, as a property of Unicode.
 _SPACE, _NO_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 #: Texts are taken together up to this many bytes.
-_CHUNK = 8 << 20
+_CHUNK = 16 << 20
 
 
 def pretokens(pattern: str) -> Callable[[str], list[str]]:
@@ -67,10 +67,10 @@ def encode_texts(text: pa.Array, encode: Callable[[str], object]) -> Iterator[li
         words = coded.dictionary.to_pylist()
         loose = {i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()}
         values = [None if i in loose else encode(" " + w) for i, w in enumerate(words)]
-        index, ends = coded.indices.to_numpy().tolist(), pieces.offsets.to_numpy().tolist()
+        index, ends = coded.indices.to_numpy(), pieces.offsets.to_numpy().tolist()
         first = ends[0]
         for k, whole in enumerate(part):
-            own = index[ends[k] - first:ends[k + 1] - first]
+            own = index[ends[k] - first:ends[k + 1] - first].tolist()
             if loose and not loose.isdisjoint(own):
                 yield [encode(whole.as_py())]
             else:
