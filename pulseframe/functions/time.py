@@ -13,7 +13,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, functions as F
 
-from ..schema import BACKFILL_CHUNK_DAYS, BACKFILL_EPOCH, DEFAULT_TZ, MAX_DAYS
+from ..schema import BACKFILL_CHUNK_DAYS, BACKFILL_EPOCH, DEFAULT_TZ
 
 DAY_MICROS = 86_400_000_000
 NIGHT_SHIFT_HOURS = 6  # a segment that starts before 06:00 belongs to the night before
@@ -40,21 +40,22 @@ def days_before(day, days: int) -> dt.date:
 
 
 def check_range(start, end) -> tuple[dt.date, dt.date]:
-    """A validated closed date range no longer than the allowed window."""
+    """A validated closed date range, of any length."""
     a, b = as_date(start), as_date(end)
     if a > b:
         raise ValueError(f"start {a} is after end {b}")
-    if (b - a).days > MAX_DAYS:
-        raise ValueError(f"range exceeds {MAX_DAYS} days; narrow the window")
     return a, b
 
 
-def clamp(value, low: int, high: int) -> int:
-    """An integer argument forced into [low, high]; unusable input gives low."""
+def positive(value, name: str) -> int:
+    """An integer argument of at least one; anything else is an error, never a guess."""
     try:
-        return max(low, min(int(value), high))
+        number = int(value)
     except (TypeError, ValueError):
-        return low
+        raise ValueError(f"{name} must be a whole number, got {value!r}") from None
+    if number < 1:
+        raise ValueError(f"{name} must be at least 1, got {number}")
+    return number
 
 
 def day_start(day: dt.date, tz: str = DEFAULT_TZ) -> dt.datetime:

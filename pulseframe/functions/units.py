@@ -12,36 +12,76 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import QUANTITY_PREFIX
 
 # --- fixed values ----------------------------------------------------------
-# Preferred unit of each quantity, by unit.
+# Preferred unit of each quantity.
 PREFERRED_UNITS = {
-    "count": ("StepCount", "BodyMassIndex", "FlightsClimbed", "PushCount", "UVExposure",
-              "SwimmingStrokeCount", "NikeFuel", "InhalerUsage", "NumberOfTimesFallen"),
-    "m": ("DistanceWalkingRunning", "DistanceCycling", "DistanceSwimming", "Height",
-          "WaistCircumference", "SixMinuteWalkTestDistance", "WalkingStepLength",
-          "DistanceDownhillSnowSports", "DistanceWheelchair", "RunningStrideLength",
-          "UnderwaterDepth"),
-    "kcal": ("ActiveEnergyBurned", "BasalEnergyBurned", "DietaryEnergyConsumed"),
-    "count/min": ("HeartRate", "RestingHeartRate", "WalkingHeartRateAverage", "RespiratoryRate",
-                  "CyclingCadence"),
-    "ms": ("HeartRateVariabilitySDNN", "RunningGroundContactTime"),
-    "%": ("OxygenSaturation", "BodyFatPercentage", "WalkingAsymmetryPercentage",
-          "WalkingDoubleSupportPercentage", "AppleWalkingSteadiness", "PeripheralPerfusionIndex",
-          "BloodAlcoholContent", "AtrialFibrillationBurden"),
-    "mmHg": ("BloodPressureSystolic", "BloodPressureDiastolic"),
-    "kg": ("BodyMass", "LeanBodyMass"),
-    "mg/dL": ("BloodGlucose",),
-    "degC": ("BodyTemperature", "BasalBodyTemperature", "WaterTemperature"),
-    "ml/kg·min": ("VO2Max",),
-    "min": ("AppleExerciseTime", "AppleStandTime", "AppleMoveTime", "TimeInDaylight"),
-    "dBASPL": ("EnvironmentalAudioExposure", "HeadphoneAudioExposure"),
-    "L": ("DietaryWater", "ForcedVitalCapacity", "ForcedExpiratoryVolume1"),
-    "mg": ("DietaryCaffeine",),
-    "m/s": ("WalkingSpeed", "StairAscentSpeed", "StairDescentSpeed", "CyclingSpeed",
-            "RunningSpeed"),
-    "L/min": ("PeakExpiratoryFlowRate",),
-    "W": ("CyclingPower", "RunningPower", "CyclingFunctionalThresholdPower"),
-    "cm": ("RunningVerticalOscillation",),
-    "kcal/hr·kg": ("PhysicalEffort",),
+    "StepCount": "count",
+    "DistanceWalkingRunning": "m",
+    "DistanceCycling": "m",
+    "DistanceSwimming": "m",
+    "ActiveEnergyBurned": "kcal",
+    "BasalEnergyBurned": "kcal",
+    "HeartRate": "count/min",
+    "RestingHeartRate": "count/min",
+    "WalkingHeartRateAverage": "count/min",
+    "HeartRateVariabilitySDNN": "ms",
+    "OxygenSaturation": "%",
+    "BloodPressureSystolic": "mmHg",
+    "BloodPressureDiastolic": "mmHg",
+    "RespiratoryRate": "count/min",
+    "BodyMass": "kg",
+    "BodyMassIndex": "count",
+    "BodyFatPercentage": "%",
+    "Height": "m",
+    "LeanBodyMass": "kg",
+    "WaistCircumference": "m",
+    "BloodGlucose": "mg/dL",
+    "BodyTemperature": "degC",
+    "BasalBodyTemperature": "degC",
+    "FlightsClimbed": "count",
+    "PushCount": "count",
+    "VO2Max": "ml/kg·min",
+    "AppleExerciseTime": "min",
+    "AppleStandTime": "min",
+    "AppleMoveTime": "min",
+    "UVExposure": "count",
+    "EnvironmentalAudioExposure": "dBASPL",
+    "HeadphoneAudioExposure": "dBASPL",
+    "DietaryEnergyConsumed": "kcal",
+    "DietaryWater": "L",
+    "DietaryCaffeine": "mg",
+    "SixMinuteWalkTestDistance": "m",
+    "WalkingSpeed": "m/s",
+    "StairAscentSpeed": "m/s",
+    "StairDescentSpeed": "m/s",
+    "WalkingAsymmetryPercentage": "%",
+    "WalkingDoubleSupportPercentage": "%",
+    "AppleWalkingSteadiness": "%",
+    "WalkingStepLength": "m",
+    "DistanceDownhillSnowSports": "m",
+    "DistanceWheelchair": "m",
+    "SwimmingStrokeCount": "count",
+    "NikeFuel": "count",
+    "PeripheralPerfusionIndex": "%",
+    "ForcedVitalCapacity": "L",
+    "ForcedExpiratoryVolume1": "L",
+    "PeakExpiratoryFlowRate": "L/min",
+    "InhalerUsage": "count",
+    "BloodAlcoholContent": "%",
+    "NumberOfTimesFallen": "count",
+    "AtrialFibrillationBurden": "%",
+    "CyclingPower": "W",
+    "RunningPower": "W",
+    "CyclingFunctionalThresholdPower": "W",
+    "CyclingCadence": "count/min",
+    "CyclingSpeed": "m/s",
+    "RunningSpeed": "m/s",
+    "RunningStrideLength": "m",
+    "RunningVerticalOscillation": "cm",
+    "RunningGroundContactTime": "ms",
+    "UnderwaterDepth": "m",
+    "WaterTemperature": "degC",
+    "TimeInDaylight": "min",
+    "PhysicalEffort": "kcal/hr·kg",
 }
 # Units tried, in this order, for a quantity without a usable preferred unit.
 FALLBACK_UNITS = ("count", "kcal", "m", "kg", "%", "s", "min", "L", "degC", "mmHg",
@@ -101,8 +141,7 @@ UNIT_SIZES = {
 
 def preferred_units(spark: SparkSession) -> DataFrame:
     """metric_type -> preferred_unit."""
-    rows = [{"metric_type": QUANTITY_PREFIX + name, "preferred_unit": unit}
-            for unit, names in PREFERRED_UNITS.items() for name in names]
+    rows = [{"metric_type": QUANTITY_PREFIX + name, "preferred_unit": unit} for name, unit in PREFERRED_UNITS.items()]
     return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 

@@ -16,23 +16,26 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.metrics import is_summarisable
 from ..functions.numbers import half_up, ratio
 from ..functions.time import as_date, days_before, in_days, local_day
-from ..schema import DAY_KEY, DEFAULT_TZ, RAW_DAYS
+from ..schema import DAY_KEY, DEFAULT_TZ
 from .scans import summaries_between
 
 POINT_VALUES = ("avg_value", "min_value", "max_value", "sum_value", "sample_count", "unit")
 
 
 def daily_from_raw(samples: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Daily points of raw samples; NULL values are left out."""
-    return (samples.filter(F.col("value").isNotNull())
-            .groupBy("user_id", "metric_type", local_day("started_at", tz).alias("date"))
-            .agg(half_up(F.avg("value"), 4).alias("avg_value"),
-                 F.min("value").alias("min_value"),
-                 F.max("value").alias("max_value"),
-                 half_up(F.sum("value"), 4).alias("sum_value"),
-                 F.count("value").alias("sample_count"),
-                 F.max("unit").alias("unit"))
-            .withColumn("source", F.lit("raw")))
+    """Daily points of raw samples; NULL values are left out.
+
+    The unit is a grouping key first, so that all buffers are numbers and the raw
+    rows are aggregated by hash; a day's few units are folded afterwards.
+    """
+    by_unit = (samples.filter(F.col("value").isNotNull())
+               .groupBy("user_id", "metric_type", local_day("started_at", tz).alias("date"), "unit")
+               .agg(F.sum("value").alias("_sum"), F.min("value").alias("_min"), F.max("value").alias("_max"),
+                    F.count("value").alias("_n")))
+    return by_unit.groupBy(*DAY_KEY).agg(
+        half_up(F.sum("_sum") / F.sum("_n"), 4).alias("avg_value"), F.min("_min").alias("min_value"),
+        F.max("_max").alias("max_value"), half_up(F.sum("_sum"), 4).alias("sum_value"),
+        F.sum("_n").alias("sample_count"), F.max("unit").alias("unit")).withColumn("source", F.lit("raw"))
 
 
 def daily_summary(samples: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
@@ -58,40 +61,53 @@ def _from_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.select(*DAY_KEY, *POINT_VALUES).withColumn("source", F.lit("summary"))
 
 
-def tiered_daily(samples: DataFrame, summaries: DataFrame | None, as_of, days: int,
-                 raw_days: int = RAW_DAYS, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Daily points of the last `days` days: raw samples from ``as_of - raw_days`` on,
-    stored summaries before it.  The tiers meet at a local day and never overlap."""
+def _raw_first(points: DataFrame) -> DataFrame:
+    """One point per day where both tiers may have one: the raw one."""
+    raw = F.col("source") == "raw"
+
+    def pick(name):
+        return F.when(F.max(raw), F.max(F.when(raw, F.col(name)))).otherwise(F.max(F.when(~raw, F.col(name)))).alias(name)
+
+    return points.groupBy(*DAY_KEY).agg(
+        *[pick(c) for c in POINT_VALUES], F.when(F.max(raw), "raw").otherwise("summary").alias("source"))
+
+
+def tiered_daily(samples: DataFrame, summaries: DataFrame | None, as_of, days: int, raw_from=None,
+                 tz: str = DEFAULT_TZ) -> DataFrame:
+    """Daily points of the last `days` days.
+
+    `raw_from` is the first local day that counts as raw, the cut of the store's last
+    retention run; summaries count before it.  Without a cut all raw samples count, and
+    summaries only on days without any.
+    """
     as_of = as_date(as_of)
-    cut, start = days_before(as_of, raw_days), days_before(as_of, days)
+    start = days_before(as_of, days)
+    if raw_from is None:
+        return series_range(samples, summaries, start, as_of, None, tz)
+    cut = as_date(raw_from)
     points = daily_from_raw(samples.filter(in_days("started_at", max(start, cut), as_of, tz)), tz)
     if summaries is None or start >= cut:
         return points
-    old = summaries_between(summaries, start, cut - dt.timedelta(days=1))
+    old = summaries_between(summaries, start, min(as_of, cut - dt.timedelta(days=1)))
     return points.unionByName(_from_summaries(old))
 
 
-def series_range(samples: DataFrame, summaries: DataFrame | None, as_of, start, end,
-                 raw_days: int = RAW_DAYS, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Daily points of the closed range [start, end].  Both tiers may hold the cut day;
-    there the raw samples win."""
+def series_range(samples: DataFrame, summaries: DataFrame | None, start, end, raw_from=None,
+                 tz: str = DEFAULT_TZ) -> DataFrame:
+    """Daily points of the closed range [start, end], one pass over each tier.
+
+    Where both tiers have a day, which with a cut can only be the cut itself, the raw
+    samples win.  Raw samples from before the cut do not count.
+    """
     start, end = as_date(start), as_date(end)
-    cut = days_before(as_of, raw_days)
-    points = None
-    if max(start, cut) <= end:
-        points = daily_from_raw(samples.filter(in_days("started_at", max(start, cut), end, tz)), tz)
-    if summaries is not None and start <= min(end, cut):
-        old = _from_summaries(summaries_between(summaries, start, min(end, cut)))
-        if points is None:
-            return old
-        # Only the cut day can be in both tiers, so only that day is compared.
-        shared = daily_from_raw(samples.filter(in_days("started_at", cut, cut, tz)), tz)
-        older = old.filter(F.col("date") < F.lit(cut))
-        on_cut = old.filter(F.col("date") == F.lit(cut)).join(shared.select(*DAY_KEY), list(DAY_KEY), "left_anti")
-        points = points.unionByName(older).unionByName(on_cut)
-    if points is None:  # nothing of the range is stored as raw samples and there are no summaries
-        points = daily_from_raw(samples.filter(F.lit(False)), tz)
-    return points
+    first = start if raw_from is None else max(start, as_date(raw_from))
+    inside = in_days("started_at", first, end, tz) if first <= end else F.lit(False)
+    points = daily_from_raw(samples.filter(inside), tz)
+    last = end if raw_from is None else min(end, as_date(raw_from))
+    if summaries is None or last < start:
+        return points
+    old = _from_summaries(summaries_between(summaries, start, last))
+    return old if first > end else _raw_first(points.unionByName(old))
 
 
 def daily_quantity_view(samples: DataFrame, summaries: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:

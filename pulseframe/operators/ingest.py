@@ -14,22 +14,32 @@ from ..functions.time import as_col
 from ..functions.units import preferred_units, unit_conversions
 from ..schema import MAX_BATCH, MAX_STRING, SAMPLE_COLUMNS, SAMPLE_KEY, SLEEP
 
+CORRUPT = "_corrupt_record"  # where Spark's JSON reader puts a line that it cannot read
+PLACES = 5000
 
-def check_batches(batches: DataFrame, max_samples: int = MAX_BATCH, max_string: int = MAX_STRING) -> DataFrame:
-    """Adds ``verdict``: 'accepted', 'empty', 'too many samples' or 'string too long'.
+
+def check_batches(batches: DataFrame, max_samples: int | None = MAX_BATCH, max_string: int | None = MAX_STRING) -> DataFrame:
+    """Adds ``verdict``: 'accepted', 'unreadable', 'empty', 'too many samples' or 'string too long'.
 
     A batch is one row with a `samples` array, so each is judged where it lies,
-    without a shuffle.
+    without a shuffle.  A bound of None lifts that guard.  What is not accepted belongs
+    in the reject table, see `rejects`.
     """
     n = F.coalesce(F.size("samples"), F.lit(0))
     n = F.when(F.col("samples").isNull(), 0).otherwise(n)
-    too_long = F.exists("samples", lambda s: (
-        (F.coalesce(F.length(s["metric_type"]), F.lit(0)) > max_string)
-        | (F.coalesce(F.length(s["unit"]), F.lit(0)) > max_string)
-        | (F.coalesce(F.length(s["source_device"]), F.lit(0)) > max_string)))
-    return batches.withColumn("sample_count", n.cast("bigint")).withColumn(
-        "verdict", F.when(n == 0, "empty").when(n > max_samples, "too many samples")
-        .when(too_long, "string too long").otherwise("accepted"))
+
+    def long(s, name):
+        return F.coalesce(F.length(s[name]), F.lit(0)) > (max_string or 0)
+
+    too_long = F.exists("samples", lambda s: long(s, "metric_type") | long(s, "unit") | long(s, "source_device"))
+    verdict = F.when(n == 0, "empty")
+    if CORRUPT in batches.columns:
+        verdict = F.when(F.col(CORRUPT).isNotNull(), "unreadable").when(n == 0, "empty")
+    if max_samples is not None:
+        verdict = verdict.when(n > max_samples, "too many samples")
+    if max_string is not None:
+        verdict = verdict.when(too_long, "string too long")
+    return batches.withColumn("sample_count", n.cast("bigint")).withColumn("verdict", verdict.otherwise("accepted"))
 
 
 def _unpacked(batches: DataFrame, batch_order: Column | str) -> DataFrame:
@@ -37,26 +47,44 @@ def _unpacked(batches: DataFrame, batch_order: Column | str) -> DataFrame:
     rows = (batches.filter(F.col("verdict") == "accepted")
             .select("user_id", as_col(batch_order).cast("bigint").alias("_b"),
                     F.posexplode("samples").alias("_pos", "s")))
-    return rows.select(
+    rows = rows.select(
         "user_id", s["metric_type"].alias("metric_type"), s["value"].alias("value"),
         s["unit"].alias("unit"), s["source_device"].alias("source_device"),
         s["started_at"].try_cast("timestamp").alias("started_at"),
         s["ended_at"].try_cast("timestamp").alias("ended_at"), s["metadata"].alias("metadata"),
-        (F.col("_b") * 1_000_000 + F.col("_pos")).alias("seq"))
+        # batch number and place in the batch; a microsecond clock as batch number fits for 5,000 places
+        (F.try_multiply(F.coalesce("_b", F.lit(0)), F.lit(PLACES)) + F.col("_pos")).alias("seq"))
+    reason = (F.when(F.col("user_id").isNull(), "no user").when(F.col("started_at").isNull(), "unreadable start")
+              .when(F.coalesce(F.trim("metric_type"), F.lit("")) == "", "no metric")
+              .when(F.col("seq").isNull(), "batch number out of range"))
+    return rows.withColumn("reason", reason)
 
 
 def samples_of(batches: DataFrame, batch_order: Column | str) -> DataFrame:
     """Samples of the accepted batches, in arrival order.
 
-    ``seq`` is (batch order, position in batch) packed into one number.  A
-    sample whose start time cannot be read is left to `rejected_samples`.
+    ``seq`` orders by batch, then by place in the batch; a batch without a number comes
+    first.  A sample without user, metric or readable start is left to
+    `rejected_samples`.
     """
-    return _unpacked(batches, batch_order).filter(F.col("started_at").isNotNull())
+    return _unpacked(batches, batch_order).filter(F.col("reason").isNull()).drop("reason")
 
 
 def rejected_samples(batches: DataFrame, batch_order: Column | str) -> DataFrame:
-    """Samples of accepted batches whose start time cannot be read."""
-    return _unpacked(batches, batch_order).filter(F.col("started_at").isNull())
+    """Samples of accepted batches that cannot be stored, each with its ``reason``."""
+    return _unpacked(batches, batch_order).filter(F.col("reason").isNotNull())
+
+
+def rejects(batches: DataFrame, batch_order: Column | str) -> DataFrame:
+    """Everything that is not stored, as rows of (user_id, batch_no, reason, content as JSON)."""
+    number = as_col(batch_order).cast("bigint").alias("batch_no")
+    whole = F.coalesce(F.col(CORRUPT), F.to_json("samples")) if CORRUPT in batches.columns else F.to_json("samples")
+    bad = batches.filter(F.col("verdict") != "accepted").select(
+        "user_id", number, F.col("verdict").alias("reason"), whole.alias("content"))
+    samples = rejected_samples(batches, batch_order)
+    fields = [c for c in samples.columns if c != "reason"]
+    return bad.unionByName(samples.select("user_id", F.floor(F.col("seq") / PLACES).alias("batch_no"), "reason",
+                                          F.to_json(F.struct(*fields)).alias("content")))
 
 
 def _pick(df: DataFrame, key, chooser) -> DataFrame:
@@ -83,22 +111,23 @@ def dedupe_batch(df: DataFrame) -> DataFrame:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key=SAMPLE_KEY) -> DataFrame:
-    """New rows replace old ones with the same key; the last copy of a new row counts."""
-    tagged = old.select(*SAMPLE_COLUMNS, F.lit(0).alias("_gen")).unionByName(
-        new.select(*SAMPLE_COLUMNS, F.lit(1).alias("_gen")))
-    rest = [c for c in SAMPLE_COLUMNS if c not in key]
-    return (tagged.groupBy(*key)
-            .agg(F.max_by(F.struct(*rest), F.struct("_gen", "seq")).alias("_r"))
-            .select(*key, "_r.*").select(*SAMPLE_COLUMNS))
+    """New rows replace old ones with the same key; the last copy of a new row counts.
+
+    Only the new rows are aggregated.  `old` has unique keys and is not, and where the
+    new keys are few Spark broadcasts them, so that `old` is not shuffled either.
+    """
+    delta = latest_per_key(new.select(*SAMPLE_COLUMNS), key)
+    return old.select(*SAMPLE_COLUMNS).join(delta.select(*key), list(key), "left_anti").select(*SAMPLE_COLUMNS).unionByName(delta)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key=SAMPLE_KEY) -> DataFrame:
     """The new rows to append: first copy of each key the table does not have yet.
 
-    Both join sides have unique keys, so no key can be hot.
+    The caller prunes `old` to the partitions that the new rows touch; an anti-join needs
+    no distinct keys.
     """
     fresh = first_per_key(new.select(*SAMPLE_COLUMNS), key)
-    return fresh.join(old.select(*key).distinct(), list(key), "left_anti").select(*SAMPLE_COLUMNS)
+    return fresh.join(old.select(*key), list(key), "left_anti").select(*SAMPLE_COLUMNS)
 
 
 def normalise_samples(readings: DataFrame) -> DataFrame:

@@ -47,10 +47,20 @@ def dry_run(samples: DataFrame, as_of, raw_days: int = RAW_DAYS, tz: str = DEFAU
             .withColumn("action", F.when(is_summarisable(), "summarise").otherwise("keep raw")))
 
 
-def run_retention(spark: SparkSession, root: str, as_of, raw_days: int = RAW_DAYS,
-                  tz: str = DEFAULT_TZ) -> int:
+def run_retention(spark: SparkSession, root: str, as_of, raw_days: int = RAW_DAYS, tz: str = DEFAULT_TZ,
+                  drop: bool = False) -> DataFrame:
     """Apply retention to the published tables: one new version with the summaries of the
-    days between the last cut and the new one, and the new cut."""
+    days between the last cut and the new one, and the new cut.  `drop` also takes the
+    expired raw months out of the store; `tables.vacuum` then deletes them.
+
+    Returns the report of the run, stored under ``reports``.
+    """
     samples, _ = tables.open_tiers(spark, root)
     plan = retain(samples, None, as_of, raw_days, tz)
-    return tables.publish_cut(spark, root, plan.summaries, days_before(as_of, raw_days), tz)
+    path = f"{root}/reports/as_of={as_of}"
+    plan.report.write.mode("overwrite").parquet(path)
+    report = spark.read.schema(plan.report.schema).parquet(path)
+    tables.publish_cut(spark, root, plan.summaries, days_before(as_of, raw_days), tz)
+    if drop:
+        tables.drop_expired(spark, root)
+    return report

@@ -40,6 +40,11 @@ def first_per(df: DataFrame, keys, order, limit: int | None) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
+def newest(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The newest `limit` rows of each user."""
+    return first_per(rows, ["user_id"], [F.desc("started_at"), F.desc("seq")], limit)
+
+
 def recent(samples: DataFrame, metric: str, as_of, days: int, limit: int | None = None,
            source: str | None = None, tz: str = DEFAULT_TZ) -> DataFrame:
     """Samples of one metric in the last `days` local days, newest `limit` per user."""
@@ -47,7 +52,7 @@ def recent(samples: DataFrame, metric: str, as_of, days: int, limit: int | None
     df = for_metrics(samples, metric).filter(in_days("started_at", days_before(as_of, days), as_of, tz))
     if source:
         df = df.filter(source_matches(source))
-    return first_per(df, ["user_id"], [F.desc("started_at"), F.desc("seq")], limit)
+    return newest(df, limit)
 
 
 def in_range(samples: DataFrame, metric: str, start, end, tz: str = DEFAULT_TZ) -> DataFrame:

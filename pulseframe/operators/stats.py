@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.metrics import is_cumulative, value_type
 from ..functions.numbers import half_up, ratio
 from ..functions.time import check_range
-from ..schema import MAX_LIMIT
 from .scans import first_per
 
 SERIES = ("user_id", "metric_type")
@@ -96,7 +95,7 @@ def _matches(min_value, max_value) -> Column:
     return hit
 
 
-def search_records(points: DataFrame, min_value=None, max_value=None, limit: int | None = MAX_LIMIT,
+def search_records(points: DataFrame, min_value=None, max_value=None, limit: int | None = None,
                    ascending: bool = False) -> DataFrame:
     """Days whose kind value lies within the inclusive bounds, highest first per series."""
     hits = with_kind_value(points).filter(_matches(min_value, max_value)).select(

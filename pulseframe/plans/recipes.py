@@ -25,13 +25,14 @@ def import_top_types(samples: DataFrame, limit: int = 15) -> DataFrame:
             .select(short_metric_name().alias("metric"), "records"))
 
 
-def freshness(samples: DataFrame, as_of, limit: int = 10, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """The most recently written metrics and their age in hours at the start of `as_of`."""
+def freshness(samples: DataFrame, as_of, limit: int | None = None, tz: str = S.DEFAULT_TZ) -> DataFrame:
+    """Every metric, or the `limit` most recently written, and their age in hours at the start of `as_of`."""
     now = F.lit(day_start(as_of, tz))
     out = samples.groupBy("metric_type").agg(F.count("*").alias("rows"), F.max("started_at").alias("latest_record"))
     age = (F.unix_micros(now) - F.unix_micros("latest_record")) / F.lit(3_600_000_000.0)
-    return (out.orderBy(F.desc("latest_record"), "metric_type").limit(limit)
-            .withColumn("hours_behind", half_up(age, 2)))
+    if limit is not None:
+        out = out.orderBy(F.desc("latest_record"), "metric_type").limit(limit)
+    return out.withColumn("hours_behind", half_up(age, 2))
 
 
 def last_record(samples: DataFrame) -> DataFrame:

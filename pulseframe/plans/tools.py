@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema as S
 from ..functions.metrics import is_summarisable, metadata_number, workout_type
 from ..functions.numbers import half_up
-from ..functions.time import as_date, check_range, clamp, days_before, in_days, local_day
+from ..functions.time import as_date, check_range, days_before, in_days, local_day, positive
 from ..operators import daily, scans, sleep, stats, trends, workouts
 
 # --- fixed values: the note that goes with each HRV trend ------------------
@@ -37,28 +37,37 @@ def _tier_rows(samples, summaries, metrics, user_id):
     return samples, summaries
 
 
-def _range(samples, summaries, as_of, start, end, raw_days, tz, metrics, user_id) -> DataFrame:
+def _range(samples, summaries, start, end, raw_from, tz, metrics, user_id) -> DataFrame:
     """Daily points of a closed range.  Sleep, when asked for, comes as minutes per night;
     the other category metrics have no daily value."""
-    points = daily.series_range(*_tier_rows(samples, summaries, metrics, user_id), as_of, start, end, raw_days, tz)
+    points = daily.series_range(*_tier_rows(samples, summaries, metrics, user_id), start, end, raw_from, tz)
     if S.SLEEP not in metrics:
         return points
-    # A night runs past midnight, so its segments may start on the following day.
-    window = in_days("started_at", start, as_date(end) + dt.timedelta(days=1), tz)
-    segs = sleep.segments(scans.for_user(samples, user_id).filter(window), tz=tz)
-    nightly = sleep.nights(segs.filter(F.col("night_date").between(F.lit(as_date(start)), F.lit(as_date(end)))))
-    asleep = sleep.as_points(nightly)
+    asleep = sleep.as_points(sleep.nights(_nights_of(samples, start, end, sleep.DEFAULT_SOURCE, user_id, tz)))
     return asleep if tuple(metrics) == (S.SLEEP,) else points.unionByName(asleep)
 
 
-def _series(samples, summaries, as_of, days, raw_days, tz, metrics, user_id) -> DataFrame:
+def _nights_of(samples, start, end, source, user_id, tz) -> DataFrame:
+    """Sleep segments of the nights from `start` to `end`.  A night runs past midnight, so its
+    segments may start on the following day."""
+    window = in_days("started_at", start, as_date(end) + dt.timedelta(days=1), tz)
+    segs = sleep.segments(scans.for_user(samples, user_id).filter(window), source, tz)
+    return segs.filter(F.col("night_date").between(F.lit(as_date(start)), F.lit(as_date(end))))
+
+
+def _series(samples, summaries, as_of, days, raw_from, tz, metrics, user_id) -> DataFrame:
     """Daily points of the window ending at `as_of`."""
-    start = days_before(as_of, clamp(days, 1, S.MAX_DAYS))
-    return _range(samples, summaries, as_of, start, as_of, raw_days, tz, metrics, user_id)
+    start = days_before(as_of, positive(days, "days"))
+    return _range(samples, summaries, start, as_of, raw_from, tz, metrics, user_id)
 
 
-def _tiered(samples, summaries, as_of, days, raw_days, tz, metrics, user_id) -> DataFrame:
-    return daily.tiered_daily(*_tier_rows(samples, summaries, metrics, user_id), as_of, days, raw_days, tz)
+def _tiered(samples, summaries, as_of, days, raw_from, tz, metrics, user_id) -> DataFrame:
+    return daily.tiered_daily(*_tier_rows(samples, summaries, metrics, user_id), as_of, positive(days, "days"), raw_from, tz)
+
+
+def _moment():
+    """The order of samples of one instant is that of their arrival."""
+    return F.struct("started_at", "seq")
 
 
 # --- overview --------------------------------------------------------------
@@ -67,13 +76,13 @@ def get_health_summary(samples: DataFrame, as_of, days: int = 7, user_id=None,
     """Steps, HRV, resting heart rate, sleep records and workouts of the last `days` days."""
     as_of = as_date(as_of)
     df = _of(samples, S.STEPS, S.HRV, S.RESTING_HR, S.SLEEP, S.WORKOUT, user_id=user_id)
-    m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
+    m, v = F.col("metric_type"), F.col("value")
     per_day = (df.filter(in_days("started_at", days_before(as_of, days), as_of, tz))
                .groupBy("user_id", "metric_type", local_day("started_at", tz).alias("date"),
                         F.when(m == S.WORKOUT, workout_type()).alias("workout_type"))
                .agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total"),
-                    F.max_by(v, F.when(v.isNotNull(), at)).alias("latest"),
-                    F.max(F.when(v.isNotNull(), at)).alias("latest_at"),
+                    F.max_by(v, F.when(v.isNotNull(), _moment())).alias("latest"),
+                    F.max(F.when(v.isNotNull(), _moment())).alias("latest_at"),
                     F.count(F.when(F.col("metadata").ilike("%sleep%"), 1)).alias("staged")))
 
     def only(metric, c):
@@ -102,10 +111,9 @@ def get_health_summary(samples: DataFrame, as_of, days: int = 7, user_id=None,
 
 def get_sleep(samples: DataFrame, as_of, days: int = 7, source: str | None = sleep.DEFAULT_SOURCE,
               user_id=None, tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
-    """Segments, nights and a per-user summary of the last `days` days."""
+    """Segments, nights and a per-user summary of the last `days` nights, each night whole."""
     as_of = as_date(as_of)
-    df = scans.for_user(samples, user_id).filter(in_days("started_at", days_before(as_of, days), as_of, tz))
-    segs = sleep.segments(df, source, tz)
+    segs = _nights_of(samples, days_before(as_of, days), as_of, source, user_id, tz)
     nightly = sleep.nights(segs)
     shown = segs.select("user_id", "night_date", "stage", "started_at", "ended_at",
                         half_up("minutes", 1).alias("duration_minutes"))
@@ -113,9 +121,9 @@ def get_sleep(samples: DataFrame, as_of, days: int = 7, source: str | None = sle
 
 
 def get_hrv_trend(samples: DataFrame, summaries: DataFrame | None, as_of, days: int = 30, user_id=None,
-                  raw_days: int = S.RAW_DAYS, tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
+                  raw_from=None, tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
     """Daily HRV and the last seven days with data against the seven before."""
-    points = _tiered(samples, summaries, as_of, clamp(days, 1, S.MAX_DAYS), raw_days, tz, (S.HRV,), user_id)
+    points = _tiered(samples, summaries, as_of, days, raw_from, tz, (S.HRV,), user_id)
     per_day = points.filter(F.col("avg_value").isNotNull()).select(
         "user_id", "date", half_up("avg_value", 1).alias("avg_hrv_ms"), "source")
     trend = trends.week_over_week(points).select(
@@ -125,32 +133,35 @@ def get_hrv_trend(samples: DataFrame, summaries: DataFrame | None, as_of, days:
 
 
 def query_metric(samples: DataFrame, summaries: DataFrame | None, metric: str, as_of, days: int = 7,
-                 limit: int | None = 200, user_id=None, raw_days: int = S.RAW_DAYS,
-                 tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
-    """Samples of a short window, daily points of a longer one, and their statistics."""
-    days = clamp(days, 1, S.MAX_DAYS)
-    if days > raw_days:
-        points = _tiered(samples, summaries, as_of, days, raw_days, tz, (metric,), user_id)
+                 limit: int | None = None, user_id=None, raw_from=None, tz: str = S.DEFAULT_TZ,
+                 granularity: str = "samples") -> dict[str, DataFrame]:
+    """The samples of a window, or with ``granularity="day"`` its daily points from both tiers, and
+    statistics.  Statistics cover the whole window; `limit` only shortens the listing of samples."""
+    if granularity == "day":
+        points = _tiered(samples, summaries, as_of, days, raw_from, tz, (metric,), user_id)
         return {"daily": points, "stats": stats.overall(points)}
-    limit = None if limit is None else clamp(limit, 1, S.MAX_LIMIT)
-    rows = scans.recent(scans.for_user(samples, user_id), metric, as_of, days, limit, tz=tz)
-    return {"samples": rows.select("user_id", "value", "unit", "started_at", "ended_at",
-                                   F.col("source_device").alias("source"), "metadata"),
+    if granularity != "samples":
+        raise ValueError(f"granularity is 'samples' or 'day', got {granularity!r}")
+    rows = scans.recent(scans.for_user(samples, user_id), metric, as_of, positive(days, "days"), tz=tz)
+    listed = scans.newest(rows, limit)
+    return {"samples": listed.select("user_id", "value", "unit", "started_at", "ended_at",
+                                     F.col("source_device").alias("source"), "metadata"),
             "stats": rows.groupBy("user_id").agg(
                 F.count("*").alias("count"), half_up(F.avg("value"), 2).alias("avg"),
                 F.min("value").alias("min"), F.max("value").alias("max"))}
 
 
-def get_workouts(samples: DataFrame, as_of, days: int = 30, limit: int | None = 20, user_id=None,
+def get_workouts(samples: DataFrame, as_of, days: int = 30, limit: int | None = None, user_id=None,
                  tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
-    """The newest `limit` workouts per user, their totals and their count by type."""
+    """Workouts per user, the newest `limit` if given, and the totals and count by type of all of them."""
     as_of = as_date(as_of)
     df = scans.for_user(samples, user_id).filter(in_days("started_at", days_before(as_of, days), as_of, tz))
-    rows = workouts.recent_workouts(df, limit, tz)
-    return {"workouts": rows.drop("seq"), "summary": workouts.totals(rows), "by_type": workouts.by_type(rows)}
+    rows = workouts.recent_workouts(df, None, tz)
+    return {"workouts": scans.newest(rows, limit).drop("seq"), "summary": workouts.totals(rows),
+            "by_type": workouts.by_type(rows)}
 
 
-def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT, user_id=None,
+def get_daily_snapshot(samples: DataFrame, day, limit: int | None = None, user_id=None,
                        tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
     """Everything of one local day: highlights per user, the workouts, and the rows themselves.
 
@@ -158,18 +169,17 @@ def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT,
     """
     day = as_date(day)
     df = scans.for_user(samples, user_id).filter(in_days("started_at", day, day, tz))
-    m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
+    m, v = F.col("metric_type"), F.col("value")
 
     def total(metric):
         return half_up(F.sum(F.when(m == metric, v)), 0)
 
     def first(metric):
-        return F.min_by(v, F.when((m == metric) & v.isNotNull(), at))
+        return F.min_by(v, F.when((m == metric) & v.isNotNull(), _moment()))
 
     def rows(metric):
         return F.count(F.when(m == metric, 1))
 
-    cap = S.MAX_LIMIT if limit is None else limit
     highlights = df.groupBy("user_id").agg(
         F.count("*").alias("total_records"), F.count_distinct("metric_type").alias("metrics_present"),
         total(S.STEPS).alias("steps"), total(S.ACTIVE_ENERGY).alias("active_energy_cal"),
@@ -179,7 +189,7 @@ def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT,
         half_up(F.sum(F.when(m == S.WORKOUT, metadata_number("duration_seconds"))) / 60, 1).alias("workout_minutes"),
         F.sum(F.when(m == S.WORKOUT, metadata_number("total_energy_burned_cal"))).alias("_cal"))
     highlights = (highlights.withColumn("workout_calories", half_up("_cal", 1)).drop("_cal")
-                  .withColumn("truncated", F.col("total_records") >= cap))
+                  .withColumn("truncated", F.lit(False) if limit is None else F.col("total_records") > limit))
     return {"highlights": highlights, "rows": scans.on_day(
         scans.for_user(samples, user_id), day, limit, tz).select(
         "user_id", "metric_type", "value", "unit", "source_device", "started_at"),
@@ -188,37 +198,36 @@ def get_daily_snapshot(samples: DataFrame, day, limit: int | None = S.MAX_LIMIT,
 
 
 def get_long_term_trend(samples: DataFrame, summaries: DataFrame | None, as_of, months: int = 24,
-                        metrics: tuple[str, ...] = (), user_id=None, raw_days: int = S.RAW_DAYS,
+                        metrics: tuple[str, ...] = (), user_id=None, raw_from=None,
                         tz: str = S.DEFAULT_TZ) -> dict[str, DataFrame]:
     """Monthly, overall and daily history over both tiers."""
-    days = clamp(months, 1, S.MAX_MONTHS) * 30
-    points = _tiered(samples, summaries, as_of, days, raw_days, tz, metrics, user_id)
+    days = positive(months, "months") * 30
+    points = _tiered(samples, summaries, as_of, days, raw_from, tz, metrics, user_id)
     return {"monthly": stats.monthly_trend(points), "overall": stats.overall(points), "daily": points}
 
 
 def search_records(samples: DataFrame, summaries: DataFrame | None, as_of, days: int = 90, min_value=None,
-                   max_value=None, limit: int | None = 100, metrics: tuple[str, ...] = (), user_id=None,
-                   raw_days: int = S.RAW_DAYS, tz: str = S.DEFAULT_TZ, ascending: bool = False) -> dict[str, DataFrame]:
+                   max_value=None, limit: int | None = None, metrics: tuple[str, ...] = (), user_id=None,
+                   raw_from=None, tz: str = S.DEFAULT_TZ, ascending: bool = False) -> dict[str, DataFrame]:
     """Days on which a metric crossed a threshold, and how many were searched and matched."""
-    limit = None if limit is None else clamp(limit, 1, S.MAX_LIMIT)
-    points = _series(samples, summaries, as_of, days, raw_days, tz, metrics, user_id)
+    points = _series(samples, summaries, as_of, days, raw_from, tz, metrics, user_id)
     return {"records": stats.search_records(points, min_value, max_value, limit, ascending),
             "counts": stats.search_counts(points, min_value, max_value)}
 
 
 def get_metric_stats(samples: DataFrame, summaries: DataFrame | None, as_of, days: int = 90,
-                     metrics: tuple[str, ...] = (), user_id=None, raw_days: int = S.RAW_DAYS,
+                     metrics: tuple[str, ...] = (), user_id=None, raw_from=None,
                      tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Personal baseline statistics and percentiles."""
-    return stats.metric_stats(_series(samples, summaries, as_of, days, raw_days, tz, metrics, user_id))
+    return stats.metric_stats(_series(samples, summaries, as_of, days, raw_from, tz, metrics, user_id))
 
 
 def compare_periods(samples: DataFrame, summaries: DataFrame | None, as_of, a: tuple, b: tuple,
                     label_a: str = "Period A", label_b: str = "Period B", metrics: tuple[str, ...] = (),
-                    user_id=None, raw_days: int = S.RAW_DAYS, tz: str = S.DEFAULT_TZ) -> DataFrame:
+                    user_id=None, raw_from=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Two date ranges of a metric, their difference and a verdict."""
     a, b = check_range(*a), check_range(*b)
-    points = _range(samples, summaries, as_of, min(a[0], b[0]), max(a[1], b[1]), raw_days, tz, metrics, user_id)
+    points = _range(samples, summaries, min(a[0], b[0]), max(a[1], b[1]), raw_from, tz, metrics, user_id)
     return stats.compare_periods(points, a, b, label_a, label_b)
 
 
@@ -233,14 +242,14 @@ def coaching_recovery(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAU
     as_of = as_date(as_of)
     df = _of(samples, S.HRV, S.RESTING_HR, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 14), as_of, tz))
-    m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
+    m, v = F.col("metric_type"), F.col("value")
     week = in_days("started_at", days_before(as_of, 6), as_of, tz)
 
     def of(metric, extra=None):
         return F.when((m == metric) if extra is None else (m == metric) & extra, v)
 
     def newest(metric):
-        return F.max_by(of(metric), F.when((m == metric) & v.isNotNull(), at))
+        return F.max_by(of(metric), F.when((m == metric) & v.isNotNull(), _moment()))
 
     whole = df.groupBy("user_id").agg(
         newest(S.HRV).alias("hrv_latest_ms"), newest(S.RESTING_HR).alias("resting_hr_latest_bpm"),
@@ -301,7 +310,7 @@ def coaching_activity(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAU
 def coaching_markers(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Latest VO2 max of a year; latest and oldest weight of 30 days."""
     as_of = as_date(as_of)
-    m, v, at = F.col("metric_type"), F.col("value"), F.col("started_at")
+    m, v, at = F.col("metric_type"), F.col("value"), _moment()
     month = in_days("started_at", days_before(as_of, 30), as_of, tz)
     df = _of(samples, S.VO2MAX, S.WEIGHT, user_id=user_id).filter(
         in_days("started_at", days_before(as_of, 365), as_of, tz) & v.isNotNull())

@@ -34,12 +34,9 @@ CUMULATIVE_METRICS = (
 ASLEEP_CORE, ASLEEP_DEEP, ASLEEP_REM = 3.0, 4.0, 5.0
 ASLEEP_STAGES = (ASLEEP_CORE, ASLEEP_DEEP, ASLEEP_REM)
 
-# Defaults and argument bounds.
+# Defaults of ingest and retention.
 DEFAULT_TZ = "America/New_York"
 RAW_DAYS = 30
-MAX_DAYS = 1825
-MAX_MONTHS = 120
-MAX_LIMIT = 1000
 MAX_STRING = 256
 MAX_BATCH = 1000
 BACKFILL_EPOCH = "2013-01-01"

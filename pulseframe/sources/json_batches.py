@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.ingest import CORRUPT
 from ..schema import PAYLOAD
 
 
 BATCH_FILES = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("batch_no", T.LongType()),
-                            *PAYLOAD.fields])
+                            *PAYLOAD.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def read_batches(spark: SparkSession, path: str, schema=BATCH_FILES) -> DataFrame:
+def complete(batches: DataFrame, user_id=None) -> DataFrame:
+    """A client's own payload names neither user nor order: the caller gives the user, and a
+    batch without a number is ordered by when its file was written."""
+    arrived = F.unix_micros(F.col("_metadata.file_modification_time"))
+    return batches.withColumn("batch_no", F.coalesce("batch_no", arrived)).withColumn(
+        "user_id", F.coalesce(F.col("user_id"), F.lit(user_id).cast("string")))
+
+
+def read_batches(spark: SparkSession, path: str, schema=BATCH_FILES, user_id=None) -> DataFrame:
     """Batches from JSON-lines files, one document per line.  The schema is given,
-    so nothing is read twice to infer it."""
-    return spark.read.schema(schema).json(path)
+    so nothing is read twice to infer it; a line that is no JSON keeps its text."""
+    return complete(spark.read.schema(schema).json(path), user_id)
 
 
 def parse_batches(df: DataFrame, text: str = "payload") -> DataFrame:

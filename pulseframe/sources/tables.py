@@ -1,16 +1,20 @@
-"""The two stored tiers: parquet layout, scratch space, publishing and upserts.
-
-Raw samples are stored by metric and month of `started_at`; a report on one
-metric over a window then reads only those directories.  Summaries are stored
-by month.  A log next to the tables says which directories are current and
-from which local day on raw quantities still count.  A change writes new
-directories first and appends its log line last, so readers see either the
-old or the new state, and a job that dies half way changes nothing.
+"""The stored tiers: parquet layout, versions, upserts, late rows and deletion.
+
+Raw samples are stored by metric and month of `started_at`, daily summaries by
+month.  A change writes new directories, ``<tier>/version=<n>/…``, for just the
+partitions that it changes, an index that says for every partition which version
+holds it, and last one log line that names the index.  Nothing in force is ever
+overwritten: readers see the old or the new state, and a job that dies before its
+log line changes nothing.  One writer at a time.
+
+The log line has a fixed size; the index has a row per partition (metrics times
+months).  `vacuum` deletes what no index in force refers to.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -19,85 +23,56 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.metrics import is_summarisable
 from ..functions.time import as_date, before_day, day_start, local_day
-from ..operators.daily import combine_summaries, daily_summary
-from ..operators.ingest import latest_per_key, upsert_latest
-from ..schema import RAW_DAYS, SAMPLE_COLUMNS, SUMMARY_COLUMNS
+from ..operators.daily import daily_summary
+from ..operators.ingest import insert_ignore, latest_per_key, upsert_latest
+from ..schema import DAY_KEY, SAMPLE_COLUMNS, SUMMARY_COLUMNS
 
 VERSION_LOG = "_versions"
-LOG_ENTRY = ("version bigint, samples_dir string, summaries_dirs array<string>, samples_schema string, "
-             "summaries_schema string, cut string, tz string, overlapping boolean")
+LOG_ENTRY = ("version bigint, samples_index bigint, summaries_index bigint, samples_schema string, "
+             "summaries_schema string, cut string, tz string, dropped_before string")
+PARTITIONS = {"samples": ["metric_type", "month"], "summaries": ["month"]}
+_COLUMNS = {"samples": SAMPLE_COLUMNS, "summaries": SUMMARY_COLUMNS}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory in the shared folder the cluster names in
-    ``spark.checkpoint.dir``.  Only where that is unset, as in a local test, a
-    temporary folder serves."""
+    """A fresh directory in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without that setting only a session in one process (``local[n]``) gets a temporary
+    folder; on a cluster it would be another one on each machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pulseframe-")
     return f"{base.rstrip('/')}/pulseframe/{name}-{uuid.uuid4().hex}"
 
 
-def _by_month(samples: DataFrame) -> DataFrame:
-    return samples.select(*SAMPLE_COLUMNS).withColumn("month", F.date_format(local_day("started_at", "UTC"), "yyyy-MM"))
+def _with_month(rows: DataFrame, tier: str) -> DataFrame:
+    day = local_day("started_at", "UTC") if tier == "samples" else F.col("date")
+    return rows.select(*_COLUMNS[tier]).withColumn("month", F.date_format(day, "yyyy-MM"))
 
 
-def _writer(rows: DataFrame, rows_per_file: int):
-    """Rows spread over tasks by AQE's rebalance, which splits a metric-month far larger
+def _write(rows: DataFrame, tier: str, path: str, mode: str, rows_per_file: int = 20_000_000) -> None:
+    """Rows spread over tasks by AQE's rebalance, which splits a partition far larger
     than the rest (heart rate usually is) over several tasks and files."""
-    return (rows.hint("rebalance", "metric_type", "month")
-            .sortWithinPartitions("metric_type", "month", "user_id", "started_at")
-            .write.option("maxRecordsPerFile", rows_per_file).partitionBy("metric_type", "month"))
+    keys = PARTITIONS[tier]
+    order = [*keys, "user_id", *(["started_at"] if tier == "samples" else ["metric_type", "date"])]
+    order = list(dict.fromkeys(order))
+    (_with_month(rows, tier).hint("rebalance", *keys).sortWithinPartitions(*order)
+     .write.option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).mode(mode).parquet(path))
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "error", rows_per_file: int = 20_000_000) -> None:
-    """Write raw samples by metric and month."""
-    _writer(_by_month(samples), rows_per_file).mode(mode).parquet(path)
-
-
-def upsert_samples(spark: SparkSession, path: str, new: DataFrame, rows_per_file: int = 20_000_000) -> None:
-    """Upsert into stored samples, rewriting only the metric-months that `new` touches.
-
-    Their names are collected to prune the read; there are at most as many as
-    metrics times months.  The merged rows are staged first, because a plan must
-    not overwrite what it reads.  Running the same upsert again changes nothing,
-    so a run that died in between is simply repeated.
-    """
-    new = _by_month(new)
-    touched = new.select("metric_type", "month").distinct().collect()
-    if not touched:
-        return
-    merged = new.select(*SAMPLE_COLUMNS)
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = latest_per_key(merged)
-    else:
-        months = {}
-        for r in touched:
-            months.setdefault(r["metric_type"], []).append(r["month"])
-        hit = F.lit(False)
-        for metric, names in sorted(months.items()):
-            hit = hit | ((F.col("metric_type") == metric) & F.col("month").isin(*sorted(names)))
-        merged = upsert_latest(stored.filter(hit), merged)
-    staged = shared_dir(spark, "upsert")
-    _by_month(merged).write.parquet(staged)
-    (_writer(spark.read.parquet(staged), rows_per_file)
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+    """Write raw samples by metric and month, without versions."""
+    _write(samples, "samples", path, mode, rows_per_file)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*SAMPLE_COLUMNS)
 
 
-def write_summaries(summaries: DataFrame, path: str, mode: str = "error") -> None:
-    out = summaries.select(*SUMMARY_COLUMNS).withColumn("month", F.date_format("date", "yyyy-MM"))
-    (out.hint("rebalance", "month").sortWithinPartitions("month", "user_id", "metric_type", "date")
-        .write.mode(mode).partitionBy("month").parquet(path))
-
-
+# --- log and index ---------------------------------------------------------
 def _latest_entry(spark: SparkSession, root: str):
     try:
         log = spark.read.schema(LOG_ENTRY).json(f"{root}/{VERSION_LOG}")
@@ -108,12 +83,6 @@ def _latest_entry(spark: SparkSession, root: str):
         raise
 
 
-def _append_entry(spark: SparkSession, root: str, **entry) -> int:
-    line = spark.createDataFrame([entry], LOG_ENTRY).coalesce(1)
-    line.write.mode("append").json(f"{root}/{VERSION_LOG}")
-    return entry["version"]
-
-
 def current_version(spark: SparkSession, root: str) -> int:
     """Number of the version in force, 0 before the first publish."""
     entry = _latest_entry(spark, root)
@@ -121,81 +90,219 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 
 def current_entry(spark: SparkSession, root: str):
-    """The log line in force: directories, schemas, and the raw cut."""
+    """The log line in force: indexes, schemas, and the raw cut."""
     entry = _latest_entry(spark, root)
     if entry is None:
         raise FileNotFoundError(f"nothing published under {root}")
     return entry
 
 
-def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataFrame) -> int:
-    """Write both tiers in full as a new version and make it current.
+def _append_entry(spark: SparkSession, root: str, entry: dict) -> int:
+    spark.createDataFrame([entry], LOG_ENTRY).coalesce(1).write.mode("append").json(f"{root}/{VERSION_LOG}")
+    return entry["version"]
+
+
+def _index_schema(tier: str) -> str:
+    return ", ".join(f"{k} string" for k in PARTITIONS[tier]) + ", version bigint"
+
+
+def _index(spark: SparkSession, root: str, tier: str, number: int) -> DataFrame:
+    """Which version holds each partition."""
+    return spark.read.schema(_index_schema(tier)).parquet(f"{root}/{tier}_index/version={number}")
+
 
-    One writer at a time.  A run that died before the log entry leaves a
-    half-written directory that the next run overwrites.
+def _stored(spark: SparkSession, root: str, tier: str, entry, only: DataFrame | None = None) -> DataFrame:
+    """The rows in force, with their partition columns; `only` names the partitions to read.
+
+    The index is a row per partition, so the join prunes directories before they are read.
     """
-    version = current_version(spark, root) + 1
-    write_samples(samples, f"{root}/samples/version={version}", mode="overwrite")
-    write_summaries(summaries, f"{root}/summaries/version={version}", mode="overwrite")
-    return _append_entry(
-        spark, root, version=version, samples_dir=f"samples/version={version}",
-        summaries_dirs=[f"summaries/version={version}"], samples_schema=samples.select(*SAMPLE_COLUMNS).schema.json(),
-        summaries_schema=summaries.select(*SUMMARY_COLUMNS).schema.json(), cut=None, tz=None, overlapping=False)
-
-
-def publish_cut(spark: SparkSession, root: str, new_summaries: DataFrame, cut, tz: str,
-                overlapping: bool = False) -> int:
-    """Add summaries and, in the same log line, set the local day before which raw
-    quantities no longer count.
-
-    Nothing stored is rewritten: a daily retention run reads the days that expire
-    and writes their summaries, however large both tiers are.  `overlapping` says
-    that stored days may be among the new ones; they are then combined on read.
-    ``publish(spark, root, *open_tiers(...))`` compacts both tiers now and then.
+    keys = PARTITIONS[tier]
+    index = _index(spark, root, tier, entry[f"{tier}_index"])
+    if only is not None:
+        index = index.join(only, keys, "left_semi")
+    schema = T.StructType.fromJson(json.loads(entry[f"{tier}_schema"])).add("version", T.LongType())
+    for k in keys:
+        schema = schema if k in schema.fieldNames() else schema.add(k, T.StringType())
+    try:
+        rows = spark.read.schema(schema).parquet(f"{root}/{tier}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.join(index, ["version", *keys], "left_semi")
+
+
+def _switch(spark: SparkSession, root: str, entry: dict, changed: dict[str, tuple[DataFrame, DataFrame | None]]) -> int:
+    """Write the changed partitions of each tier and their index, then the log line.
+
+    `changed` has per tier the new rows and the partitions that they replace (None: all).
     """
-    old = current_entry(spark, root)
-    version = old["version"] + 1
-    write_summaries(new_summaries, f"{root}/summaries/version={version}", mode="overwrite")
-    return _append_entry(spark, root, **{
-        **old.asDict(), "version": version, "summaries_dirs": [*old["summaries_dirs"], f"summaries/version={version}"],
-        "cut": str(as_date(cut)), "tz": tz, "overlapping": overlapping or old["overlapping"]})
+    version = entry["version"] + 1
+    entry = {**entry, "version": version}
+    for tier, (rows, replaced) in changed.items():
+        keys = PARTITIONS[tier]
+        _write(rows, tier, f"{root}/{tier}/version={version}", "overwrite")
+        schema = T.StructType([f for f in _with_month(rows, tier).schema.fields if f.name not in keys])
+        written = spark.read.schema(T.StructType(schema.fields + [T.StructField(k, T.StringType()) for k in keys])).parquet(
+            f"{root}/{tier}/version={version}").select(*keys).distinct()
+        index = written.withColumn("version", F.lit(version).cast("bigint"))
+        if replaced is not None:
+            kept = _index(spark, root, tier, entry[f"{tier}_index"]).join(replaced, keys, "left_anti")
+            index = index.unionByName(kept.select(*keys, "version"))
+        index.coalesce(1).write.mode("overwrite").parquet(f"{root}/{tier}_index/version={version}")
+        entry[f"{tier}_index"] = version
+    return _append_entry(spark, root, entry)
 
 
-def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, summaries) of the current version, either of which may be empty."""
-    entry = current_entry(spark, root)
+def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataFrame) -> int:
+    """Write both tiers in full as a new version and make it current."""
+    entry = {"version": current_version(spark, root), "samples_schema": samples.select(*SAMPLE_COLUMNS).schema.json(),
+             "summaries_schema": summaries.select(*SUMMARY_COLUMNS).schema.json(), "samples_index": None,
+             "summaries_index": None, "cut": None, "tz": None, "dropped_before": None}
+    return _switch(spark, root, entry, {"samples": (samples, None), "summaries": (summaries, None)})
+
+
+def raw_from(spark: SparkSession, root: str):
+    """The first local day that counts as raw, the `raw_from` to give the reports; None
+    before the first retention run, when all raw samples count."""
+    cut = current_entry(spark, root)["cut"]
+    return as_date(cut) if cut else None
 
-    def table(name: str, dirs: list[str]) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(entry[f"{name}_schema"])).add("month", "string")
-        return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*[f"{root}/{d}" for d in dirs])
 
-    samples = table("samples", [entry["samples_dir"]])
+def open_tiers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, summaries) in force, either of which may be empty.  Raw quantities from
+    before the cut, which their summaries stand for, are left out."""
+    entry = current_entry(spark, root)
+    samples = _stored(spark, root, "samples", entry)
     if entry["cut"]:
         # Metric and month are directories, so expired months are not even listed.
         first_month = str(day_start(entry["cut"], entry["tz"]))[:7]
         samples = samples.filter((F.col("month") >= first_month) | ~is_summarisable())
         samples = samples.filter(~before_day("started_at", entry["cut"], entry["tz"]) | ~is_summarisable())
-    summaries = table("summaries", entry["summaries_dirs"]).select(*SUMMARY_COLUMNS)
-    return samples.select(*SAMPLE_COLUMNS), combine_summaries(summaries) if entry["overlapping"] else summaries
+    return samples.select(*SAMPLE_COLUMNS), _stored(spark, root, "summaries", entry).select(*SUMMARY_COLUMNS)
 
 
-def raw_days_kept(spark: SparkSession, root: str, as_of, default: int = RAW_DAYS) -> int:
-    """Days before `as_of` that are still raw: the `raw_days` to give the reports, so that
-    days between the last retention run's cut and today's are read where they are."""
-    cut = current_entry(spark, root)["cut"]
-    return (as_date(as_of) - as_date(cut)).days if cut else default
+def stored_samples(spark: SparkSession, root: str) -> DataFrame:
+    """All raw samples on disk, also those that summaries stand for."""
+    return _stored(spark, root, "samples", current_entry(spark, root)).select(*SAMPLE_COLUMNS)
+
 
+# --- changes ---------------------------------------------------------------
+def _valid(rows: DataFrame) -> DataFrame:
+    """Rows with a whole key; `ingest.rejected_samples` has the others, with the reason."""
+    return rows.filter(F.col("user_id").isNotNull() & F.col("started_at").isNotNull()
+                       & (F.trim("metric_type") != "")).select(*SAMPLE_COLUMNS)
 
-def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> None:
-    """Upsert samples into the published tables.  Quantities from before the raw cut are
-    merged into the summary of their day, the only form in which that day still exists."""
+
+def _days(rows: DataFrame, cut, tz: str) -> DataFrame:
+    """The summarised days that rows belong to."""
+    late = rows.filter(before_day("started_at", cut, tz) & is_summarisable())
+    return late.select("user_id", "metric_type", local_day("started_at", tz).alias("date")).distinct()
+
+
+def _apply(spark: SparkSession, root: str, new: DataFrame, entry, resolve) -> int:
+    """Merge rows into the touched partitions, and recompute the summaries of touched days
+    from all their raw rows.  Doing the same again changes nothing."""
+    new = _valid(new)
+    if entry["dropped_before"]:
+        gone = before_day("started_at", entry["dropped_before"], entry["tz"]) & is_summarisable()
+        new = new.filter(~gone)
+    touched = _with_month(new, "samples").select(*PARTITIONS["samples"]).distinct()
+    merged = resolve(_stored(spark, root, "samples", entry, touched).select(*SAMPLE_COLUMNS), new)
+    changed = {"samples": (merged, touched)}
+    if entry["cut"]:
+        # Only the touched metric-months are read again; a local day may reach into the next UTC month.
+        days = _days(new, entry["cut"], entry["tz"])
+        near = F.array(F.date_sub("date", 1), F.col("date"), F.date_add("date", 1))
+        around = days.select("metric_type", F.explode(near).alias("d")).select(
+            "metric_type", F.date_format("d", "yyyy-MM").alias("month")).distinct()
+        raw = resolve(_stored(spark, root, "samples", entry, around).select(*SAMPLE_COLUMNS), new)
+        again = daily_summary(raw, entry["tz"]).join(days, list(DAY_KEY), "left_semi")
+        months = days.select(F.date_format("date", "yyyy-MM").alias("month")).distinct()
+        kept = _stored(spark, root, "summaries", entry, months).select(*SUMMARY_COLUMNS).join(
+            days, list(DAY_KEY), "left_anti")
+        changed["summaries"] = (kept.unionByName(again.select(*SUMMARY_COLUMNS)), months)
+    return _switch(spark, root, entry.asDict(), changed)
+
+
+def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame, by_seq: bool = False) -> int:
+    """Upsert samples of any age, last write wins: the new row, or with `by_seq` the one of the
+    higher `seq`, for deliveries that may overtake each other.  Rows of summarised days
+    replace their summaries, so a delivery that is repeated changes nothing."""
+    def newest(old: DataFrame, rows: DataFrame) -> DataFrame:
+        return latest_per_key(old.unionByName(rows))
+
+    return _apply(spark, root, new, current_entry(spark, root), newest if by_seq else upsert_latest)
+
+
+def insert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """Add the samples whose key is not stored yet, as the import of an export does."""
+    def add(old: DataFrame, rows: DataFrame) -> DataFrame:
+        return old.unionByName(insert_ignore(old, rows))
+
+    return _apply(spark, root, new, current_entry(spark, root), add)
+
+
+def upsert_samples(spark: SparkSession, root: str, new: DataFrame, by_seq: bool = False) -> int:
+    """`upsert_into_tiers` that creates the store where there is none."""
+    if current_version(spark, root) == 0:
+        rows = latest_per_key(_valid(new))
+        return publish(spark, root, rows, daily_summary(rows.filter(F.lit(False))))
+    return upsert_into_tiers(spark, root, new, by_seq)
+
+
+def publish_cut(spark: SparkSession, root: str, new_summaries: DataFrame, cut, tz: str) -> int:
+    """Add summaries of newly expired days and, in the same log line, the local day before
+    which raw quantities no longer count.  The cut only moves forward, in one zone.
+
+    Only the months of the new days are rewritten, however large both tiers are.
+    """
+    old = current_entry(spark, root)
+    cut = as_date(cut)
+    if old["cut"] and (cut < as_date(old["cut"]) or tz != old["tz"]):
+        raise ValueError(f"the cut is {old['cut']} in {old['tz']}; it cannot move to {cut} in {tz}")
+    months = new_summaries.select(F.date_format("date", "yyyy-MM").alias("month")).distinct()
+    kept = _stored(spark, root, "summaries", old, months).select(*SUMMARY_COLUMNS).join(
+        new_summaries.select(*DAY_KEY), list(DAY_KEY), "left_anti")
+    rows = kept.unionByName(new_summaries.select(*SUMMARY_COLUMNS))
+    return _switch(spark, root, {**old.asDict(), "cut": str(cut), "tz": tz}, {"summaries": (rows, months)})
+
+
+def drop_expired(spark: SparkSession, root: str) -> int:
+    """Take the raw quantities of whole months before the cut out of the store; their
+    summaries remain.  Late rows of those months can no longer be merged and are left out."""
     entry = current_entry(spark, root)
-    path = f"{root}/{entry['samples_dir']}"
     if not entry["cut"]:
-        upsert_samples(spark, path, new)
-        return
-    late = before_day("started_at", entry["cut"], entry["tz"]) & is_summarisable()
-    upsert_samples(spark, path, new.filter(~late))
-    old_days = latest_per_key(new.filter(late).select(*SAMPLE_COLUMNS))
-    if not old_days.isEmpty():
-        publish_cut(spark, root, daily_summary(old_days, entry["tz"]), entry["cut"], entry["tz"], overlapping=True)
+        return entry["version"]
+    # A UTC month has ended for every zone a day after its end.
+    first_month = str(day_start(entry["cut"], entry["tz"]))[:7]
+    version = entry["version"] + 1
+    index = _index(spark, root, "samples", entry["samples_index"])
+    (index.filter((F.col("month") >= first_month) | ~is_summarisable()).coalesce(1)
+     .write.mode("overwrite").parquet(f"{root}/samples_index/version={version}"))
+    dropped = f"{first_month}-01"
+    return _append_entry(spark, root, {**entry.asDict(), "version": version, "samples_index": version,
+                                       "dropped_before": max(dropped, entry["dropped_before"] or dropped)})
+
+
+def vacuum(spark: SparkSession, root: str) -> list[str]:
+    """Delete the directories that the version in force does not refer to; returns their paths.
+
+    Readers that opened an older version may still need them: run it when there are none.
+    """
+    entry = current_entry(spark, root)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for tier in PARTITIONS:
+        used = {r["version"] for r in _index(spark, root, tier, entry[f"{tier}_index"]).select("version").distinct().collect()}
+        for name, keep in ((tier, used), (f"{tier}_index", {entry[f"{tier}_index"]})):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            fs = folder.getFileSystem(conf)
+            if fs.exists(folder):
+                for status in fs.listStatus(folder):
+                    found = re.fullmatch(r"version=(\d+)", status.getPath().getName())
+                    if found and int(found[1]) not in keep and int(found[1]) <= entry["version"]:
+                        gone.append(str(status.getPath().toString()))
+                        fs.delete(status.getPath(), True)
+    return gone

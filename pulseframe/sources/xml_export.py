@@ -1,9 +1,7 @@
 """The phone's XML export: a stream of ``<Record>`` elements.
 
-Spark's XML source reads one file per task (records may span lines, so files
-are not split).  Exports are one file per user, which is where the parallelism
-comes from; the rows are rebalanced afterwards so one long history does not
-keep a single task busy downstream.
+Spark's XML source reads one file per task, because records may span lines.  Write exports
+as files of a bounded size, at least one per user: the task count then grows with the data.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.metrics import is_importable, is_valid_metric, stage_code
 from ..functions.numbers import number_or_null
 from ..schema import MAX_STRING
+from . import tables
 
 RECORD = ("_type string, _sourceName string, _unit string, _startDate string, "
           "_endDate string, _value string")
@@ -25,12 +24,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("source_file", F.col("_metadata.file_path")))
 
 
-def normalise_records(records: DataFrame, user_id) -> DataFrame:
+def normalise_records(records: DataFrame, user_id, *keep: str) -> DataFrame:
     """Typed samples with an ``import_status`` of 'ok', 'skipped' or 'quarantined'.
 
     A sleep value given as a stage name becomes its code; other text becomes NULL.
     Long strings are cut to the stored width.  A record without a valid metric
-    or start date is quarantined rather than stored with a made-up one.
+    or start date is quarantined rather than stored with a made-up one.  `keep` names
+    further columns of the records to pass on.
     """
     started = F.try_to_timestamp("_startDate", F.lit(DATE_FORMAT))
     return records.select(
@@ -41,12 +41,24 @@ def normalise_records(records: DataFrame, user_id) -> DataFrame:
         F.substring(F.coalesce("_sourceName", F.lit("")), 1, MAX_STRING).alias("source_device"),
         started.alias("started_at"),
         F.try_to_timestamp("_endDate", F.lit(DATE_FORMAT)).alias("ended_at"),
-        F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("string").alias("metadata"), *keep,
         F.when(~is_importable("_type"), "skipped")
          .when(~F.coalesce(is_valid_metric("_type"), F.lit(False)) | started.isNull(), "quarantined")
          .otherwise("ok").alias("import_status"))
 
 
+def import_into_store(spark: SparkSession, path: str, user_id, root: str) -> DataFrame:
+    """The export's valid records into the stored tiers; a key that is stored already, or that
+    comes up again later in the export, is ignored.  Returns the import report.
+
+    ``seq`` is the place of a record: a file is one task, and within it the order is the file's.
+    """
+    records = read_records(spark, path).withColumn("seq", F.monotonically_increasing_id())
+    rows = normalise_records(records, user_id, "seq")
+    tables.insert_into_tiers(spark, root, rows.filter(F.col("import_status") == "ok"))
+    return import_report(rows)
+
+
 def import_report(imported: DataFrame) -> DataFrame:
     """Record counts by outcome."""
     return imported.groupBy("import_status").agg(F.count("*").alias("records"))

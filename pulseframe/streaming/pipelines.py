@@ -1,80 +1,98 @@
 """Incremental ingest with Structured Streaming.
 
-Each pipeline reads new files from a landing directory and appends to a
-parquet sink.  The checkpoint remembers which files were taken and the sink's
-commit log hides half-written batches, so a restarted job neither loses nor
-repeats rows.  Corrections are appended too; `current` resolves them on read,
-which avoids rewriting stored data for every micro-batch.
+Each pipeline reads new files from a landing directory and hands every micro-batch
+to an idempotent step: the checkpoint remembers which files were taken, and a
+micro-batch that is replayed after a failure writes the same rows again, which changes
+nothing.  Rows may be of any age; there is no watermark that could drop them.  What
+cannot be stored goes to a reject table with its reason.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..functions.numbers import half_up
-from ..functions.time import local_day, local_micros
 from ..operators import daily, ingest
 from ..sources import tables
-from ..sources.json_batches import BATCH_FILES
+from ..sources.json_batches import BATCH_FILES, complete
+
 
-def drain(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process everything that has arrived, then stop."""
-    query = (stream.writeStream.format("parquet").outputMode("append").option("path", sink)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Process everything that has arrived, micro-batch by micro-batch, then stop."""
+    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def ingest_batches(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                   max_samples: int = S.MAX_BATCH) -> None:
-    """JSON batch files to typed samples.  Rejected batches are not stored."""
-    batches = spark.readStream.schema(BATCH_FILES).json(landing)
-    rows = ingest.samples_of(ingest.check_batches(batches, max_samples), "batch_no")
-    drain(rows, sink, checkpoint)
+def _batches(spark: SparkSession, landing: str, user_id) -> DataFrame:
+    return complete(spark.readStream.schema(BATCH_FILES).json(landing), user_id)
 
 
-def current(spark: SparkSession, sink: str) -> DataFrame:
-    """The stored samples, last write per key."""
-    return ingest.latest_per_key(spark.read.parquet(sink))
-
-
-def upsert_batches(spark: SparkSession, landing: str, table: str, checkpoint: str,
-                   max_samples: int = S.MAX_BATCH) -> None:
-    """JSON batch files straight into the stored table, last write wins.  A micro-batch
-    that is replayed after a failure upserts the same rows again, which changes nothing."""
-    batches = spark.readStream.schema(BATCH_FILES).json(landing)
-    rows = ingest.samples_of(ingest.check_batches(batches, max_samples), "batch_no")
-    query = (rows.writeStream.foreachBatch(lambda df, _: tables.upsert_samples(df.sparkSession, table, df))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+def _keep_rejects(judged: DataFrame, path: str | None, number: int) -> None:
+    """One directory per micro-batch, written anew if it is replayed."""
+    if path:
+        ingest.rejects(judged, "batch_no").write.mode("overwrite").json(f"{path}/micro_batch={number}")
 
 
-def dedupe(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, delay: str = "2 days") -> None:
-    """Drop re-deliveries of a sample that arrive within `delay`; keys older than
-    the watermark leave the state.  Older corrections belong to the batch upsert."""
-    rows = spark.readStream.schema(schema).parquet(landing).withWatermark("started_at", delay)
-    drain(rows.dropDuplicatesWithinWatermark(list(S.SAMPLE_KEY)), sink, checkpoint)
+def ingest_batches(spark: SparkSession, landing: str, sink: str, checkpoint: str, max_samples: int | None = S.MAX_BATCH,
+                   rejects: str | None = None, user_id=None) -> None:
+    """JSON batch files to typed samples, appended; `current` resolves corrections on read."""
+    def step(batches: DataFrame, number: int) -> None:
+        judged = ingest.check_batches(batches, max_samples)
+        ingest.samples_of(judged, "batch_no").write.mode("overwrite").parquet(f"{sink}/micro_batch={number}")
+        _keep_rejects(judged, rejects, number)
 
+    drain(_batches(spark, landing, user_id), step, checkpoint)
 
-def daily_points(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str, delay: str = "1 day",
-                 tz: str = S.DEFAULT_TZ) -> None:
-    """Daily points of days the watermark has passed.
 
-    Event time is the local wall clock read as if it were UTC, so one-day windows
-    are local days.
-    """
-    rows = (spark.readStream.schema(schema).parquet(landing).filter(F.col("value").isNotNull())
-            .withColumn("wall", F.timestamp_micros(local_micros("started_at", tz)))
-            .withWatermark("wall", delay))
-    points = rows.groupBy("user_id", "metric_type", F.window("wall", "1 day").alias("w")).agg(
-        half_up(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"), half_up(F.sum("value"), 4).alias("sum_value"),
-        F.count("value").alias("sample_count"))
-    drain(points.withColumn("date", local_day("w.start", "UTC")).drop("w"), sink, checkpoint)
-
-
-def closed_and_open(closed: DataFrame, samples: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """Streamed days completed with the days still open, computed from the samples."""
+def current(spark: SparkSession, sink: str) -> DataFrame:
+    """The appended samples, last write per key."""
+    return ingest.latest_per_key(spark.read.parquet(sink).select(*S.SAMPLE_COLUMNS))
+
+
+def upsert_batches(spark: SparkSession, landing: str, root: str, checkpoint: str, max_samples: int | None = S.MAX_BATCH,
+                   rejects: str | None = None, user_id=None) -> None:
+    """JSON batch files straight into the store, last write wins, with the summaries of the
+    days they touch."""
+    def step(batches: DataFrame, number: int) -> None:
+        judged = ingest.check_batches(batches, max_samples)
+        tables.upsert_samples(spark, root, ingest.samples_of(judged, "batch_no"))
+        _keep_rejects(judged, rejects, number)
+
+    drain(_batches(spark, landing, user_id), step, checkpoint)
+
+
+def dedupe(spark: SparkSession, landing: str, schema, root: str, checkpoint: str, files_at_once: int | None = None) -> None:
+    """Sample files into the store; of a sample that is sent again, the copy sent
+    last (the highest `seq`) counts, in whatever order the files arrive."""
+    stream = spark.readStream.schema(schema)
+    if files_at_once:
+        stream = stream.option("maxFilesPerTrigger", files_at_once)
+    drain(stream.parquet(landing), lambda rows, _: tables.upsert_samples(spark, root, rows, by_seq=True), checkpoint)
+
+
+def daily_points(spark: SparkSession, landing: str, schema, root: str, checkpoint: str, closed_before,
+                 tz: str = S.DEFAULT_TZ, files_at_once: int | None = None) -> None:
+    """Sample files into a store that keeps the daily points of all days before `closed_before`
+    as summaries.  A late row of a closed day recomputes that day from its raw samples."""
+    def step(rows: DataFrame, _: int) -> None:
+        if tables.current_version(spark, root) == 0:
+            empty = rows.limit(0)
+            tables.publish(spark, root, empty.select(*S.SAMPLE_COLUMNS), daily.daily_summary(empty, tz))
+            tables.publish_cut(spark, root, daily.daily_summary(empty, tz), closed_before, tz)
+        tables.upsert_into_tiers(spark, root, rows, by_seq=True)
+
+    stream = spark.readStream.schema(schema)
+    if files_at_once:
+        stream = stream.option("maxFilesPerTrigger", files_at_once)
+    drain(stream.parquet(landing), step, checkpoint)
+
+
+def closed_and_open(spark: SparkSession, root: str, tz: str = S.DEFAULT_TZ) -> DataFrame:
+    """The stored points of closed days, and those of open days computed from their samples,
+    the only ones that are read."""
+    samples, closed = tables.open_tiers(spark, root)
     points = daily.daily_from_raw(samples, tz).select(*closed.columns)
-    still_open = points.join(closed.select(*S.DAY_KEY), list(S.DAY_KEY), "left_anti")
-    return closed.withColumn("state", F.lit("closed")).unionByName(still_open.withColumn("state", F.lit("open")))
+    return closed.withColumn("state", F.lit("closed")).unionByName(points.withColumn("state", F.lit("open")))

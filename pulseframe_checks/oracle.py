@@ -283,7 +283,7 @@ def _st(s):
 NIGHT_COLS = (f"{rnd(_st('core'), 1)} core_minutes, {rnd(_st('deep'), 1)} deep_minutes, {rnd(_st('rem'), 1)} rem_minutes, "
               f"{rnd('sum(minutes)', 1)} total_minutes, {rnd('sum(minutes) / 60', 2)} sleep_hours, count(*) segment_count, min(started_at) bedtime")
 NIGHTS = f"nights AS (SELECT user_id, night_date, {NIGHT_COLS} FROM segs GROUP BY 1, 2)"
-S21 = segs(f"source_device ILIKE '%Oura%' AND {win(21)}")
+S21 = segs(f"source_device ILIKE '%Oura%' AND {NIGHT} BETWEEN DATE '2024-01-31' - 21 AND DATE '2024-01-31'")
 add("sleep_segments", samples(SLEEP), S21, f"SELECT user_id, night_date, stage, started_at, ended_at, {rnd('minutes', 1)} duration_minutes FROM segs")
 add("sleep_nights", samples(SLEEP), S21, NIGHTS, "SELECT * FROM nights")
 add("sleep_summary", samples(SLEEP), S21, NIGHTS, f"""SELECT user_id, count(*) nights,
@@ -309,8 +309,7 @@ add("hrv_trend", samples(HRV), daily(), HRV30, TREND, f"""t AS (SELECT user_id,
  FROM r GROUP BY 1)""", """SELECT *, CASE WHEN delta_ms > 0 THEN 'improving' WHEN delta_ms < 0 THEN 'declining' WHEN delta_ms = 0 THEN 'stable' END direction FROM t""")
 add("query_metric_raw", samples(RHR), f"""SELECT user_id, value, unit, started_at, source_device AS source FROM samples WHERE {win(10)}
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, seq DESC) <= 200""")
-add("query_metric_stats", samples(RHR), f"""r AS (SELECT * FROM samples WHERE {win(10)}
- QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, seq DESC) <= 3)""",
+add("query_metric_stats", samples(RHR), f"r AS (SELECT * FROM samples WHERE {win(10)})",
     f"SELECT user_id, count(*) AS count, {rnd('avg(value)', 2)} AS avg, min(value) AS min, max(value) AS max FROM r GROUP BY 1")
 add("query_metric_daily", samples(HRV), daily(), tiered("DATE '2024-01-31' - 28"), f"SELECT {POINT}, source FROM points")
 add("query_metric_overall", samples(STEPS), daily(), tiered("DATE '2024-01-31' - 28"),
@@ -329,9 +328,8 @@ add("daily_snapshot", samples(*SNAP), DAY15, f"""SELECT user_id, count(*) total_
 {rnd('sum(' + m(STEPS, 'value') + ')', 0)} steps, {rnd('sum(' + m(ENERGY, 'value') + ')', 0)} active_energy_cal,
 arg_min({m(RHR, 'value')}, {m(RHR, 'started_at')}) resting_hr_bpm, arg_min({m(HRV, 'value')}, {m(HRV, 'started_at')}) hrv_sdnn_ms,
 arg_min({m(WEIGHT, 'value')}, {m(WEIGHT, 'started_at')}) weight_kg, count({m(SLEEP, 1)}) sleep_records, count({m(WORKOUT, 1)}) workouts,
-{rnd('sum(wsec) / 60', 1)} workout_minutes, {rnd('sum(wcal)', 1)} workout_calories, count(*) >= 1000 AS truncated FROM w GROUP BY 1""")
-add("daily_snapshot_rows", samples(*SNAP), DAY15, """SELECT user_id, metric_type, value, unit, source_device, started_at FROM w
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY metric_type, started_at, seq) <= 1000""")
+{rnd('sum(wsec) / 60', 1)} workout_minutes, {rnd('sum(wcal)', 1)} workout_calories, FALSE AS truncated FROM w GROUP BY 1""")
+add("daily_snapshot_rows", samples(*SNAP), DAY15, """SELECT user_id, metric_type, value, unit, source_device, started_at FROM w""")
 
 # --- coaching --------------------------------------------------------------
 W7 = win(6)
@@ -371,7 +369,7 @@ add("coaching_brief", samples(STEPS, HRV, RHR, SLEEP, WORKOUT, VO2, WEIGHT, ENER
 add("inventory", samples(), "SELECT metric_type, count(*) sample_count, min(started_at) earliest, max(started_at) latest FROM samples GROUP BY 1")
 _AGE = rnd(f"date_diff('microsecond', max(started_at), {midnight(chr(68) + 'ATE ' + chr(39) + '2024-01-31' + chr(39))}) / 3600000000.0::DOUBLE", 2)
 add("freshness", samples(), f"""SELECT metric_type, count(*) AS rows, max(started_at) latest_record, {_AGE} hours_behind
-FROM samples GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10""")
+FROM samples GROUP BY 1""")
 add("recent_rows", samples(HRV), f"SELECT user_id, value, started_at, source_device FROM samples WHERE {win(7)}")
 add("monthly_raw", LONG, f"""SELECT user_id, CAST(date_trunc('month', {day('started_at')}) AS DATE) AS month, {rnd('avg(value)', 2)} avg_value
 FROM long WHERE metric_type = '{RHR}' GROUP BY 1, 2""")
@@ -517,9 +515,11 @@ add("xml_import", samples(), f"""SELECT 'me' user_id, metric_type, value, unit,
 date_trunc('second', ended_at) ended_at, CASE WHEN metric_type = '{WORKOUT}' THEN 'skipped' ELSE 'ok' END import_status FROM samples""")
 add("stream_ingest", PAYLOAD, ACCEPTED, f"""SELECT CAST(user_id AS VARCHAR) user_id, '{STEPS}' metric_type, started_at, value FROM rows
 QUALIFY row_number() OVER (PARTITION BY user_id, started_at ORDER BY batch_no DESC, pos DESC) = 1""")
-add("stream_dedupe", samples(), "SELECT user_id, metric_type, started_at, unit, source_device FROM samples")
-add("stream_daily", samples(*QUANTITIES), daily(), f"""SELECT {POINT}, CASE WHEN CAST(date + 1 AS TIMESTAMP) <= (SELECT date_trunc('millisecond', max({wall('started_at')})) FROM samples) - INTERVAL 1 DAY
-THEN 'closed' ELSE 'open' END state FROM daily""")
+# Of a sample that is sent again, the last copy counts; the ring's second copy is one higher.
+add("stream_dedupe", samples(), """SELECT user_id, metric_type, started_at, unit, source_device,
+CASE WHEN source_device = 'Oura Ring' THEN value + 1 ELSE value END AS value FROM samples""")
+add("stream_daily", samples(*QUANTITIES), daily(), f"""SELECT {POINT}, CASE WHEN date < DATE '2024-01-21' THEN 'closed' ELSE 'open' END state
+FROM daily""")
 ORACLE["stream_upsert"] = ORACLE["stream_ingest"]
 add("xml_import_report", samples(), f"""SELECT CASE WHEN metric_type = '{WORKOUT}' THEN 'skipped' ELSE 'ok' END import_status, count(*) records
 FROM samples GROUP BY 1""")
@@ -534,3 +534,11 @@ add("metric_stats_approx", samples(*QUANTITIES), daily(), VALUED, "o AS (SELECT
 add("last_record", samples(), "SELECT user_id, max(started_at) last_record, count(*) AS rows FROM samples GROUP BY 1")
 add("weekday_sleep", samples(SLEEP), segs(), NIGHTS, f"""SELECT user_id, '{SLEEP}' metric_type, CAST(isodow(night_date) AS BIGINT) weekday, {rnd('avg(total_minutes)', 2)} AS avg,
 count(*) AS days FROM nights GROUP BY 1, 2, 3""")
+add("metric_stats_raw_only", samples(*QUANTITIES), daily(), VALUED, STATS, "SELECT *, p75 good_day_above, p25 poor_day_below FROM stats")
+add("long_term_uncapped", LONG, LDAILY, VALUED, STATS, "SELECT *, p75 good_day_above, p25 poor_day_below FROM stats")
+ORACLE["publish_late_twice"] = ORACLE["publish_tiers"]
+add("xml_to_store", samples(), f"""SELECT 'me' user_id, metric_type, date_trunc('second', started_at) started_at, max(value) AS value
+FROM samples WHERE metric_type IN ('{STEPS}', '{HRV}') GROUP BY 1, 2, 3""")
+add("scan_recent_all", samples(HRV), f"SELECT user_id, value, source_device, started_at FROM samples WHERE {win(14)}")
+add("ingest_rejects", PAYLOAD, f"SELECT CAST(user_id AS VARCHAR) user_id, batch_no, {VERDICT} reason FROM batches WHERE {VERDICT} <> 'accepted'")
+ORACLE["stream_rejects"] = ORACLE["ingest_rejects"]

@@ -15,7 +15,7 @@ from pulseframe.operators import daily, hygiene, ingest, retention, scans, sleep
 from pulseframe.plans import analyses, recipes, tools
 from pulseframe.sources import driver_tables as tables
 from pulseframe.sources import json_batches, xml_export
-from pulseframe.sources.tables import open_tiers, publish, read_samples, shared_dir
+from pulseframe.sources.tables import open_tiers, publish, shared_dir, stored_samples, upsert_into_tiers
 from pulseframe.streaming import pipelines
 
 AS_OF = dt.date(2024, 1, 31)
@@ -89,6 +89,11 @@ def scan_recent(spark, d):
         "user_id", "value", "source_device", "started_at")
 
 
+@query
+def scan_recent_all(spark, d):
+    return scans.recent(raw(spark, d, S.HRV), S.HRV, AS_OF, 14).select("user_id", "value", "source_device", "started_at")
+
+
 @query
 def scan_range(spark, d):
     return scans.in_range(raw(spark, d, S.RESTING_HR), S.RESTING_HR, "2024-01-05", "2024-01-20").select(
@@ -306,14 +311,14 @@ def daily_summary(spark, d):
 @query
 def tiered_daily(spark, d):
     s, old = tiers(spark, d, *QUANTITIES)
-    return daily.tiered_daily(s, old, AS_OF, 25, RAW_DAYS).select(*POINT, "source")
+    return daily.tiered_daily(s, old, AS_OF, 25, CUT).select(*POINT, "source")
 
 
 @query
 def series_range(spark, d):
     s, _ = tiers(spark, d, *QUANTITIES)
     overlapping = daily.daily_summary(s.filter(scans.before_day("started_at", "2024-01-23")))
-    return daily.series_range(s, overlapping, AS_OF, "2024-01-04", "2024-01-28", RAW_DAYS).select(*POINT, "source")
+    return daily.series_range(s, overlapping, "2024-01-04", "2024-01-28", CUT).select(*POINT, "source")
 
 
 @query
@@ -375,17 +380,29 @@ def kind_dispatch(spark, d):
 
 @query
 def metric_stats(spark, d):
-    return tools.get_metric_stats(*tiers(spark, d, *QUANTITIES), AS_OF, 90, raw_days=RAW_DAYS)
+    return tools.get_metric_stats(*tiers(spark, d, *QUANTITIES), AS_OF, 90, raw_from=CUT)
+
+
+@query
+def metric_stats_raw_only(spark, d):
+    """Without a retention run all raw samples count."""
+    return tools.get_metric_stats(raw(spark, d, *QUANTITIES), None, AS_OF, 90)
+
+
+@query
+def long_term_uncapped(spark, d):
+    """A window of eleven years."""
+    return tools.get_metric_stats(tables.long_samples(spark, d), None, LONG_AS_OF, 4000)
 
 
 @query
 def search_records(spark, d):
-    return tools.search_records(*tiers(spark, d, *QUANTITIES), AS_OF, 90, 20.0, 120.0, limit=10, raw_days=RAW_DAYS)["records"]
+    return tools.search_records(*tiers(spark, d, *QUANTITIES), AS_OF, 90, 20.0, 120.0, limit=10, raw_from=CUT)["records"]
 
 
 @query
 def search_counts(spark, d):
-    return tools.search_records(*tiers(spark, d, *QUANTITIES), AS_OF, 90, 20.0, 120.0, raw_days=RAW_DAYS)["counts"]
+    return tools.search_records(*tiers(spark, d, *QUANTITIES), AS_OF, 90, 20.0, 120.0, raw_from=CUT)["counts"]
 
 
 @query
@@ -397,22 +414,22 @@ def search_sleep_minutes(spark, d):
 @query
 def compare_periods(spark, d):
     return tools.compare_periods(*tiers(spark, d, *QUANTITIES), AS_OF, ("2024-01-03", "2024-01-16"),
-                                 ("2024-01-14", "2024-01-29"), "early", "late", raw_days=RAW_DAYS)
+                                 ("2024-01-14", "2024-01-29"), "early", "late", raw_from=CUT)
 
 
 @query
 def long_term_monthly(spark, d):
-    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80)["monthly"]
+    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80, raw_from=LONG_CUT)["monthly"]
 
 
 @query
 def long_term_overall(spark, d):
-    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80)["overall"]
+    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80, raw_from=LONG_CUT)["overall"]
 
 
 @query
 def long_term_daily(spark, d):
-    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80)["daily"].select(*POINT, "source")
+    return tools.get_long_term_trend(*long_tiers(spark, d), LONG_AS_OF, 80, raw_from=LONG_CUT)["daily"].select(*POINT, "source")
 
 
 @query
@@ -466,7 +483,7 @@ def sleep_sessions(spark, d):
 
 
 def _hrv(spark, d):
-    return tools.get_hrv_trend(*tiers(spark, d, S.HRV), AS_OF, 30, raw_days=RAW_DAYS)
+    return tools.get_hrv_trend(*tiers(spark, d, S.HRV), AS_OF, 30, raw_from=CUT)
 
 
 @query
@@ -491,12 +508,12 @@ def query_metric_stats(spark, d):
 
 @query
 def query_metric_daily(spark, d):
-    return tools.query_metric(*tiers(spark, d, S.HRV), S.HRV, AS_OF, 28, raw_days=RAW_DAYS)["daily"].select(*POINT, "source")
+    return tools.query_metric(*tiers(spark, d, S.HRV), S.HRV, AS_OF, 28, raw_from=CUT, granularity="day")["daily"].select(*POINT, "source")
 
 
 @query
 def query_metric_overall(spark, d):
-    return tools.query_metric(*tiers(spark, d, S.STEPS), S.STEPS, AS_OF, 28, raw_days=RAW_DAYS)["stats"]
+    return tools.query_metric(*tiers(spark, d, S.STEPS), S.STEPS, AS_OF, 28, raw_from=CUT, granularity="day")["stats"]
 
 
 def _workouts(spark, d, limit=20):
@@ -510,12 +527,12 @@ def workouts_list(spark, d):
 
 @query
 def workouts_summary(spark, d):
-    return _workouts(spark, d, None)["summary"]
+    return _workouts(spark, d, 5)["summary"]  # a limit shortens the listing only
 
 
 @query
 def workouts_by_type(spark, d):
-    return _workouts(spark, d, None)["by_type"]
+    return _workouts(spark, d, 5)["by_type"]
 
 
 def _snapshot(spark, d):
@@ -774,32 +791,66 @@ def heavy_months_hrv(spark, d):
 
 
 # --- files and streams -----------------------------------------------------
-@query
-def publish_tiers(spark, d):
-    """Both tiers published, put through a retention run, and read back as one daily series."""
+def _publish(spark, d, late):
+    """The tiers after a retention run; `late` rows arrive afterwards, as often as given."""
     root = shared_dir(spark, "publish")
     s = raw(spark, d)
-    publish(spark, root, s, daily.daily_summary(s.filter(F.lit(False))))
+    first = s.filter(F.col("seq") % 7 != 0) if late else s
+    publish(spark, root, first, daily.daily_summary(s.filter(F.lit(False))))
     retention.run_retention(spark, root, AS_OF, RAW_DAYS)
+    for _ in range(late):
+        upsert_into_tiers(spark, root, s.filter(F.col("seq") % 7 == 0))
     kept, stored = open_tiers(spark, root)
     return daily.daily_quantity_view(kept, stored).drop("unit")
 
 
 @query
-def xml_import(spark, d):
-    """Samples written as an XML export by Spark, then imported; sleep values as stage names."""
+def publish_tiers(spark, d):
+    """Both tiers published, put through a retention run, and read back as one daily series."""
+    return _publish(spark, d, 0)
+
+
+@query
+def publish_late_twice(spark, d):
+    """A seventh of all samples arrives after the retention run, twice: as if it had come in time, once."""
+    return _publish(spark, d, 2)
+
+
+def _xml(spark, samples):
+    """Samples written as XML exports of a bounded number of records by Spark; sleep values as stage names."""
     path = shared_dir(spark, "xml")
 
     def text(c):
         return F.concat(F.date_format(utc_time(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000"))
 
     value = F.when(F.col("metric_type") == S.SLEEP, stage_identifier("value")).otherwise(F.col("value").cast("string"))
-    records = raw(spark, d).select(
+    records = samples.select(
         F.col("metric_type").alias("_type"), F.col("source_device").alias("_sourceName"), F.col("unit").alias("_unit"),
         text("started_at").alias("_startDate"), text("ended_at").alias("_endDate"), value.alias("_value"))
-    records.repartition(spark.sparkContext.defaultParallelism).write.format("xml").option("rootTag", "HealthData").option(
-        "rowTag", "Record").save(path)
-    return xml_export.normalise_records(xml_export.read_records(spark, path), "me").drop("metadata")
+    records.write.format("xml").option("rootTag", "HealthData").option("rowTag", "Record").option(
+        "maxRecordsPerFile", 50_000).save(path)
+    return path
+
+
+@query
+def xml_import(spark, d):
+    """An XML export imported."""
+    return xml_export.normalise_records(xml_export.read_records(spark, _xml(spark, raw(spark, d))), "me").drop("metadata")
+
+
+@query
+def xml_to_store(spark, d):
+    """Two metrics imported from XML into the store, twice; of equal instants one value stays."""
+    root = shared_dir(spark, "import")
+    s = raw(spark, d, S.STEPS, S.HRV)
+    publish(spark, root, s.limit(0).withColumn("user_id", F.lit("me")), daily.daily_summary(s.limit(0)))
+    whole = s.groupBy("metric_type", F.date_trunc("second", "started_at").alias("started_at")).agg(
+        F.max("value").alias("value"), F.max("unit").alias("unit"), F.max("source_device").alias("source_device"),
+        F.max("ended_at").alias("ended_at"))
+    path = _xml(spark, whole)
+    for _ in range(2):
+        xml_export.import_into_store(spark, path, "me", root)
+    return stored_samples(spark, root).select("user_id", "metric_type", "started_at", "value")
 
 
 @query
@@ -819,23 +870,45 @@ def stream_ingest(spark, d):
 def stream_upsert(spark, d):
     root = shared_dir(spark, "stream-upsert")
     payload_rows(spark, d).write.json(f"{root}/landing")
-    pipelines.upsert_batches(spark, f"{root}/landing", f"{root}/table", f"{root}/checkpoint", max_samples=9)
-    return read_samples(spark, f"{root}/table").select("user_id", "metric_type", "started_at", "value")
+    pipelines.upsert_batches(spark, f"{root}/landing", f"{root}/store", f"{root}/checkpoint", max_samples=9)
+    return stored_samples(spark, f"{root}/store").select("user_id", "metric_type", "started_at", "value")
+
+
+@query
+def stream_rejects(spark, d):
+    """What a stream did not store, with the reason."""
+    root = shared_dir(spark, "stream-rejects")
+    payload_rows(spark, d).write.json(f"{root}/landing")
+    pipelines.ingest_batches(spark, f"{root}/landing", f"{root}/sink", f"{root}/checkpoint", max_samples=9,
+                             rejects=f"{root}/rejects")
+    return spark.read.schema("user_id string, batch_no bigint, reason string").json(f"{root}/rejects").select(
+        "user_id", "batch_no", "reason")
+
+
+@query
+def ingest_rejects(spark, d):
+    """The batches that are not stored, with the reason."""
+    path = shared_dir(spark, "json")
+    payload_rows(spark, d).write.json(path)
+    judged = ingest.check_batches(json_batches.read_batches(spark, path), max_samples=9)
+    return ingest.rejects(judged, "batch_no").select("user_id", "batch_no", "reason")
 
 
 @query
 def stream_dedupe(spark, d):
+    """Samples sent twice, the second copy corrected, over several micro-batches."""
     root = shared_dir(spark, "stream-dedupe")
     rows = tables.resent_samples(spark, d)
-    rows.drop("seq", "value").write.parquet(f"{root}/landing")
-    pipelines.dedupe(spark, f"{root}/landing", rows.drop("seq", "value").schema, f"{root}/sink", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/sink").select("user_id", "metric_type", "started_at", "unit", "source_device")
+    rows.repartition(4, "seq").write.parquet(f"{root}/landing")
+    pipelines.dedupe(spark, f"{root}/landing", rows.schema, f"{root}/store", f"{root}/checkpoint", files_at_once=2)
+    return stored_samples(spark, f"{root}/store").select("user_id", "metric_type", "started_at", "unit", "source_device", "value")
 
 
 @query
 def stream_daily(spark, d):
+    """Daily points kept by a stream whose files come in any order, so that most rows are late."""
     root = shared_dir(spark, "stream-daily")
     s = raw(spark, d, *QUANTITIES)
-    s.write.parquet(f"{root}/landing")
-    pipelines.daily_points(spark, f"{root}/landing", s.schema, f"{root}/sink", f"{root}/checkpoint")
-    return pipelines.closed_and_open(spark.read.parquet(f"{root}/sink").select(*POINT), s)
+    s.repartition(3, "seq").write.parquet(f"{root}/landing")
+    pipelines.daily_points(spark, f"{root}/landing", s.schema, f"{root}/store", f"{root}/checkpoint", CUT, files_at_once=1)
+    return pipelines.closed_and_open(spark, f"{root}/store").select(*POINT, "state")

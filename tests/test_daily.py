@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from pulseframe import schema as S
+from pulseframe.functions.time import days_before
 from pulseframe.operators import daily, retention, stats
 from tests.conftest import rows
 
@@ -42,7 +43,7 @@ def test_retention_changes_no_daily_value(make):
     for raw_days in (1, 30, 70):
         plan = retention.retain(s, None, AS_OF, raw_days)
         assert rows(daily.daily_quantity_view(plan.samples, plan.summaries).withColumnRenamed("day", "date").select(*POINT), *POINT[:3]) == whole
-        tiered = daily.tiered_daily(plan.samples.filter(~F.col("metric_type").startswith(S.CATEGORY_PREFIX)), plan.summaries, AS_OF, 400, raw_days)
+        tiered = daily.tiered_daily(plan.samples.filter(~F.col("metric_type").startswith(S.CATEGORY_PREFIX)), plan.summaries, AS_OF, 400, days_before(AS_OF, raw_days))
         assert rows(tiered.select(*POINT), *POINT[:3]) == whole
 
 
@@ -71,7 +72,7 @@ def test_raw_wins_on_the_shared_day(make, spark):
     s = make([("u", S.HRV, 50, "2024-02-19 12:00"), ("u", S.HRV, 60, "2024-03-01 12:00")])
     old = daily.daily_summary(make([("u", S.HRV, 1, "2024-02-18 12:00"), ("u", S.HRV, 2, "2024-02-19 12:00"),
                                     ("v", S.HRV, 3, "2024-02-19 12:00")]))
-    got = rows(daily.series_range(s, old, AS_OF, "2024-01-01", AS_OF, 30).select("user_id", "date", "avg_value", "source"), "user_id", "date")
+    got = rows(daily.series_range(s, old, "2024-01-01", AS_OF, days_before(AS_OF, 30)).select("user_id", "date", "avg_value", "source"), "user_id", "date")
     assert got == [("u", dt.date(2024, 2, 18), 1.0, "summary"), ("u", dt.date(2024, 2, 19), 50.0, "raw"),
                    ("u", dt.date(2024, 3, 1), 60.0, "raw"), ("v", dt.date(2024, 2, 19), 3.0, "summary")]
 
@@ -79,9 +80,17 @@ def test_raw_wins_on_the_shared_day(make, spark):
 def test_ranges_wholly_in_one_tier(make):
     s = make([("u", S.HRV, 50, "2024-03-01 12:00")])
     old = daily.daily_summary(make([("u", S.HRV, 1, "2024-01-18 12:00")]))
-    assert daily.series_range(s, old, AS_OF, "2024-01-01", "2024-01-31", 30).count() == 1
-    assert daily.series_range(s, old, AS_OF, "2024-02-25", "2024-03-10", 30).count() == 1
-    assert daily.series_range(s, None, AS_OF, "2024-01-01", "2024-01-31", 30).count() == 0
+    assert daily.series_range(s, old, "2024-01-01", "2024-01-31", days_before(AS_OF, 30)).count() == 1
+    assert daily.series_range(s, old, "2024-02-25", "2024-03-10", days_before(AS_OF, 30)).count() == 1
+    assert daily.series_range(s, None, "2024-01-01", "2024-01-31", days_before(AS_OF, 30)).count() == 0
+
+
+def test_without_a_cut_all_raw_rows_count_and_summaries_fill_the_rest(make):
+    s = make([("u", S.HRV, i, f"2024-0{1 + i // 28}-{1 + i % 28:02d} 12:00") for i in range(60)])
+    assert daily.tiered_daily(s, None, AS_OF, 90).count() == 60
+    old = daily.daily_summary(make([("u", S.HRV, 500, "2024-01-05 12:00"), ("u", S.HRV, 600, "2023-12-31 12:00")]))
+    got = daily.tiered_daily(s, old, AS_OF, 90)
+    assert got.count() == 61 and rows(got.filter("source = 'summary'").select("avg_value")) == [(600.0,)]
 
 
 def test_weighted_mean_is_the_mean_of_the_samples(make):

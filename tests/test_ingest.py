@@ -18,7 +18,7 @@ def sample(metric="HKQuantityTypeIdentifierStepCount", value=1.0, unit="count",
 @pytest.fixture
 def batches(spark):
     def build(*lists):
-        return spark.createDataFrame([("u", i, list(b) if b is not None else None) for i, b in enumerate(lists)],
+        return spark.createDataFrame([("u", i, list(b) if b is not None else None, None) for i, b in enumerate(lists)],
                                      json_batches.BATCH_FILES)
     return build
 

@@ -8,7 +8,7 @@ from pulseframe_checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a stream or write files while they are built.
-EAGER = {"ingest_batch", "publish_tiers", "stream_daily", "stream_dedupe", "stream_ingest", "stream_upsert", "xml_import", "xml_import_report"}
+EAGER = {"ingest_batch", "ingest_rejects", "publish_late_twice", "publish_tiers", "stream_rejects", "xml_to_store", "stream_daily", "stream_dedupe", "stream_ingest", "stream_upsert", "xml_import", "xml_import_report"}
 
 
 def plan(spark, name):
@@ -23,7 +23,7 @@ def test_no_cross_join_python_or_single_task_window(spark, name):
     assert not re.search(r"Window \[[^\]]*\], \[\]", text)
 
 
-@pytest.mark.parametrize("name", ["scan_recent", "scan_day", "coaching_recovery", "top_workouts", "search_records", "query_metric_stats"])
+@pytest.mark.parametrize("name", ["scan_recent", "scan_day", "coaching_recovery", "top_workouts", "search_records"])
 def test_per_user_limits_cut_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit.*Partial", plan(spark, name))
 
@@ -45,6 +45,25 @@ def test_a_single_metric_of_many_reads_one_scan(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+@pytest.mark.parametrize("name", ["daily_summary", "retention_apply", "view_daily_quantity_utc", "daily_from_raw"])
+def test_raw_rows_are_aggregated_by_hash(spark, name):
+    """A sort aggregate may fold the few unit rows of a day, but never reads a scan."""
+    text = plan(spark, name)
+    for block in text.split("FileScan")[:-1]:
+        nearest = re.findall(r"(\w*)Aggregate\(", block)
+        assert not nearest or nearest[-1] == "Hash"
+
+
+def test_an_upsert_aggregates_only_the_new_rows(spark):
+    text = plan(spark, "upsert_latest")
+    assert "LeftAnti" in text and text.count("max_by") == 2 * text.count("partial_max_by")
+
+
+@pytest.mark.parametrize("name,most", [("series_range", 4), ("search_counts", 4), ("compare_periods", 4)])
+def test_each_tier_is_scanned_once(spark, name, most):
+    assert plan(spark, name).count("FileScan") <= most
+
+
 @pytest.mark.parametrize("name", ["ingest_dedupe", "upsert_latest", "daily_from_raw", "inventory", "sleep_sessions"])
 def test_hot_groups_combine_on_the_map_side(spark, name):
     assert "partial_" in plan(spark, name)
