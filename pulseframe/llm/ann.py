@@ -10,7 +10,9 @@ true neighbours among all rows are found by brute force (one pass, the queries b
 widened until at least ``TARGET`` of them lie in visited leaves. A query goes on beyond that while its leaves hold fewer
 rows than it asks for.
 
-A leaf of more than ``CHUNK`` rows, such as one of many equal vectors, is dealt over several cells by hash.
+The leaves of one parent are searched together, in one cell: a query comes there once, with the leaves that it visits, and
+leaves with its k best of them. A cell of more than ``CHUNK`` rows, such as one of many equal vectors, is dealt over several
+by hash.
 
 Defined cases: see ``usable`` (zero vectors take no part); shorter vectors count as ending in zeros; a query with fewer
 other rows than k gets all of them; equal scores are ordered by vec_id; an empty table gives an empty result.
@@ -36,7 +38,7 @@ _TOGETHER = 512
 
 
 class Tree:
-    """Centres of all nodes, the children of inner nodes, and the number of each leaf."""
+    """Centres of all nodes, the children of inner nodes, the number of each leaf, and the group of leaves it is in."""
 
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 11):
         self.centres, self.children, self.leaf = [], [], []
@@ -45,6 +47,9 @@ class Tree:
         numbers = iter(range(len(self.leaf)))
         self.leaf = [-1 if c else next(numbers) for c in self.children]
         self.leaves = sum(n >= 0 for n in self.leaf)
+        parent = {c: node for node, children in enumerate(self.children) for c in children}
+        numbers = {}
+        self.group = [numbers.setdefault(parent.get(node, node), len(numbers)) for node, n in enumerate(self.leaf) if n >= 0]
 
     def _grow(self, sample: np.ndarray, least: int, rng: np.random.Generator) -> int:
         node = len(self.centres)
@@ -113,13 +118,16 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best of these rows, its own left out."""
+def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int,
+          visited: np.ndarray | None = None) -> pd.DataFrame:
+    """Each query's k best of these rows, or of the ``visited`` ones, its own left out."""
     parts = []
     for a in range(0, len(q), _TOGETHER):
         own, part = query_ids[a:a + _TOGETHER], q[a:a + _TOGETHER]
         rough = part @ x.T
         rough[own[:, None] == ids[None, :]] = -np.inf
+        if visited is not None:
+            rough[~visited[a:a + _TOGETHER]] = -np.inf
         most = min(k, len(ids))
         least = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
         slack = 1e-12 * np.sqrt((part * part).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max()) * x.shape[1]
@@ -130,7 +138,9 @@ def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
 
 def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     q, x = paired(queries, rows)
-    return _best(queries["vec_id"].to_numpy(), q, rows["vec_id"].to_numpy(), x, k)
+    leaf = rows["leaf"].to_numpy()
+    visited = np.array([np.isin(leaf, own) for own in queries["leaves"]])
+    return _best(queries["vec_id"].to_numpy(), q, rows["vec_id"].to_numpy(), x, k, visited)
 
 
 def fit(rows: DataFrame, total: int, width: int, longest: float) -> Tree:
@@ -187,7 +197,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
     queries = rows.where(F.col("vec_id") % every == 0)
     visits, _ = calibrate(assigned, queries, tree, k, target, width)
     sizes = {r["leaf"]: r["many"] for r in assigned.groupBy("leaf").agg(F.count("*").alias("many")).collect()}
-    chunks = [-(-sizes.get(leaf, 0) // CHUNK) for leaf in range(tree.leaves)]
+    held = np.bincount(tree.group, weights=[sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+    chunks = [max(1, -(-int(n) // CHUNK)) for n in held]
     most = max(chunks)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,19 +207,26 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
             if not len(part):
                 continue
             far = _distances(np.column_stack([matrix(part["vec"], width), np.zeros(len(part))]), own.centres)
-            at, cells = [], []
+            at, cells, leaves = [], [], []
             for i, distances in enumerate(far):
-                seen = held = 0
+                seen = rows = 0
+                groups: dict[int, list[int]] = {}
                 for leaf in own.visits(distances):
-                    if seen >= visits and held > k:
+                    if seen >= visits and rows > k:
                         break
-                    seen, held = seen + 1, held + sizes.get(leaf, 0)
-                    cells += [leaf * most + c for c in range(chunks[leaf])]
-                    at += [i] * chunks[leaf]
-            yield part.iloc[at].assign(cell=cells)[["cell", "vec_id", "vec"]]
-
-    of_leaf = F.array(*[F.lit(max(1, c)) for c in chunks]) if most > 1 else None
-    chunk = F.pmod(F.xxhash64("vec_id"), F.get(of_leaf, F.col("leaf").cast("int"))) if most > 1 else F.lit(0)
-    cells = assigned.select((F.col("leaf") * most + chunk).alias("cell"), "vec_id", "vec")
-    asked = queries.mapInPandas(to_cells, "cell long, vec_id long, vec array<double>")
+                    seen, rows = seen + 1, rows + sizes.get(leaf, 0)
+                    groups.setdefault(own.group[leaf], []).append(leaf)
+                for group, visited in groups.items():
+                    for c in range(chunks[group]):
+                        at.append(i)
+                        cells.append(group * most + c)
+                        leaves.append(visited)
+            yield pd.DataFrame({"cell": cells, "vec_id": part["vec_id"].to_numpy()[at],
+                                "vec": part["vec"].to_numpy()[at], "leaves": leaves})
+
+    leaf = F.col("leaf").cast("int")
+    group = F.get(F.array(*[F.lit(g) for g in tree.group]), leaf)
+    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(chunks[g]) for g in tree.group]), leaf))
+    cells = assigned.select((group * most + chunk).alias("cell"), "vec_id", "vec", "leaf")
+    asked = queries.mapInPandas(to_cells, "cell long, vec_id long, vec array<double>, leaves array<int>")
     return top(search_cells(asked, cells, lambda q, x: _search(q, x, k), "double"), k)
