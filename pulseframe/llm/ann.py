@@ -10,9 +10,9 @@ true neighbours among all rows are found by brute force (one pass, the queries b
 widened until at least ``TARGET`` of them lie in visited leaves. A query goes on beyond that while its leaves hold fewer
 rows than it asks for.
 
-The leaves of one parent are searched together, in one cell: a query comes there once, with the leaves that it visits, and
-leaves with its k best of them. A cell of more than ``CHUNK`` rows, such as one of many equal vectors, is dealt over several
-by hash.
+Neighbouring leaves are searched together, in cells of up to ``CHUNK`` rows: a query comes to a cell once, with the leaves
+that it visits there, and leaves with its k best of them. A leaf of more rows, such as one of many equal vectors, is dealt
+over several cells by hash.
 
 Defined cases: see ``usable`` (zero vectors take no part); shorter vectors count as ending in zeros; a query with fewer
 other rows than k gets all of them; equal scores are ordered by vec_id; an empty table gives an empty result.
@@ -38,7 +38,7 @@ _TOGETHER = 512
 
 
 class Tree:
-    """Centres of all nodes, the children of inner nodes, the number of each leaf, and the group of leaves it is in."""
+    """Centres of all nodes, the children of inner nodes, and the number of each leaf."""
 
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 11):
         self.centres, self.children, self.leaf = [], [], []
@@ -47,9 +47,6 @@ class Tree:
         numbers = iter(range(len(self.leaf)))
         self.leaf = [-1 if c else next(numbers) for c in self.children]
         self.leaves = sum(n >= 0 for n in self.leaf)
-        parent = {c: node for node, children in enumerate(self.children) for c in children}
-        numbers = {}
-        self.group = [numbers.setdefault(parent.get(node, node), len(numbers)) for node, n in enumerate(self.leaf) if n >= 0]
 
     def _grow(self, sample: np.ndarray, least: int, rng: np.random.Generator) -> int:
         node = len(self.centres)
@@ -143,6 +140,16 @@ def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return _best(queries["vec_id"].to_numpy(), q, rows["vec_id"].to_numpy(), x, k, visited)
 
 
+def _grouped(sizes: list[int]) -> list[int]:
+    """The group of each leaf: leaves in the order of the tree, as many as fit into a cell."""
+    out, held = [], 0
+    for size in sizes:
+        new = not out or held + size > CHUNK
+        out.append((out[-1] + 1 if out else 0) if new else out[-1])
+        held = size if new else held + size
+    return out
+
+
 def fit(rows: DataFrame, total: int, width: int, longest: float) -> Tree:
     """The tree, from a sample of at most ``SAMPLE`` rows."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().to_pandas()
@@ -197,7 +204,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
     queries = rows.where(F.col("vec_id") % every == 0)
     visits, _ = calibrate(assigned, queries, tree, k, target, width)
     sizes = {r["leaf"]: r["many"] for r in assigned.groupBy("leaf").agg(F.count("*").alias("many")).collect()}
-    held = np.bincount(tree.group, weights=[sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+    group_of = _grouped([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+    held = np.bincount(group_of, weights=[sizes.get(leaf, 0) for leaf in range(tree.leaves)])
     chunks = [max(1, -(-int(n) // CHUNK)) for n in held]
     most = max(chunks)
 
@@ -215,7 +223,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
                     if seen >= visits and rows > k:
                         break
                     seen, rows = seen + 1, rows + sizes.get(leaf, 0)
-                    groups.setdefault(own.group[leaf], []).append(leaf)
+                    groups.setdefault(group_of[leaf], []).append(leaf)
                 for group, visited in groups.items():
                     for c in range(chunks[group]):
                         at.append(i)
@@ -225,8 +233,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
                                 "vec": part["vec"].to_numpy()[at], "leaves": leaves})
 
     leaf = F.col("leaf").cast("int")
-    group = F.get(F.array(*[F.lit(g) for g in tree.group]), leaf)
-    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(chunks[g]) for g in tree.group]), leaf))
+    group = F.get(F.array(*[F.lit(g) for g in group_of]), leaf)
+    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(chunks[g]) for g in group_of]), leaf))
     cells = assigned.select((group * most + chunk).alias("cell"), "vec_id", "vec", "leaf")
     asked = queries.mapInPandas(to_cells, "cell long, vec_id long, vec array<double>, leaves array<int>")
     return top(search_cells(asked, cells, lambda q, x: _search(q, x, k), "double"), k)
