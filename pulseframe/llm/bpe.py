@@ -6,6 +6,9 @@ so that find-first-set yields the lowest rank in a few steps whatever the number
 its left and right; what their old entries say no longer holds, and they are skipped when they come up. The cost is
 O(n log n) for a pre-token of n bytes, so very long ones are no special case.
 
+A Python worker reads the vocabulary once and keeps what it remembers of frequent pre-tokens and units, which is bounded,
+for the tasks that it runs afterwards.
+
 Defined cases: NULL and empty texts have no ids; repeated rows give repeated results; an empty table gives an empty one;
 other columns are ignored. A byte that is no token of the vocabulary is an error.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pulseframe.llm.units import Bounded, encode_texts, pretokens
 
 #: Distinct pre-tokens and units in a generation of what a worker remembers.
-PRETOKENS, UNITS = 500_000, 200_000
+PRETOKENS, UNITS = 300_000, 200_000
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -40,7 +44,7 @@ class Codec:
         # words that are not zero. All words are zero between calls.
         self._words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self._split = pretokens(pattern)
-        self._known = Bounded(lambda token: self.encode_pretoken(token.encode()), PRETOKENS)
+        self._known = Bounded(lambda token: tuple(self.encode_pretoken(token.encode())), PRETOKENS)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -114,19 +118,41 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         known = self._known
         if text.isalpha() or text[:1] == " " and text[1:].isalpha():
-            return known[text]  # letters alone, after one space at most, are one pre-token
+            return list(known[text])  # letters alone, after one space at most, are one pre-token
         return [i for token in self._split(text) for i in known[token]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def _codec(path: str, pattern: str) -> Codec:
+    return Codec.from_file(path, pattern)
+
+
+@lru_cache(maxsize=2)
+def _id_units(path: str, pattern: str) -> Bounded:
+    """The ids of a unit."""
+    return Bounded(_codec(path, pattern).encode, UNITS)
+
+
+@lru_cache(maxsize=2)
+def _digest_units(path: str, pattern: str) -> Bounded:
+    """The number of ids of a unit, their decimal list, and what they decode to."""
+    codec = _codec(path, pattern)
+
+    def unit(text: str) -> tuple[int, bytes, bytes]:
+        ids = codec.encode(text)
+        return len(ids), ",".join(map(str, ids)).encode(), codec.decode(ids)
+
+    return Bounded(unit, UNITS)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ``ids``, the token ids of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.from_file(path, pattern)
-        units = Bounded(codec.encode, UNITS)
+        units = _id_units(path, pattern)
         for batch in batches:
             ids = [[i for unit in parts for i in unit] for parts in encode_texts(batch["text"], units.__getitem__)]
             yield pa.record_batch([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -138,13 +164,7 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document the number of ids, the hash of their decimal list, and the hash of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.from_file(path, pattern)
-
-        def unit(text: str) -> tuple[int, bytes, bytes]:
-            ids = codec.encode(text)
-            return len(ids), ",".join(map(str, ids)).encode(), codec.decode(ids)
-
-        units = Bounded(unit, UNITS)
+        units = _digest_units(path, pattern)
         for batch in batches:
             rows = []
             for parts in encode_texts(batch["text"], units.__getitem__):
