@@ -12,7 +12,8 @@ rows than it asks for.
 
 Neighbouring leaves are searched together, in cells of up to ``CHUNK`` rows: a query comes to a cell once, with the leaves
 that it visits there, and leaves with its k best of them. A leaf of more rows, such as one of many equal vectors, is dealt
-over several cells by hash.
+over several cells by hash; so are the queries, where more than ``QUERY_BLOCK`` of them visit the same leaves. A cell thus
+holds a bounded number of either, and leaves that no query visits are not moved.
 
 Defined cases: see ``usable`` (zero vectors take no part); shorter vectors count as ending in zeros; a query with fewer
 other rows than k gets all of them; equal scores are ordered by vec_id; an empty table gives an empty result.
@@ -25,7 +26,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.shared import store
@@ -33,8 +34,10 @@ from pulseframe.llm.vectors import best_first, matrix, paired, search_cells, top
 
 K, TARGET = 20, 0.95
 SAMPLE, CALIBRATION, BRANCHES = 16_384, 128, 16
-PER_LEAF, MOST_LEAVES, CHUNK = 400, 1024, 8192
+PER_LEAF, MOST_LEAVES, CHUNK, QUERY_BLOCK = 400, 1024, 8192, 2048
 _TOGETHER = 512
+#: Rows of queries and groups that a task hands on together.
+_HANDED = 8192
 
 
 class Tree:
@@ -207,34 +210,47 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, target: float = TAR
     group_of = _grouped([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
     held = np.bincount(group_of, weights=[sizes.get(leaf, 0) for leaf in range(tree.leaves)])
     chunks = [max(1, -(-int(n) // CHUNK)) for n in held]
-    most = max(chunks)
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for part in batches:
             if not len(part):
                 continue
             far = _distances(np.column_stack([matrix(part["vec"], width), np.zeros(len(part))]), own.centres)
-            at, cells, leaves = [], [], []
+            at, groups, leaves = [], [], []
             for i, distances in enumerate(far):
                 seen = rows = 0
-                groups: dict[int, list[int]] = {}
+                visited: dict[int, list[int]] = {}
                 for leaf in own.visits(distances):
                     if seen >= visits and rows > k:
                         break
                     seen, rows = seen + 1, rows + sizes.get(leaf, 0)
-                    groups.setdefault(group_of[leaf], []).append(leaf)
-                for group, visited in groups.items():
-                    for c in range(chunks[group]):
-                        at.append(i)
-                        cells.append(group * most + c)
-                        leaves.append(visited)
-            yield pd.DataFrame({"cell": cells, "vec_id": part["vec_id"].to_numpy()[at],
-                                "vec": part["vec"].to_numpy()[at], "leaves": leaves})
-
-    leaf = F.col("leaf").cast("int")
-    group = F.get(F.array(*[F.lit(g) for g in group_of]), leaf)
-    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(chunks[g]) for g in group_of]), leaf))
-    cells = assigned.select((group * most + chunk).alias("cell"), "vec_id", "vec", "leaf")
-    asked = queries.mapInPandas(to_cells, "cell long, vec_id long, vec array<double>, leaves array<int>")
+                    visited.setdefault(group_of[leaf], []).append(leaf)
+                at += [i] * len(visited)
+                groups += visited
+                leaves += visited.values()
+                if len(at) >= _HANDED or i == len(far) - 1:
+                    yield pd.DataFrame({"group": groups, "vec_id": part["vec_id"].to_numpy()[at],
+                                        "vec": part["vec"].to_numpy()[at], "leaves": leaves})
+                    at, groups, leaves = [], [], []
+
+    asked = store(queries.mapInPandas(to_groups, "group int, vec_id long, vec array<double>, leaves array<int>"))
+    asking = {r["group"]: r["many"] for r in asked.groupBy("group").agg(F.count("*").alias("many")).collect()}
+    blocks = [-(-asking.get(group, 0) // QUERY_BLOCK) for group in range(len(chunks))]
+
+    def of_group(numbers: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(n) for n in numbers]), F.col("group"))
+
+    def share(many: Column) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), many).cast("int")
+
+    def every_one(many: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), many - 1))
+
+    cell = ((F.col("group").cast("long") * max(chunks) + F.col("chunk")) * max(blocks) + F.col("block")).alias("cell")
+    cells = (assigned.withColumn("group", F.get(F.array(*[F.lit(g) for g in group_of]), F.col("leaf").cast("int")))
+             .where(of_group(blocks) > 0).withColumn("chunk", share(of_group(chunks)))
+             .withColumn("block", every_one(of_group(blocks))).select(cell, "vec_id", "vec", "leaf"))
+    asked = (asked.withColumn("block", share(of_group(blocks))).withColumn("chunk", every_one(of_group(chunks)))
+             .select(cell, "vec_id", "vec", "leaves"))
     return top(search_cells(asked, cells, lambda q, x: _search(q, x, k), "double"), k)

@@ -257,9 +257,12 @@ def test_impact_levels_stop_early_and_lose_nothing():
     assert len(at) < 40 * 3000 / 4
 
 
-def test_tree_search_scores_exactly_and_reaches_its_recall(spark, monkeypatch):
+@pytest.mark.parametrize("query_block", [10, 2048])
+def test_tree_search_scores_exactly_and_reaches_its_recall(spark, monkeypatch, query_block):
     monkeypatch.setattr(ann, "PER_LEAF", 20)
     monkeypatch.setattr(ann, "CHUNK", 32)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", query_block)
+    monkeypatch.setattr(ann, "_HANDED", 8)
     rows = vector_rows(6, n=1500)
     bad = [*BAD, (1000000, [0.0] * 6)]
     found = ann.nearest(spark.createDataFrame(rows + bad, VECTORS).withColumn("leaf", F.lit(1))).collect()
@@ -291,9 +294,11 @@ def repeat_documents(seed):
     return docs + [(70, None), (71, ""), (72, "aaaa" * 30), (73, docs[4][1]), (74, "ab" * 90)]
 
 
-@pytest.mark.parametrize("seed,length,all_hot", [(1, 8, False), (2, 30, False), (3, 30, True), (4, 100, False)])
-def test_repeats_equal_a_plain_search(spark, monkeypatch, seed, length, all_hot):
-    if all_hot:
+@pytest.mark.parametrize("seed,length,hot", [(1, 8, ""), (2, 30, ""), (3, 30, "all"), (4, 100, ""), (5, 8, "late")])
+def test_repeats_equal_a_plain_search(spark, monkeypatch, seed, length, hot):
+    if hot == "late":  # anchors that the sample did not show, but their runs do
+        monkeypatch.setattr(suffixes, "MOST_RUNS", 3)
+    if hot == "all":
         grams = lambda d, n: suffixes.runs(d, n).select("gram").distinct().toPandas()["gram"].to_numpy()
         monkeypatch.setattr(suffixes, "hot_anchors", grams)
     docs = repeat_documents(seed)
