@@ -15,7 +15,9 @@ The sort refines groups digit by digit, and a group of one drops out after each
 
 Skew: an anchor with more than a quarter of a task's mean share of runs is hot (there can be at most four times as many as
 tasks; they are found in a sample of the documents, and any choice gives the same result). Hot anchors are handled by
-map-side combined minima and joins that Spark can split, never as one group; the others by one sort.
+map-side combined minima and joins that Spark can split, never as one group; the others by one sort. Of the others, one
+that turns out to have more than ``MOST_RUNS`` runs there joins the hot ones for the third pass, which holds an anchor's
+runs in memory.
 
 Defined cases: NULL and empty texts, and texts shorter than a window, have nothing to remove; a document with a NULL doc_id
 is left alone and repeats nothing; rows that share doc_id and text tie, and both keep a string; other columns are ignored;
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from pulseframe.llm.shared import store, texts
 
 LENGTH, GRAM = 100, 24
+#: Runs of one anchor whose single windows a task takes apart together, at most.
+MOST_RUNS = 20_000
 #: Documents are handled together up to so many bytes; a longer one is cut into overlapping parts of this size.
 _BUFFER = 512 << 10
 _PLACE = 24  # bits of a position in a buffer
@@ -179,7 +183,8 @@ def _decided(found: DataFrame, any_hot: bool) -> DataFrame:
     of_gram = Window.partitionBy("gram")
     of_run = Window.partitionBy("gram", "run").orderBy("doc_id", "start")
     columns = ["gram", "run", "doc_id", "th", "start", "n", "off", "hot"]
-    sorted_once = cold.select(*columns, F.rank().over(of_run).alias("place"),
+    sorted_once = cold.select(*columns[:-1], (F.count("*").over(of_gram) > MOST_RUNS).alias("hot"),
+                              F.rank().over(of_run).alias("place"),
                               (F.min("run").over(of_gram) != F.max("run").over(of_gram)).alias("mixed"))
     decided = sorted_once.where("place > 1 OR mixed").select(*columns, (F.col("place") > 1).alias("again"))
     if not any_hot:
@@ -326,8 +331,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     decided = store(_decided(runs(known, length, hot), len(hot) > 0))
     marks = decided.where("again").select("doc_id", "th", "start", "n")
     contexts = store(_contexts(known, decided.where("NOT again"), length))
-    marks = marks.unionByName(_repeated_in_groups(contexts, length))
-    return marks.unionByName(_repeated_hot(contexts, length)) if len(hot) else marks
+    return marks.unionByName(_repeated_in_groups(contexts, length)).unionByName(_repeated_hot(contexts, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
