@@ -331,7 +331,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     decided = store(_decided(runs(known, length, hot), len(hot) > 0))
     marks = decided.where("again").select("doc_id", "th", "start", "n")
     contexts = store(_contexts(known, decided.where("NOT again"), length))
-    return marks.unionByName(_repeated_in_groups(contexts, length)).unionByName(_repeated_hot(contexts, length))
+    marks = marks.unionByName(_repeated_in_groups(contexts, length))
+    return marks if contexts.where("hot").isEmpty() else marks.unionByName(_repeated_hot(contexts, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
