@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema as S
 from ..functions.metrics import is_summarisable, metadata_number, workout_type
 from ..functions.numbers import half_up
-from ..functions.time import as_date, check_range, days_before, in_days, local_day, positive
+from ..functions.time import as_date, check_range, days_before, in_days, local_day, minutes_between, night_date, positive
 from ..operators import daily, scans, sleep, stats, trends, workouts
 
 # --- fixed values: the note that goes with each HRV trend ------------------
@@ -232,106 +232,173 @@ def compare_periods(samples: DataFrame, summaries: DataFrame | None, as_of, a: t
 
 
 # --- coaching brief --------------------------------------------------------
-def coaching_recovery(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """HRV and resting heart rate of the last 14 days.
-
-    ``hrv_delta_samples`` sets the newest seven HRV samples against all earlier
-    ones.  The earlier ones are the whole minus the newest seven, so no window
-    ever holds a user's full sample list.
+def _coaching_rows(samples: DataFrame, as_of, parts, source, user_id, tz: str) -> DataFrame:
+    """The samples that the given parts of the brief are made of, in one pass over their metrics."""
+    m, valued = F.col("metric_type"), F.col("value").isNotNull()
+
+    def last(days):
+        return in_days("started_at", days_before(as_of, days), as_of, tz)
+
+    asleep = (m == S.SLEEP) & F.col("value").isin(*S.ASLEEP_STAGES) & F.col("ended_at").isNotNull()
+    if source:
+        asleep = asleep & scans.source_matches(source)
+    of = {"recovery": ((S.HRV, S.RESTING_HR), 14, F.lit(True)), "sleep": ((S.SLEEP,), 14, asleep),
+          "load": ((S.WORKOUT,), 30, F.lit(True)), "activity": ((S.STEPS, S.ACTIVE_ENERGY), 7, valued),
+          "markers": ((S.VO2MAX, S.WEIGHT), 365, valued)}
+    wanted = F.lit(False)
+    for metrics, days, rule in (of[p] for p in parts):
+        wanted = wanted | (m.isin(*metrics) & last(days) & rule)
+    df = _of(samples, *[name for p in parts for name in of[p][0]], user_id=user_id)
+    return df.filter(last(max(of[p][1] for p in parts)) & wanted)
+
+
+def _coaching(samples: DataFrame, as_of, parts, source, user_id, tz: str) -> DataFrame:
+    """The given parts of the brief, one row per user.
+
+    The samples are reduced once, by hash, to a row per user, metric and local day (night for
+    sleep, type for workouts); a second aggregation makes the columns from those rows.  The latest
+    values come from the few samples of the metrics that have one.
     """
     as_of = as_date(as_of)
-    df = _of(samples, S.HRV, S.RESTING_HR, user_id=user_id).filter(
-        in_days("started_at", days_before(as_of, 14), as_of, tz))
     m, v = F.col("metric_type"), F.col("value")
-    week = in_days("started_at", days_before(as_of, 6), as_of, tz)
-
-    def of(metric, extra=None):
-        return F.when((m == metric) if extra is None else (m == metric) & extra, v)
-
-    def newest(metric):
-        return F.max_by(of(metric), F.when((m == metric) & v.isNotNull(), _moment()))
-
-    whole = df.groupBy("user_id").agg(
-        newest(S.HRV).alias("hrv_latest_ms"), newest(S.RESTING_HR).alias("resting_hr_latest_bpm"),
-        half_up(F.avg(of(S.HRV, week)), 1).alias("hrv_7d_avg_ms"),
-        half_up(F.avg(of(S.RESTING_HR, week)), 1).alias("resting_hr_7d_avg_bpm"),
-        half_up(F.avg(of(S.RESTING_HR)), 1).alias("resting_hr_14d_avg_bpm"),
-        F.sum(of(S.HRV)).alias("_sum"), F.count(of(S.HRV)).alias("_n"))
-    last7 = scans.first_per(df.filter(m == S.HRV), ["user_id"], [F.desc("started_at"), F.desc("seq")], 7)
-    last7 = last7.groupBy("user_id").agg(F.sum("value").alias("_sum7"), F.count("value").alias("_n7"))
+    rows = _coaching_rows(samples, as_of, parts, source, user_id, tz)
+    date = F.when(m == S.SLEEP, night_date("started_at", tz)).when(m != S.WORKOUT, local_day("started_at", tz))
+    seconds = F.when(m == S.WORKOUT, F.coalesce(metadata_number("duration_seconds"), F.lit(0.0)))
+    sums = {"n": F.count("*"), "valued": F.count("value"), "total": F.sum("value"), "seconds": F.sum(seconds),
+            "minutes": F.sum(F.when(m == S.SLEEP, minutes_between("started_at", "ended_at")))}
+    needed = {"recovery": ("valued", "total"), "sleep": ("minutes",), "load": ("n", "seconds"), "activity": ("total",),
+              "markers": ("n",)}
+    kept = {name for p in parts for name in needed[p]}
+    per_day = rows.groupBy("user_id", "metric_type", date.alias("date"),
+                           F.when(m == S.WORKOUT, workout_type()).alias("type")).agg(
+        *[c.alias(name) for name, c in sums.items() if name in kept])
+    columns = {"recovery": _recovery_columns, "sleep": lambda _: _sleep_columns(), "load": lambda _: _load_columns(),
+               "activity": lambda _: _activity_columns(), "markers": _marker_columns}
+    latest = {"recovery": ((S.HRV, S.RESTING_HR), _latest_vitals), "markers": ((S.VO2MAX, S.WEIGHT), _latest_markers)}
+    latest = [latest[p] for p in parts if p in latest]
+    out = per_day.groupBy("user_id").agg(*[c for p in parts for c in columns[p](as_of)])
+    if latest:
+        few = scans.for_metrics(rows, *[name for metrics, _ in latest for name in metrics])
+        out = out.join(few.groupBy("user_id").agg(*[c for _, made in latest for c in made(as_of, tz)]), "user_id", "left")
+    if "recovery" in parts:
+        out = _with_trend(out, rows.filter(m == S.HRV))
+    if "sleep" in parts:
+        out = _with_quality(out)
+    if "markers" in parts:
+        out = out.withColumn("weight_kg_30d_ago", F.when(F.col("_weights") > 1, F.col("_oldest"))).drop("_weights", "_oldest")
+    return out
+
+
+def _only(metric: str, column: str, where=None):
+    rule = F.col("metric_type") == metric
+    return F.when(rule if where is None else rule & where, F.col(column))
+
+
+def _recovery_columns(as_of) -> list:
+    week = F.col("date") >= F.lit(days_before(as_of, 6))
+
+    def mean(metric, where=None):
+        return half_up(F.try_divide(F.sum(_only(metric, "total", where)), F.sum(_only(metric, "valued", where))), 1)
+
+    return [mean(S.HRV, week).alias("hrv_7d_avg_ms"), mean(S.RESTING_HR, week).alias("resting_hr_7d_avg_bpm"),
+            mean(S.RESTING_HR).alias("resting_hr_14d_avg_bpm"),
+            F.sum(_only(S.HRV, "total")).alias("_sum"), F.sum(_only(S.HRV, "valued")).alias("_n")]
+
+
+def _with_trend(out: DataFrame, hrv: DataFrame) -> DataFrame:
+    """The newest seven HRV samples against all earlier ones.  The earlier ones are the whole
+    minus the newest seven, so no window ever holds a user's full sample list."""
+    last7 = scans.newest(hrv, 7).groupBy("user_id").agg(F.sum("value").alias("_sum7"), F.count("value").alias("_n7"))
     delta = half_up(F.try_divide(F.col("_sum7"), F.col("_n7"))
                     - F.try_divide(F.col("_sum") - F.col("_sum7"), F.col("_n") - F.col("_n7")), 1)
-    status = F.coalesce(trends.direction(F.col("hrv_delta_samples"), 2.0), F.lit("unknown"))
     note = F.lit(DEFAULT_NOTE)
     for trend, text in RECOVERY_NOTES.items():
         note = F.when(F.col("hrv_trend") == trend, text).otherwise(note)
-    return (whole.join(last7, "user_id", "left").withColumn("hrv_delta_samples", delta)
-            .withColumn("hrv_trend", status).withColumn("coaching_note", note)
-            .drop("_sum", "_n", "_sum7", "_n7"))
+    return (out.join(last7, "user_id", "left").withColumn("hrv_delta_samples", delta)
+            .withColumn("hrv_trend", F.coalesce(trends.direction(F.col("hrv_delta_samples"), 2.0), F.lit("unknown")))
+            .withColumn("coaching_note", note).drop("_sum", "_n", "_sum7", "_n7"))
+
+
+def _sleep_columns() -> list:
+    """A user has at most one row for each of the 15 nights, or 16 that the window touches."""
+    nightly = F.collect_list(F.when(F.col("metric_type") == S.SLEEP, F.struct("date", "minutes")))
+    return [F.slice(F.sort_array(nightly, asc=False), 1, 7).alias("_nights")]
+
+
+def _with_quality(out: DataFrame) -> DataFrame:
+    n = F.size("_nights")
+    minutes = F.aggregate("_nights", F.lit(0.0), lambda total, night: total + night["minutes"])
+    h = F.col("avg_hours_last_7_nights")
+    return (out.withColumn("avg_hours_last_7_nights", half_up(F.try_divide(minutes, n) / 60, 1))
+            .withColumn("nights_tracked", F.when(n > 0, n.cast("bigint")))
+            .withColumn("quality_flag", F.when(n == 0, "no data").when(h >= 7.5, "good").when(h >= 6.5, "borderline")
+                        .otherwise("poor")).drop("_nights"))
+
+
+def _load_columns() -> list:
+    """Workouts have one row per type here."""
+    n = F.sum(_only(S.WORKOUT, "n"))
+    label = F.when(F.col("metric_type") == S.WORKOUT, F.concat_ws(":", "type", F.col("n").cast("string")))
+    return [n.alias("total_workouts"), half_up(F.sum(_only(S.WORKOUT, "seconds")) / 3600, 1).alias("total_hours"),
+            half_up(n / F.lit(4.3), 1).alias("weekly_avg_workouts"),
+            F.when(n > 0, F.array_join(F.array_sort(F.collect_list(label)), ",")).alias("by_type")]
+
+
+def _activity_columns() -> list:
+    return [half_up(F.avg(half_up(_only(S.STEPS, "total"), 4)), 1).alias("avg_daily_steps"),
+            half_up(F.avg(half_up(_only(S.ACTIVE_ENERGY, "total"), 4)), 1).alias("avg_active_energy_cal")]
+
+
+def _marker_columns(as_of) -> list:
+    month = F.col("date") >= F.lit(days_before(as_of, 30))
+    return [F.sum(_only(S.WEIGHT, "n", month)).alias("_weights")]
+
+
+def _timed(metric: str, where=None):
+    """The moment of a sample of `metric` that has a value."""
+    rule = (F.col("metric_type") == metric) & F.col("value").isNotNull()
+    return F.when(rule if where is None else rule & where, _moment())
+
+
+def _latest_vitals(as_of, tz: str) -> list:
+    return [F.max_by("value", _timed(S.HRV)).alias("hrv_latest_ms"),
+            F.max_by("value", _timed(S.RESTING_HR)).alias("resting_hr_latest_bpm")]
+
+
+def _latest_markers(as_of, tz: str) -> list:
+    in_month = _timed(S.WEIGHT, in_days("started_at", days_before(as_of, 30), as_of, tz))
+    return [F.max_by("value", _timed(S.VO2MAX)).alias("vo2max_latest"),
+            F.max_by("value", in_month).alias("weight_kg_latest"), F.min_by("value", in_month).alias("_oldest")]
+
+
+def coaching_recovery(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
+    """HRV and resting heart rate of the last 14 days; ``hrv_delta_samples`` sets the newest
+    seven HRV samples against all earlier ones."""
+    return _coaching(samples, as_of, ("recovery",), None, user_id, tz)
 
 
 def coaching_sleep(samples: DataFrame, as_of, source: str | None = sleep.DEFAULT_SOURCE, user_id=None,
                    tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Mean hours of the newest seven nights in the last 14 days, and a quality flag."""
-    as_of = as_date(as_of)
-    df = scans.for_user(samples, user_id).filter(in_days("started_at", days_before(as_of, 14), as_of, tz))
-    nightly = sleep.segments(df, source, tz).groupBy("user_id", "night_date").agg(F.sum("minutes").alias("minutes"))
-    latest = scans.first_per(nightly, ["user_id"], [F.desc("night_date")], 7)
-    out = latest.groupBy("user_id").agg(
-        half_up(F.avg("minutes") / 60, 1).alias("avg_hours_last_7_nights"), F.count("*").alias("nights_tracked"))
-    h = F.col("avg_hours_last_7_nights")
-    return out.withColumn("quality_flag", F.when(h >= 7.5, "good").when(h >= 6.5, "borderline").otherwise("poor"))
+    return _coaching(samples, as_of, ("sleep",), source, user_id, tz)
 
 
 def coaching_load(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Workouts of the last 30 days: count, hours, weekly rate and count by type."""
-    as_of = as_date(as_of)
-    df = _of(samples, S.WORKOUT, user_id=user_id).filter(
-        in_days("started_at", days_before(as_of, 30), as_of, tz))
-    seconds = F.coalesce(metadata_number("duration_seconds"), F.lit(0.0))
-    typed = df.groupBy("user_id", workout_type().alias("type")).agg(F.count("*").alias("n"), F.sum(seconds).alias("s"))
-    label = F.concat_ws(":", "type", F.col("n").cast("string"))
-    return typed.groupBy("user_id").agg(
-        F.sum("n").alias("total_workouts"), half_up(F.sum("s") / 3600, 1).alias("total_hours"),
-        half_up(F.sum("n") / F.lit(4.3), 1).alias("weekly_avg_workouts"),
-        F.array_join(F.array_sort(F.collect_list(label)), ",").alias("by_type"))
+    return _coaching(samples, as_of, ("load",), None, user_id, tz)
 
 
 def coaching_activity(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Mean daily steps and active energy of the last seven days."""
-    as_of = as_date(as_of)
-    points = daily.daily_from_raw(_of(samples, S.STEPS, S.ACTIVE_ENERGY, user_id=user_id).filter(
-        in_days("started_at", days_before(as_of, 7), as_of, tz)), tz)
-    return points.groupBy("user_id").agg(
-        stats.mean_daily_total(1, F.col("metric_type") == S.STEPS).alias("avg_daily_steps"),
-        stats.mean_daily_total(1, F.col("metric_type") == S.ACTIVE_ENERGY).alias("avg_active_energy_cal"))
+    return _coaching(samples, as_of, ("activity",), None, user_id, tz)
 
 
 def coaching_markers(samples: DataFrame, as_of, user_id=None, tz: str = S.DEFAULT_TZ) -> DataFrame:
     """Latest VO2 max of a year; latest and oldest weight of 30 days."""
-    as_of = as_date(as_of)
-    m, v, at = F.col("metric_type"), F.col("value"), _moment()
-    month = in_days("started_at", days_before(as_of, 30), as_of, tz)
-    df = _of(samples, S.VO2MAX, S.WEIGHT, user_id=user_id).filter(
-        in_days("started_at", days_before(as_of, 365), as_of, tz) & v.isNotNull())
-    vo2, weight = F.when(m == S.VO2MAX, at), F.when((m == S.WEIGHT) & month, at)
-    return df.groupBy("user_id").agg(
-        F.max_by(v, vo2).alias("vo2max_latest"), F.max_by(v, weight).alias("weight_kg_latest"),
-        F.when(F.count(weight) > 1, F.min_by(v, weight)).alias("weight_kg_30d_ago"))
+    return _coaching(samples, as_of, ("markers",), None, user_id, tz)
 
 
 def get_coaching_brief(samples: DataFrame, as_of, source: str | None = sleep.DEFAULT_SOURCE, user_id=None,
                        tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """Recovery, sleep, training load, activity and fitness markers, one row per user.
-
-    Every part is already one row per user, so the joins move little data.
-    """
-    parts = [coaching_recovery(samples, as_of, user_id, tz), coaching_sleep(samples, as_of, source, user_id, tz),
-             coaching_load(samples, as_of, user_id, tz), coaching_activity(samples, as_of, user_id, tz),
-             coaching_markers(samples, as_of, user_id, tz)]
-    brief = parts[0]
-    for part in parts[1:]:
-        brief = brief.join(part, "user_id", "full_outer")
-    return (brief.withColumn("hrv_trend", F.coalesce("hrv_trend", F.lit("unknown")))
-            .withColumn("coaching_note", F.coalesce("coaching_note", F.lit(DEFAULT_NOTE)))
-            .withColumn("quality_flag", F.coalesce("quality_flag", F.lit("no data"))))
+    """Recovery, sleep, training load, activity and fitness markers, one row per user, from one pass."""
+    return _coaching(samples, as_of, ("recovery", "sleep", "load", "activity", "markers"), source, user_id, tz)

@@ -59,6 +59,10 @@ def test_an_upsert_aggregates_only_the_new_rows(spark):
     assert "LeftAnti" in text and text.count("max_by") == 2 * text.count("partial_max_by")
 
 
+def test_the_brief_joins_no_parts(spark):
+    assert "FullOuter" not in plan(spark, "coaching_brief")
+
+
 @pytest.mark.parametrize("name,most", [("series_range", 4), ("search_counts", 4), ("compare_periods", 4)])
 def test_each_tier_is_scanned_once(spark, name, most):
     assert plan(spark, name).count("FileScan") <= most
