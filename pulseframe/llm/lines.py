@@ -1,10 +1,12 @@
 """Line de-duplication by a deletion-neighbourhood join.
 
 A line is removed if an earlier one, in the order of (doc_id, line number), differs from it in at most one inserted,
-deleted or replaced character. Lines shorter than ``MIN_CHARS`` are left alone: among them, one character makes another
-line. What counts is each line as it stands in the input, also if that earlier line is removed itself.
+deleted or replaced character. Lines shorter than ``MIN_CHARS`` are removed only if an earlier one equals them: among
+them, one character makes another line. Blank lines stay. What counts is each line as it stands in the input, also if that
+earlier line is removed itself. A caller that gives ``min_chars`` has shorter lines left alone altogether.
 
-1. Equal lines are reduced to the earliest, by a map-side combined minimum; a very common line is one row per task.
+1. Equal lines of any length are reduced to the earliest, by a map-side combined minimum; a very common line is one row per
+   task.
 2. Which distinct lines can have a neighbour at all: two lines within one edit agree in the first half or in the last half
    (taken by the length of the shorter), so each line is grouped by both, once for neighbours of its own length and once
    as the longer one of a pair. A line that is alone everywhere has no neighbour and goes no further.
@@ -35,6 +37,7 @@ MIN_CHARS = 20
 #: Two primes below 2**31 and a base for each: a key joins both residues of a polynomial hash.
 _PRIMES, _BASES = (2147483647, 2147483629), (911382323, 972663749)
 _SEPARATOR = "\n"
+_NOT_BLANK = r"\P{IsWhite_Space}"
 
 
 def _both(line: Column) -> list[Column]:
@@ -42,15 +45,16 @@ def _both(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int | None) -> DataFrame:
     """The lines that take part: doc_id, th (hash of the whole text), no, line, h1, h2."""
     whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = whole.select("doc_id", "th", F.posexplode(F.split("text", _SEPARATOR)).alias("no", "line"))
-    return rows.where(F.length("line") >= min_chars).select("*", *_both(F.col("line")))
+    part = F.col("line").rlike(_NOT_BLANK) if min_chars is None else F.length("line") >= min_chars
+    return rows.where(part).select("*", *_both(F.col("line")))
 
 
 def _halves() -> Column:
-    """The four groups of a line: by first and by last half, as one of equal length and as the longer one."""
+    """The keys of a line's four groups: by first and by last half, as one of equal length and then as the longer one."""
     n = F.length("line")
     out = []
     for longer in (False, True):
@@ -58,14 +62,14 @@ def _halves() -> Column:
         half = F.floor(m / 2).cast("int")
         for side, part in (("head", F.substring("line", F.lit(1), half)),
                            ("tail", F.substring("line", n - (m - half) + 1, m - half))):
-            out.append(F.struct(F.xxhash64(F.lit(side), m, part).alias("key"), F.lit(longer).alias("longer"),
-                                F.lit(side == "head").alias("head")))
+            out.append(F.xxhash64(F.lit(side), m, part))
     return F.array(*out)
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
     """The distinct lines that may have a neighbour, with what they must emit."""
-    keyed = firsts.select("h1", "h2", F.explode("halves").alias("g")).select("h1", "h2", "g.key", "g.longer", "g.head")
+    keyed = firsts.select("h1", "h2", F.posexplode("halves").alias("i", "key")).select(
+        "h1", "h2", "key", (F.col("i") >= 2).alias("longer"), (F.col("i") % 2 == 0).alias("head"))
     sizes = keyed.groupBy("key").agg(F.count_if(~F.col("longer")).alias("same"), F.count_if("longer").alias("longers"))
     sizes = sizes.where("same > 1 OR (same > 0 AND longers > 0)")
     met = keyed.join(sizes, "key")
@@ -175,20 +179,21 @@ def _near(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(text, ["doc_id", "no"]).join(other, "other").where(close).select(*_both(F.col("line"))).distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """doc_id, th and no of every line that an earlier one makes redundant."""
     lines = _lines(docs, min_chars)
-    firsts = store(lines.withColumn("halves", _halves()).groupBy("h1", "h2").agg(
+    halves = F.when(F.length("line") >= (MIN_CHARS if min_chars is None else min_chars), _halves())
+    firsts = store(lines.withColumn("halves", halves).groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("many"), F.first("halves").alias("halves"))
         .select("h1", "h2", "first.doc_id", "first.no", "many", "halves"))
-    near = _near(firsts, docs).withColumn("near", F.lit(True))
+    near = _near(firsts.where("halves IS NOT NULL"), docs).withColumn("near", F.lit(True))
     verdicts = firsts.select("h1", "h2", F.struct("doc_id", "no").alias("first"), "many").join(
         near, ["h1", "h2"], "left").where("many > 1 OR near").select("h1", "h2", "first", "near")
     return (lines.select("doc_id", "th", "no", "h1", "h2").join(verdicts, ["h1", "h2"])
             .where(F.col("near") | (F.struct("doc_id", "no") != F.col("first"))).select("doc_id", "th", "no"))
 
 
-def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_documents(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """The documents without their removed lines, and ``n_lines_removed``; all other columns are kept."""
     drops = removed_lines(docs, min_chars).groupBy("doc_id", "th").agg(F.collect_set("no").alias("drops"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text",

@@ -86,6 +86,13 @@ def test_a_crowd_of_neighbours_is_reduced_to_the_earliest(spark):
     assert out[0] == docs[0][1] and all(out[i] == "" for i in range(1, 300))
 
 
+def test_equal_lines_of_any_length_are_reduced_to_the_earliest(spark):
+    rows = [(1, "Les.\n\nAnd ornd.\n \u3000"), (2, "Les.\n\nLes!\n \u3000\n日本\n日本"), (3, "And ornd."),
+            (4, "x" * 19 + "\n" + "x" * 18), (5, "x" * 19 + "\n" + "x" * 20 + "\n" + "x" * 21)]
+    out = {r.doc_id: (r.text, r.n_lines_removed) for r in lines.dedup_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("\nLes!\n \u3000\n日本", 2), 3: ("", 1), 4: (rows[3][1], 0), 5: ("x" * 20, 2)}
+
+
 # SimHash
 
 def test_masks_cover_all_pairs_of_positions():
