@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Documents are tokenised whole and end with a separator id. Those longer than a sequence are cut into full pieces, the
+Documents are tokenised whole and end with a separator id. The added tokens of the vocabulary file are matched in the text,
+the leftmost and longest first, as its library does. Those longer than a sequence are cut into full pieces, the
 first of which may be shorter. The pieces are packed by bulk-synchronous best fit:
 
 * Pieces are range-sorted by length, longest first: each gets its rank among the pieces of its length. A length holding
@@ -23,10 +24,11 @@ import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +64,41 @@ def load_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenise(docs: DataFrame, path: str, separator: int = 0, size: int = SEQUENCE) -> DataFrame:
-    """The pieces of every document: doc_id, piece, start, length, ids_crc32 and ``ids`` (little-endian unsigned 32-bit)."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a vocabulary file adds to its model, each of which stands in a text as it is and within one unit."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] or not t["content"] for t in found):
+        raise ValueError("an added token of the vocabulary holds a space, or depends on what is around it")
+    return {t["content"]: t["id"] for t in found}
+
+
+def text_encoder(path: str, added: bool) -> Callable[[str], array]:
+    """The function that gives the ids of a unit; ``added`` as in ``tokenise``."""
+    encoding, tokens = load_encoding(path), added_tokens(path) if added else {}
+    if not tokens:
+        return lambda text: array("I", encoding.encode_ordinary(text))
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(tokens, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> array:
+        ids = array("I")
+        for i, part in enumerate(split(text)):
+            ids.extend([tokens[part]] if i % 2 else encoding.encode_ordinary(part))
+        return ids
+
+    return encode
+
+
+def tokenise(docs: DataFrame, path: str, separator: int = 0, size: int = SEQUENCE, added: bool = False) -> DataFrame:
+    """The pieces of every document: doc_id, piece, start, length, ids_crc32 and ``ids`` (little-endian unsigned 32-bit).
+
+    With ``added``, the file's added tokens are matched in the text, which is what its library does by default; without, they
+    are text like any other, as with the library's ``encode_special_tokens``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(path)
-        units = Bounded(lambda text: array("I", encoding.encode_ordinary(text)).tobytes(), _UNITS)
+        encode = text_encoder(path, added)
+        units = Bounded(lambda text: encode(text).tobytes(), _UNITS)
         end = array("I", [separator]).tobytes()
         for batch in batches:
             rows, held = [], 0
@@ -177,4 +208,4 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, separator: int = 0, size: int = SEQUENCE) -> DataFrame:
     """Tokenises and packs every document; one row per piece."""
-    return pack(store(tokenise(docs, path, separator, size).drop("ids")), size)
+    return pack(store(tokenise(docs, path, separator, size, added=True).drop("ids")), size)

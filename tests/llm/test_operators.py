@@ -435,6 +435,19 @@ def test_pieces_have_the_ids_of_the_library(spark):
     assert found == {i: library.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
 
 
+def test_added_tokens_have_the_ids_of_the_library_as_it_is(spark):
+    library, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    rng = random.Random(8)
+    texts = [f"hi {end} there", end, end * 3, f"a  {end}  b", f"a\n{end}\n b", f"x{end}y {end}. {end[:-1]} {end[1:]}"] + [
+        "".join(rng.choice([end, *"ab é\n.'1 "]) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts)], DOCS)
+    wanted = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in wanted[0]
+    out = packing.pack_documents(docs, JSON).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in out} == {
+        i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in wanted.items()}
+
+
 @pytest.mark.parametrize("size", [10, 64, 2048])
 def test_runs_fill_sequences_without_gaps(size):
     rng = random.Random(size)
