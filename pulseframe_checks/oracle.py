@@ -540,5 +540,7 @@ ORACLE["publish_late_twice"] = ORACLE["publish_tiers"]
 add("xml_to_store", samples(), f"""SELECT 'me' user_id, metric_type, date_trunc('second', started_at) started_at, max(value) AS value
 FROM samples WHERE metric_type IN ('{STEPS}', '{HRV}') GROUP BY 1, 2, 3""")
 add("scan_recent_all", samples(HRV), f"SELECT user_id, value, source_device, started_at FROM samples WHERE {win(14)}")
+add("scan_summary_all", samples(STEPS), SUMM, "SELECT user_id, date, avg_value, sum_value, sample_count FROM summ WHERE date >= DATE '2024-01-05'")
+add("workouts_all", samples(WORKOUT), WORK, f"SELECT * EXCLUDE (seq) FROM work WHERE {win(30)}")
 add("ingest_rejects", PAYLOAD, f"SELECT CAST(user_id AS VARCHAR) user_id, batch_no, {VERDICT} reason FROM batches WHERE {VERDICT} <> 'accepted'")
 ORACLE["stream_rejects"] = ORACLE["ingest_rejects"]

@@ -102,7 +102,7 @@ def scan_range(spark, d):
 
 @query
 def scan_day(spark, d):
-    return scans.on_day(raw(spark, d), "2024-01-15", 1000).select(
+    return scans.on_day(raw(spark, d), "2024-01-15").select(
         "user_id", "metric_type", "value", "unit", "started_at")
 
 
@@ -112,6 +112,12 @@ def scan_summary(spark, d):
         "user_id", "date", "avg_value", "sum_value", "sample_count")
 
 
+@query
+def scan_summary_all(spark, d):
+    return scans.summaries_since(summaries(spark, d, S.STEPS), S.STEPS, "2024-01-05").select(
+        "user_id", "date", "avg_value", "sum_value", "sample_count")
+
+
 @query
 def source_filter(spark, d):
     return scans.recent(raw(spark, d, S.HRV), S.HRV, AS_OF, 30, source="apple watch").select(
@@ -525,6 +531,11 @@ def workouts_list(spark, d):
     return _workouts(spark, d, 5)["workouts"]
 
 
+@query
+def workouts_all(spark, d):
+    return _workouts(spark, d, None)["workouts"]
+
+
 @query
 def workouts_summary(spark, d):
     return _workouts(spark, d, 5)["summary"]  # a limit shortens the listing only

@@ -23,6 +23,18 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF) in (None, "no rows")
 
 
+def test_scan_day_keeps_all_rows_of_a_busy_user(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pulseframe_checks import registry
+
+    day = spark.range(1200).select(
+        F.lit("u").alias("user_id"), F.lit("m").alias("metric_type"), F.lit(1.0).alias("value"), F.lit("x").alias("unit"),
+        F.lit("2024-01-15 17:00:00").cast("timestamp").alias("started_at"), F.col("id").alias("seq"))
+    monkeypatch.setattr(registry, "raw", lambda spark, d: day)
+    assert QUERIES["scan_day"](spark, "").count() == 1200
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
