@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import ann, bpe, chat, lines, packing, pii, simhash, suffixes, topk, toxicity
+from pulseframe.llm import (ann, bpe, chat, lines, packing, pii, resample, runs, simhash, suffixes, topk, toxicity,
+                            transducer)
+from pulseframe.llm.shared import hex_digest
 
 #: The key for the synthetic tables, unless the session has another one.
 PII_KEY_SETTING, PII_KEY = "pulseframe.pii.key", "synthetic tables only"
@@ -70,6 +72,43 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The texts of op12: a tenth of the documents, by a hash of the id, repeat some of their words to the end.
+
+    With g a further number from the hash, the words from place a = g % n on become the first p of them over and over.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    parted = own.withColumn("words", F.when(F.col("chosen"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    sized = parted.withColumn("n", F.size("words")).withColumn("a", F.expr("IF(n > 0, CAST(g % n AS INT), 0)"))
+    placed = sized.withColumn("p", F.expr("CAST(1 + floor((n - a) / (3 + g % 8)) AS INT)"))
+    periods = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("CAST(ceil((n - a) / p) AS INT)"))
+    words = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(periods), F.lit(1), F.col("n") - F.col("a")))
+    return placed.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(words, " ")).otherwise(
+        F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"),
+                       hex_digest(F.concat(F.array_join(lines_, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+                       .alias("runs_sha256"), hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", (-F.col("l.start")).alias("start"), "l.length", (-F.col("l.period")).alias("period"),
+                        F.expr("1000 * l.length div -l.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_simhash, op3_toxicity, op4_chat, op5_topk, op6_suffix_dedup, op7_pii, op8_bpe, op9_packing,
-    op10_ann)}
+    op10_ann, op11_token_counts, op12_periodic_runs, op13_importance)}

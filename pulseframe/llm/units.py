@@ -46,12 +46,12 @@ class Bounded(dict):
         return value
 
 
-def chunks(text: pa.Array) -> Iterator[pa.Array]:
-    """Slices of an array of strings, each of about ``_CHUNK`` bytes; a longer text stands alone."""
+def chunks(text: pa.Array, most: int = _CHUNK) -> Iterator[pa.Array]:
+    """Slices of an array of strings, each of about ``most`` bytes; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(text), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
-        if held and held + n > _CHUNK:
+        if held and held + n > most:
             yield text.slice(start, i - start)
             start, held = i, 0
         held += n
