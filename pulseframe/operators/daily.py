@@ -22,25 +22,28 @@ from .scans import summaries_between
 POINT_VALUES = ("avg_value", "min_value", "max_value", "sum_value", "sample_count", "unit")
 
 
-def daily_from_raw(samples: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+def daily_from_raw(samples: DataFrame, tz: str = DEFAULT_TZ, exact: bool = False) -> DataFrame:
     """Daily points of raw samples; NULL values are left out.
 
+    `exact` adds ``_total``, the sum before rounding, and keeps days that have NULL values only, with no samples.
+
     The unit is a grouping key first, so that all buffers are numbers and the raw
     rows are aggregated by hash; a day's few units are folded afterwards.
     """
-    by_unit = (samples.filter(F.col("value").isNotNull())
+    by_unit = ((samples if exact else samples.filter(F.col("value").isNotNull()))
                .groupBy("user_id", "metric_type", local_day("started_at", tz).alias("date"), "unit")
                .agg(F.sum("value").alias("_sum"), F.min("value").alias("_min"), F.max("value").alias("_max"),
                     F.count("value").alias("_n")))
     return by_unit.groupBy(*DAY_KEY).agg(
         half_up(F.sum("_sum") / F.sum("_n"), 4).alias("avg_value"), F.min("_min").alias("min_value"),
         F.max("_max").alias("max_value"), half_up(F.sum("_sum"), 4).alias("sum_value"),
-        F.sum("_n").alias("sample_count"), F.max("unit").alias("unit")).withColumn("source", F.lit("raw"))
+        F.sum("_n").alias("sample_count"), F.max("unit").alias("unit"),
+        *([F.sum("_sum").alias("_total")] if exact else [])).withColumn("source", F.lit("raw"))
 
 
-def daily_summary(samples: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+def daily_summary(samples: DataFrame, tz: str = DEFAULT_TZ, exact: bool = False) -> DataFrame:
     """What the summary tier stores: daily points of the quantities."""
-    return daily_from_raw(samples.filter(is_summarisable()), tz).drop("source")
+    return daily_from_raw(samples.filter(is_summarisable()), tz, exact).drop("source")
 
 
 def combine_summaries(summaries: DataFrame) -> DataFrame:

@@ -60,7 +60,9 @@ def run_retention(spark: SparkSession, root: str, as_of, raw_days: int = RAW_DAY
     path = f"{root}/reports/as_of={as_of}"
     plan.report.write.mode("overwrite").parquet(path)
     report = spark.read.schema(plan.report.schema).parquet(path)
-    tables.publish_cut(spark, root, plan.summaries, days_before(as_of, raw_days), tz)
+    cut = days_before(as_of, raw_days)
+    expired = daily_summary(samples.filter(before_day("started_at", cut, tz)), tz, exact=True)
+    tables.publish_cut(spark, root, expired, cut, tz)
     if drop:
         tables.drop_expired(spark, root)
     return report

@@ -537,6 +537,14 @@ count(*) AS days FROM nights GROUP BY 1, 2, 3""")
 add("metric_stats_raw_only", samples(*QUANTITIES), daily(), VALUED, STATS, "SELECT *, p75 good_day_above, p25 poor_day_below FROM stats")
 add("long_term_uncapped", LONG, LDAILY, VALUED, STATS, "SELECT *, p75 good_day_above, p25 poor_day_below FROM stats")
 ORACLE["publish_late_twice"] = ORACLE["publish_tiers"]
+MANY = """many AS (SELECT * FROM (SELECT * REPLACE (started_at + to_minutes(CAST(seq % 600 AS BIGINT)) AS started_at) FROM long)
+  QUALIFY row_number() OVER (PARTITION BY user_id, metric_type, started_at ORDER BY seq DESC) = 1)"""
+# Thirty days before 1999-03-20 begins the raw tier.
+add("late_after_drop", LONG, MANY, daily("daily", "many"), """SELECT user_id, metric_type, date AS day, avg_value, min_value, max_value, sum_value,
+sample_count, CASE WHEN date < DATE '1999-03-20' - 30 THEN 'summary' ELSE 'raw' END source FROM daily""")
+add("upsert_delta_merge", LONG, MANY, """SELECT user_id, metric_type, started_at, seq,
+value + CASE WHEN seq % 7 = 0 OR seq % 11 = 0 THEN 2 WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS value FROM many""")
+ORACLE["compact_deltas"] = ORACLE["upsert_delta_merge"]
 add("xml_to_store", samples(), f"""SELECT 'me' user_id, metric_type, date_trunc('second', started_at) started_at, max(value) AS value
 FROM samples WHERE metric_type IN ('{STEPS}', '{HRV}') GROUP BY 1, 2, 3""")
 add("scan_recent_all", samples(HRV), f"SELECT user_id, value, source_device, started_at FROM samples WHERE {win(14)}")

@@ -15,7 +15,7 @@ from pulseframe.operators import daily, hygiene, ingest, retention, scans, sleep
 from pulseframe.plans import analyses, recipes, tools
 from pulseframe.sources import driver_tables as tables
 from pulseframe.sources import json_batches, xml_export
-from pulseframe.sources.tables import open_tiers, publish, shared_dir, stored_samples, upsert_into_tiers
+from pulseframe.sources.tables import compact, open_tiers, publish, shared_dir, stored_samples, upsert_into_tiers
 from pulseframe.streaming import pipelines
 
 AS_OF = dt.date(2024, 1, 31)
@@ -827,6 +827,49 @@ def publish_late_twice(spark, d):
     return _publish(spark, d, 2)
 
 
+def _many_a_day(spark, d):
+    """Multi-year samples with distinct keys, several on most days."""
+    s = tables.long_samples(spark, d)
+    return ingest.latest_per_key(s.withColumn("started_at", F.timestamp_add("MINUTE", F.col("seq") % 600, "started_at")))
+
+
+@query
+def late_after_drop(spark, d):
+    """Raws of the expired months are dropped, then a seventh of all samples arrives, twice: as if nothing had been dropped."""
+    root = shared_dir(spark, "late-after-drop")
+    s = _many_a_day(spark, d)
+    publish(spark, root, s.filter(F.col("seq") % 7 != 0), daily.daily_summary(s.filter(F.lit(False))), buckets=1)
+    retention.run_retention(spark, root, "1999-03-20", S.RAW_DAYS, drop=True)
+    for _ in range(2):
+        upsert_into_tiers(spark, root, s.filter(F.col("seq") % 7 == 0))
+    return daily.daily_quantity_view(*open_tiers(spark, root)).drop("unit")
+
+
+def _with_deltas(spark, d):
+    """A store that two overlapping deliveries have come to."""
+    root = shared_dir(spark, "deltas")
+    s = _many_a_day(spark, d)
+    publish(spark, root, s.filter(F.col("seq") % 11 != 0), daily.daily_summary(s.filter(F.lit(False))), buckets=2)
+    upsert_into_tiers(spark, root, s.filter(F.col("seq") % 5 == 0).withColumn("value", F.col("value") + 1))
+    upsert_into_tiers(spark, root, s.filter((F.col("seq") % 7 == 0) | (F.col("seq") % 11 == 0)).withColumn(
+        "value", F.col("value") + 2))
+    return root
+
+
+@query
+def upsert_delta_merge(spark, d):
+    """Stored rows and two deltas, merged when they are read."""
+    return stored_samples(spark, _with_deltas(spark, d)).select("user_id", "metric_type", "started_at", "value", "seq")
+
+
+@query
+def compact_deltas(spark, d):
+    """The same after the deltas have been folded into their buckets."""
+    root = _with_deltas(spark, d)
+    compact(spark, root)
+    return stored_samples(spark, root).select("user_id", "metric_type", "started_at", "value", "seq")
+
+
 def _xml(spark, samples):
     """Samples written as XML exports of a bounded number of records by Spark; sleep values as stage names."""
     path = shared_dir(spark, "xml")
