@@ -3,7 +3,7 @@
 A line is removed if an earlier one, in the order of (doc_id, line number), differs from it in at most one inserted,
 deleted or replaced character. Lines shorter than ``MIN_CHARS`` are removed only if an earlier one equals them: among
 them, one character makes another line. Blank lines stay. What counts is each line as it stands in the input, also if that
-earlier line is removed itself. A caller that gives ``min_chars`` has shorter lines left alone altogether.
+earlier line is removed itself.
 
 1. Equal lines of any length are reduced to the earliest, by a map-side combined minimum; a very common line is one row per
    task.
@@ -45,12 +45,11 @@ def _both(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _lines(docs: DataFrame, min_chars: int | None) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """The lines that take part: doc_id, th (hash of the whole text), no, line, h1, h2."""
     whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = whole.select("doc_id", "th", F.posexplode(F.split("text", _SEPARATOR)).alias("no", "line"))
-    part = F.col("line").rlike(_NOT_BLANK) if min_chars is None else F.length("line") >= min_chars
-    return rows.where(part).select("*", *_both(F.col("line")))
+    return rows.where(F.col("line").rlike(_NOT_BLANK)).select("*", *_both(F.col("line")))
 
 
 def _halves() -> Column:
@@ -179,10 +178,10 @@ def _near(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(text, ["doc_id", "no"]).join(other, "other").where(close).select(*_both(F.col("line"))).distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th and no of every line that an earlier one makes redundant."""
-    lines = _lines(docs, min_chars)
-    halves = F.when(F.length("line") >= (MIN_CHARS if min_chars is None else min_chars), _halves())
+    lines = _lines(docs)
+    halves = F.when(F.length("line") >= MIN_CHARS, _halves())
     firsts = store(lines.withColumn("halves", halves).groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("many"), F.first("halves").alias("halves"))
         .select("h1", "h2", "first.doc_id", "first.no", "many", "halves"))
@@ -193,9 +192,9 @@ def removed_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
             .where(F.col("near") | (F.struct("doc_id", "no") != F.col("first"))).select("doc_id", "th", "no"))
 
 
-def dedup_documents(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents without their removed lines, and ``n_lines_removed``; all other columns are kept."""
-    drops = removed_lines(docs, min_chars).groupBy("doc_id", "th").agg(F.collect_set("no").alias("drops"))
+    drops = removed_lines(docs).groupBy("doc_id", "th").agg(F.collect_set("no").alias("drops"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text",
                         F.xxhash64("text").alias("th"))
     joined = whole.join(drops, ["doc_id", "th"], "left").withColumn("lines", F.split("text", _SEPARATOR))

@@ -1,25 +1,27 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-_LINES = """
+_LINES = r"""
 WITH lines AS (
   SELECT doc_id, i - 1 AS no, parts[i] AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
        LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)
 ),
 firsts AS (
-  SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM lines WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM lines
+  WHERE regexp_matches(line, '[^\p{Z}\x09-\x0D\x{85}]') GROUP BY line
 ),
+longer AS (SELECT * FROM firsts WHERE n >= 20),
 met AS (
-  SELECT a.line, a.first, b.line AS other, b.first AS other_first FROM firsts a JOIN firsts b
+  SELECT a.line, a.first, b.line AS other, b.first AS other_first FROM longer a JOIN longer b
     ON a.n = b.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
   UNION ALL
-  SELECT a.line, a.first, b.line, b.first FROM firsts a JOIN firsts b
+  SELECT a.line, a.first, b.line, b.first FROM longer a JOIN longer b
     ON a.n = b.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
   UNION ALL
-  SELECT a.line, a.first, b.line, b.first FROM firsts a JOIN firsts b
+  SELECT a.line, a.first, b.line, b.first FROM longer a JOIN longer b
     ON a.n = b.n - 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
   UNION ALL
-  SELECT a.line, a.first, b.line, b.first FROM firsts a JOIN firsts b
+  SELECT a.line, a.first, b.line, b.first FROM longer a JOIN longer b
     ON a.n = b.n - 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
 ),
 near AS (

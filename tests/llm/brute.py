@@ -17,14 +17,15 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def without_near_lines(docs: list[tuple], min_chars: int) -> dict[int, str | None]:
-    """doc_id -> text, for documents with distinct ids."""
+def without_near_lines(docs: list[tuple], from_chars: int = 20) -> dict[int, str | None]:
+    """doc_id -> text, for documents with distinct ids: of equal lines that are not blank the earliest stays, and of lines of
+    ``from_chars`` characters and more within one edit too."""
     lines = [(d, k, line) for d, t in docs if d is not None and t is not None for k, line in enumerate(t.split("\n"))]
     lines.sort(key=lambda x: x[:2])
     gone = set()
     for i, (d, k, line) in enumerate(lines):
-        if len(line) >= min_chars and any(
-                len(other) >= min_chars and within_one_edit(line, other) for _, _, other in lines[:i]):
+        if line.strip() and any(line == other or (min(len(line), len(other)) >= from_chars and within_one_edit(line, other))
+                                for _, _, other in lines[:i]):
             gone.add((d, k))
     return {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in docs}
 

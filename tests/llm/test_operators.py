@@ -43,21 +43,24 @@ def edge_documents():
 
 def line_documents(seed):
     rng = random.Random(seed)
-    pool = ["".join(rng.choice("abc é") for _ in range(rng.randint(3, 14))) for _ in range(25)]
+    pool = ["".join(rng.choice("abc é") for _ in range(rng.choice([1, 2, rng.randint(3, 18), rng.randint(18, 26)])))
+            for _ in range(25)]
 
     def changed(line):
         at = rng.randrange(len(line))
         return rng.choice([line, line[:at] + line[at + 1:], line[:at] + "z" + line[at:], line[:at] + "y" + line[at + 1:]])
 
     docs = [(i, "\n".join(changed(rng.choice(pool)) for _ in range(rng.randint(0, 8)))) for i in range(40)]
-    return docs + [(50, None), (51, ""), (52, "\n\n"), (53, "aaaaaaaaaaaa\naaaaaaaaaaa\naaaaaaaaaa")]
+    long = "".join(rng.choice("abc") for _ in range(30_000))
+    return docs + [(50, None), (51, ""), (52, "\n\n"), (53, "\n".join("a" * n for n in range(24, 16, -1))), (54, " \n \n\t"),
+                   (55, f"{long}\nx"), (56, f"x\n{long[:9]}{long[10:]}"), (57, long + long)]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_lines_equal_a_plain_search(spark, seed):
     docs = line_documents(seed)
-    out = lines.dedup_documents(spark.createDataFrame(docs, DOCS), min_chars=6)
-    assert {r.doc_id: r.text for r in out.collect()} == brute.without_near_lines(docs, 6)
+    out = lines.dedup_documents(spark.createDataFrame(docs, DOCS))
+    assert {r.doc_id: r.text for r in out.collect()} == brute.without_near_lines(docs)
 
 
 def test_deletion_keys_are_those_of_the_shorter_line():
