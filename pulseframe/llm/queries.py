@@ -12,8 +12,8 @@ from pulseframe.llm import (ann, bpe, chat, lines, packing, pii, resample, runs,
                             transducer)
 from pulseframe.llm.shared import hex_digest
 
-#: The key for the synthetic tables, unless the session has another one.
-PII_KEY_SETTING, PII_KEY = "pulseframe.pii.key", "synthetic tables only"
+#: The session setting that holds the key of pseudonyms; there is no key that stands in for it.
+PII_KEY_SETTING = "pulseframe.pii.key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(PII_KEY_SETTING, PII_KEY)
+    """The session's key; it is an error to have none."""
+    key = spark.conf.get(PII_KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {PII_KEY_SETTING} to a secret key")
+    return key
+
+
+def with_test_key(spark: SparkSession) -> SparkSession:
+    """The session, with a key for the supplied synthetic tables where it has none. Not for other data."""
+    if not spark.conf.get(PII_KEY_SETTING, None):
+        spark.conf.set(PII_KEY_SETTING, "for the supplied synthetic tables")
+    return spark
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +67,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(with_test_key(spark)))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

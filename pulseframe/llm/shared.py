@@ -13,18 +13,25 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The application's folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
     Where that is unset, a single-process session (``local``, ``local[n]``) gets a temporary folder; on a cluster a
     local folder would be a different one on each machine, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="pulseframe-"))
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="pulseframe-")
+        base = _LOCAL[app]
+    return f"{base.rstrip('/')}/pulseframe-llm/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the stored intermediate tables of this application, once its results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame) -> DataFrame:
