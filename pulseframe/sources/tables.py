@@ -52,20 +52,29 @@ _SCRATCH: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory in the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """A fresh directory of the application in the shared folder that the cluster names in ``spark.checkpoint.dir``;
+    `clear_scratch` deletes all of them.
 
     Without that setting only a session in one process (``local[n]``) gets a temporary
     folder; on a cluster it would be another one on each machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
         if app not in _SCRATCH:
             _SCRATCH[app] = tempfile.mkdtemp(prefix="pulseframe-")
         base = _SCRATCH[app]
-    return f"{base.rstrip('/')}/pulseframe/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/pulseframe/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has left in the shared folder, once its results have been written."""
+    manifest.remove(spark, _scratch(spark))
 
 
 # --- layout ----------------------------------------------------------------
