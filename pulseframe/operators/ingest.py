@@ -15,7 +15,7 @@ from ..functions.units import preferred_units, unit_conversions
 from ..schema import MAX_BATCH, MAX_STRING, SAMPLE_COLUMNS, SAMPLE_KEY, SLEEP
 
 CORRUPT = "_corrupt_record"  # where Spark's JSON reader puts a line that it cannot read
-PLACES = 5000
+ARRIVAL = "arrival"          # a sample's place in the order of arrival, finer than `seq`, the number of its batch
 
 
 def check_batches(batches: DataFrame, max_samples: int | None = MAX_BATCH, max_string: int | None = MAX_STRING) -> DataFrame:
@@ -43,31 +43,38 @@ def check_batches(batches: DataFrame, max_samples: int | None = MAX_BATCH, max_s
 
 
 def _unpacked(batches: DataFrame, batch_order: Column | str) -> DataFrame:
+    # Within a file the lines of a block follow each other in one task; `complete` tells file and block.
+    line = F.monotonically_increasing_id() if "source_file" in batches.columns else F.lit(0).cast("bigint")
+    file = F.col("source_file") if "source_file" in batches.columns else F.lit(None).cast("string")
+    block = F.col("source_block") if "source_block" in batches.columns else F.lit(None).cast("bigint")
     s = F.col("s")
-    rows = (batches.filter(F.col("verdict") == "accepted")
-            .select("user_id", as_col(batch_order).cast("bigint").alias("_b"),
-                    F.posexplode("samples").alias("_pos", "s")))
+    rows = (batches.withColumn("_line", line).filter(F.col("verdict") == "accepted")
+            .select("user_id", as_col(batch_order).cast("bigint").alias("batch_no"), file.alias("_file"),
+                    block.alias("_block"), "_line", F.posexplode("samples").alias("_pos", "s")))
+    number = F.coalesce("batch_no", F.lit(0))
     rows = rows.select(
         "user_id", s["metric_type"].alias("metric_type"), s["value"].alias("value"),
         s["unit"].alias("unit"), s["source_device"].alias("source_device"),
         s["started_at"].try_cast("timestamp").alias("started_at"),
-        s["ended_at"].try_cast("timestamp").alias("ended_at"), s["metadata"].alias("metadata"),
-        # batch number and place in the batch; a microsecond clock as batch number fits for 5,000 places
-        (F.try_multiply(F.coalesce("_b", F.lit(0)), F.lit(PLACES)) + F.col("_pos")).alias("seq"))
+        s["ended_at"].try_cast("timestamp").alias("ended_at"), s["metadata"].alias("metadata"), number.alias("seq"),
+        F.struct(number.alias("number"), F.coalesce("_file", F.lit("")).alias("file"),
+                 F.coalesce("_block", F.lit(0)).alias("block"), F.col("_line").alias("line"),
+                 F.col("_pos").alias("place")).alias(ARRIVAL),
+        "batch_no", s["started_at"].alias("_start"), s["ended_at"].alias("_end"))
     reason = (F.when(F.col("user_id").isNull(), "no user").when(F.col("started_at").isNull(), "unreadable start")
-              .when(F.coalesce(F.trim("metric_type"), F.lit("")) == "", "no metric")
-              .when(F.col("seq").isNull(), "batch number out of range"))
+              .when(F.coalesce(F.trim("metric_type"), F.lit("")) == "", "no metric"))
     return rows.withColumn("reason", reason)
 
 
 def samples_of(batches: DataFrame, batch_order: Column | str) -> DataFrame:
-    """Samples of the accepted batches, in arrival order.
+    """Samples of the accepted batches, with their order of ``arrival``.
 
-    ``seq`` orders by batch, then by place in the batch; a batch without a number comes
-    first.  A sample without user, metric or readable start is left to
+    The order is by batch number, or the time the file was written, then by file, place of the
+    batch in the file, and place in the batch; a batch without a number comes first.  ``seq`` is
+    the number alone.  A sample without user, metric or readable start is left to
     `rejected_samples`.
     """
-    return _unpacked(batches, batch_order).filter(F.col("reason").isNull()).drop("reason")
+    return _unpacked(batches, batch_order).filter(F.col("reason").isNull()).drop("reason", "batch_no", "_start", "_end")
 
 
 def rejected_samples(batches: DataFrame, batch_order: Column | str) -> DataFrame:
@@ -76,25 +83,30 @@ def rejected_samples(batches: DataFrame, batch_order: Column | str) -> DataFrame
 
 
 def rejects(batches: DataFrame, batch_order: Column | str) -> DataFrame:
-    """Everything that is not stored, as rows of (user_id, batch_no, reason, content as JSON)."""
+    """Everything that is not stored, as rows of (user_id, batch_no, reason, content as JSON).
+
+    A sample's content has its fields as they came, so that it can be mended and replayed.
+    """
     number = as_col(batch_order).cast("bigint").alias("batch_no")
     whole = F.coalesce(F.col(CORRUPT), F.to_json("samples")) if CORRUPT in batches.columns else F.to_json("samples")
     bad = batches.filter(F.col("verdict") != "accepted").select(
         "user_id", number, F.col("verdict").alias("reason"), whole.alias("content"))
+    content = F.to_json(F.struct(
+        "user_id", "metric_type", "value", "unit", "source_device", F.col("_start").alias("started_at"),
+        F.col("_end").alias("ended_at"), "metadata"))
     samples = rejected_samples(batches, batch_order)
-    fields = [c for c in samples.columns if c != "reason"]
-    return bad.unionByName(samples.select("user_id", F.floor(F.col("seq") / PLACES).alias("batch_no"), "reason",
-                                          F.to_json(F.struct(*fields)).alias("content")))
+    return bad.unionByName(samples.select("user_id", "batch_no", "reason", content.alias("content")))
 
 
 def _pick(df: DataFrame, key, chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
-    return (df.groupBy(*key).agg(chooser(F.struct(*rest), F.col("seq")).alias("_r"))
+    order = F.col(ARRIVAL) if ARRIVAL in rest else F.coalesce("seq", F.lit(-1 << 63))
+    return (df.groupBy(*key).agg(chooser(F.struct(*rest), order).alias("_r"))
             .select(*key, "_r.*").select(*df.columns))
 
 
 def latest_per_key(df: DataFrame, key=SAMPLE_KEY) -> DataFrame:
-    """One row per key, the last to arrive."""
+    """One row per key, the last to arrive: by ``arrival`` where there is one, else by ``seq``."""
     return _pick(df, key, F.max_by)
 
 

@@ -14,10 +14,14 @@ BATCH_FILES = T.StructType([T.StructField("user_id", T.StringType()), T.StructFi
 
 def complete(batches: DataFrame, user_id=None) -> DataFrame:
     """A client's own payload names neither user nor order: the caller gives the user, and a
-    batch without a number is ordered by when its file was written."""
-    arrived = F.unix_micros(F.col("_metadata.file_modification_time"))
-    return batches.withColumn("batch_no", F.coalesce("batch_no", arrived)).withColumn(
-        "user_id", F.coalesce(F.col("user_id"), F.lit(user_id).cast("string")))
+    batch without a number is ordered by when its file was written, the file's name, and the
+    place in the file."""
+    meta = F.col("_metadata")
+    return batches.select(
+        "*", meta["file_path"].alias("source_file"), meta["file_block_start"].alias("source_block"),
+        F.unix_micros(meta["file_modification_time"]).alias("_arrived")).withColumn(
+        "batch_no", F.coalesce("batch_no", "_arrived")).withColumn(
+        "user_id", F.coalesce(F.col("user_id"), F.lit(user_id).cast("string"))).drop("_arrived")
 
 
 def read_batches(spark: SparkSession, path: str, schema=BATCH_FILES, user_id=None) -> DataFrame:

@@ -33,9 +33,9 @@ from ..functions.metrics import is_summarisable
 from ..functions.numbers import half_up, ratio
 from ..functions.time import as_date, before_day, day_start, local_day
 from ..operators.daily import daily_summary
-from ..operators.ingest import first_per_key, latest_per_key
+from ..operators.ingest import ARRIVAL, first_per_key, latest_per_key
 from ..schema import DAY_KEY, SAMPLE_COLUMNS, SAMPLE_KEY, SUMMARY_COLUMNS
-from . import manifest
+from . import manifest, rejects
 from .manifest import Change, Directory, Version
 
 #: Buckets of a metric-month; give `publish` more where a metric-month has many gigabytes.
@@ -215,14 +215,11 @@ def stored_samples(spark: SparkSession, root: str) -> DataFrame:
     return _merged(spark, root, "samples", entry, entry.of("samples"))
 
 
-REJECTED = "user_id string, metric_type string, started_at timestamp, reason string, content string"
-
-
 def rejected(spark: SparkSession, root: str) -> DataFrame:
-    """Late samples that were not merged, each with its reason and content."""
+    """Late samples that were not merged and what imports quarantined, in the layout of `rejects`."""
     if not manifest.names(spark, f"{root}/rejects"):
-        return spark.createDataFrame([], REJECTED)
-    return spark.read.schema(REJECTED).parquet(f"{root}/rejects/*")
+        return spark.createDataFrame([], f"{rejects.LAYOUT}, run string")
+    return rejects.read(spark, f"{root}/rejects")
 
 
 # --- changes ---------------------------------------------------------------
@@ -239,8 +236,9 @@ def publish(spark: SparkSession, root: str, samples: DataFrame, summaries: DataF
 
 def _valid(rows: DataFrame) -> DataFrame:
     """Rows with a whole key; `ingest.rejected_samples` has the others, with the reason."""
+    columns = [*SAMPLE_COLUMNS, *(c for c in (ARRIVAL,) if c in rows.columns)]
     return rows.filter(F.col("user_id").isNotNull() & F.col("started_at").isNotNull()
-                       & (F.trim("metric_type") != "")).select(*SAMPLE_COLUMNS)
+                       & (F.trim("metric_type") != "")).select(*columns)
 
 
 def _places(rows: DataFrame, tier: str, buckets: int) -> set[tuple]:
@@ -291,13 +289,13 @@ def _in_the_way(entry: Version, added: list[Directory]) -> set[tuple]:
         d.where for d in entry.directories if d.delta and rules.get(d.where, d.rule) != d.rule}
 
 
-class _Delivery:
+class Delivery:
     """New rows on their way into the store; written once, however often the version must be built again."""
 
     def __init__(self, spark: SparkSession, root: str, new: DataFrame, rule: str):
         self.spark, self.root, self.rule, self.id = spark, root, rule, uuid.uuid4().hex
         rows = _valid(new)
-        self.rows = first_per_key(rows) if rule == FIRST else latest_per_key(rows)
+        self.rows = (first_per_key(rows) if rule == FIRST else latest_per_key(rows)).select(*SAMPLE_COLUMNS)
         self.written: dict[tuple, tuple[list[Directory], DataFrame | None]] = {}
 
     def put(self, entry: Version) -> tuple[list[Directory], DataFrame | None]:
@@ -342,7 +340,7 @@ class _Delivery:
                 places |= months
                 old = _stored_summaries(spark, root, entry, entry.of("summaries", lambda d: d.where in months))
                 summaries.append(_with_late(old, daily_summary(fresh, tz, exact=True)))
-            _reject(known, f"{root}/rejects/delivery={self.id}")
+            rejects.keep(_counted(known), f"{root}/rejects", self.id)
         if summaries:
             both = summaries[0] if len(summaries) == 1 else summaries[0].unionByName(summaries[1])
             added = [*added, *_write(spark, root, "summaries", both, buckets, delta=True, rule=LAST)]
@@ -371,9 +369,9 @@ def _with_late(old: DataFrame, new: DataFrame) -> DataFrame:
         F.max("unit").alias("unit"), total.alias("_total")).select(*_COLUMNS["summaries"])
 
 
-def _reject(rows: DataFrame, path: str) -> None:
-    rows.select(F.col("user_id").cast("string"), "metric_type", "started_at", F.lit("already counted").alias("reason"),
-                F.to_json(F.struct(*SAMPLE_COLUMNS)).alias("content")).write.mode("overwrite").parquet(path)
+def _counted(known: DataFrame) -> DataFrame:
+    content = F.to_json(F.struct(*SAMPLE_COLUMNS))
+    return rejects.rows(known, "store", F.col("seq"), F.lit("already counted"), content)
 
 
 def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame, by_seq: bool = False) -> int:
@@ -383,19 +381,19 @@ def upsert_into_tiers(spark: SparkSession, root: str, new: DataFrame, by_seq: bo
     were dropped, a sample with a new key is added to the summary, and one whose key is known goes
     to `rejected`."""
     _entry(spark, root, directories=False)
-    return manifest.transact(spark, root, _Delivery(spark, root, new, SEQ if by_seq else LAST).change)
+    return manifest.transact(spark, root, Delivery(spark, root, new, SEQ if by_seq else LAST).change)
 
 
 def insert_into_tiers(spark: SparkSession, root: str, new: DataFrame) -> int:
     """Add the samples whose key is not stored yet, as the import of an export does."""
     _entry(spark, root, directories=False)
-    return manifest.transact(spark, root, _Delivery(spark, root, new, FIRST).change)
+    return manifest.transact(spark, root, Delivery(spark, root, new, FIRST).change)
 
 
 def upsert_samples(spark: SparkSession, root: str, new: DataFrame, by_seq: bool = False) -> int:
     """`upsert_into_tiers` that creates the store where there is none."""
     if current_version(spark, root) == 0:
-        rows = latest_per_key(_valid(new))
+        rows = latest_per_key(_valid(new)).select(*SAMPLE_COLUMNS)
         return publish(spark, root, rows, daily_summary(rows.filter(F.lit(False))))
     return upsert_into_tiers(spark, root, new, by_seq)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import daily, ingest
-from ..sources import tables
+from ..sources import rejects as rejected, tables
 from ..sources.json_batches import BATCH_FILES, complete
 
 
@@ -30,36 +30,35 @@ def _batches(spark: SparkSession, landing: str, user_id) -> DataFrame:
     return complete(spark.readStream.schema(BATCH_FILES).json(landing), user_id)
 
 
-def _keep_rejects(judged: DataFrame, path: str | None, number: int) -> None:
-    """One directory per micro-batch, written anew if it is replayed."""
-    if path:
-        ingest.rejects(judged, "batch_no").write.mode("overwrite").json(f"{path}/micro_batch={number}")
-
-
 def ingest_batches(spark: SparkSession, landing: str, sink: str, checkpoint: str, max_samples: int | None = S.MAX_BATCH,
                    rejects: str | None = None, user_id=None) -> None:
-    """JSON batch files to typed samples, appended; `current` resolves corrections on read."""
+    """JSON batch files to typed samples, appended; `current` resolves corrections on read.  What is
+    refused goes to `rejects`, by default a folder beside the sink."""
+    rejects = rejects or f"{sink.rstrip('/')}-rejects"
+
     def step(batches: DataFrame, number: int) -> None:
         judged = ingest.check_batches(batches, max_samples)
         ingest.samples_of(judged, "batch_no").write.mode("overwrite").parquet(f"{sink}/micro_batch={number}")
-        _keep_rejects(judged, rejects, number)
+        rejected.keep(rejected.of_batches(judged), rejects, number)
 
     drain(_batches(spark, landing, user_id), step, checkpoint)
 
 
 def current(spark: SparkSession, sink: str) -> DataFrame:
     """The appended samples, last write per key."""
-    return ingest.latest_per_key(spark.read.parquet(sink).select(*S.SAMPLE_COLUMNS))
+    return ingest.latest_per_key(spark.read.parquet(sink)).select(*S.SAMPLE_COLUMNS)
 
 
 def upsert_batches(spark: SparkSession, landing: str, root: str, checkpoint: str, max_samples: int | None = S.MAX_BATCH,
                    rejects: str | None = None, user_id=None) -> None:
     """JSON batch files straight into the store, last write wins, with the summaries of the
-    days they touch."""
+    days they touch.  What is refused goes to `rejects`, by default a folder beside the store."""
+    rejects = rejects or f"{root.rstrip('/')}-rejects"
+
     def step(batches: DataFrame, number: int) -> None:
         judged = ingest.check_batches(batches, max_samples)
         tables.upsert_samples(spark, root, ingest.samples_of(judged, "batch_no"))
-        _keep_rejects(judged, rejects, number)
+        rejected.keep(rejected.of_batches(judged), rejects, number)
 
     drain(_batches(spark, landing, user_id), step, checkpoint)
 

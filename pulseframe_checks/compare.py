@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -72,6 +73,7 @@ def main(argv):
     wanted = argv[1:] or list(QUERIES)
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     con, bad = duck(sf_dir), 0

@@ -546,7 +546,20 @@ add("upsert_delta_merge", LONG, MANY, """SELECT user_id, metric_type, started_at
 value + CASE WHEN seq % 7 = 0 OR seq % 11 = 0 THEN 2 WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS value FROM many""")
 ORACLE["compact_deltas"] = ORACLE["upsert_delta_merge"]
 add("xml_to_store", samples(), f"""SELECT 'me' user_id, metric_type, date_trunc('second', started_at) started_at, max(value) AS value
-FROM samples WHERE metric_type IN ('{STEPS}', '{HRV}') GROUP BY 1, 2, 3""")
+FROM samples WHERE metric_type <> '{WORKOUT}' GROUP BY 1, 2, 3""")
+ORACLE["xml_import_split"] = ORACLE["xml_import"]
+add("import_rejects", samples(*QUANTITIES), """SELECT 'xml' source, 'me' user_id,
+CASE WHEN seq % 17 = 0 THEN 'unreadable start' ELSE 'no valid metric' END reason,
+CASE WHEN seq % 13 = 0 THEN 'nothing' ELSE metric_type END metric_type, value,
+CASE WHEN seq % 17 = 0 THEN 'soon' ELSE strftime(started_at, '%Y-%m-%d %H:%M:%S') || ' +0000' END started_at
+FROM samples WHERE seq % 13 = 0 OR seq % 17 = 0""")
+add("replay_rejects", samples(*QUANTITIES), f"""SELECT 'me' user_id, CASE WHEN seq % 13 = 0 THEN '{STEPS}' ELSE metric_type END metric_type,
+value, unit, CASE WHEN seq % 17 = 0 THEN TIMESTAMP '2024-01-01' ELSE date_trunc('second', started_at) END started_at
+FROM samples WHERE seq % 13 = 0 OR seq % 17 = 0""")
+add("ingest_unnumbered", f"""SELECT 'me' user_id, '{STEPS}' metric_type, date_trunc('hour', ts) started_at, value FROM events
+QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id DESC) = 1""")
+add("backfill_resume", LONG, """SELECT user_id, metric_type, started_at, value, seq FROM long
+QUALIFY row_number() OVER (PARTITION BY user_id, metric_type, started_at ORDER BY seq) = 1""")
 add("scan_recent_all", samples(HRV), f"SELECT user_id, value, source_device, started_at FROM samples WHERE {win(14)}")
 add("scan_summary_all", samples(STEPS), SUMM, "SELECT user_id, date, avg_value, sum_value, sample_count FROM summ WHERE date >= DATE '2024-01-05'")
 add("workouts_all", samples(WORKOUT), WORK, f"SELECT * EXCLUDE (seq) FROM work WHERE {win(30)}")

@@ -14,7 +14,7 @@ from pulseframe.functions.time import days_before, utc_time
 from pulseframe.operators import daily, hygiene, ingest, retention, scans, sleep, stats, trends, workouts
 from pulseframe.plans import analyses, recipes, tools
 from pulseframe.sources import driver_tables as tables
-from pulseframe.sources import json_batches, xml_export
+from pulseframe.sources import backfill, json_batches, rejects, xml_export
 from pulseframe.sources.tables import compact, open_tiers, publish, shared_dir, stored_samples, upsert_into_tiers
 from pulseframe.streaming import pipelines
 
@@ -870,17 +870,24 @@ def compact_deltas(spark, d):
     return stored_samples(spark, root).select("user_id", "metric_type", "started_at", "value", "seq")
 
 
-def _xml(spark, samples):
-    """Samples written as XML exports of a bounded number of records by Spark; sleep values as stage names."""
+def _xml(spark, samples, spoilt=False):
+    """Samples written as XML exports of a bounded number of records by Spark; sleep values as stage names.
+
+    Of `spoilt` ones, some have no valid metric and some no date.
+    """
     path = shared_dir(spark, "xml")
+    metric, start = F.col("metric_type"), "started_at"
+    if spoilt:
+        metric = F.when(F.col("seq") % 13 == 0, "nothing").otherwise(metric)
 
     def text(c):
         return F.concat(F.date_format(utc_time(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000"))
 
     value = F.when(F.col("metric_type") == S.SLEEP, stage_identifier("value")).otherwise(F.col("value").cast("string"))
+    begin = F.when(F.col("seq") % 17 == 0, "soon").otherwise(text(start)) if spoilt else text(start)
     records = samples.select(
-        F.col("metric_type").alias("_type"), F.col("source_device").alias("_sourceName"), F.col("unit").alias("_unit"),
-        text("started_at").alias("_startDate"), text("ended_at").alias("_endDate"), value.alias("_value"))
+        metric.alias("_type"), F.col("source_device").alias("_sourceName"), F.col("unit").alias("_unit"),
+        begin.alias("_startDate"), text("ended_at").alias("_endDate"), value.alias("_value"))
     records.write.format("xml").option("rootTag", "HealthData").option("rowTag", "Record").option(
         "maxRecordsPerFile", 50_000).save(path)
     return path
@@ -892,11 +899,68 @@ def xml_import(spark, d):
     return xml_export.normalise_records(xml_export.read_records(spark, _xml(spark, raw(spark, d))), "me").drop("metadata")
 
 
+@query
+def xml_import_split(spark, d):
+    """The same export, read from splits of its files."""
+    records = xml_export.read_records_split(spark, _xml(spark, raw(spark, d)))
+    return xml_export.normalise_records(records, "me").drop("metadata")
+
+
+def _import_rejects(spark, d):
+    return xml_export.quarantined(xml_export.read_records_split(spark, _xml(spark, raw(spark, d, *QUANTITIES), spoilt=True)), "me")
+
+
+@query
+def import_rejects(spark, d):
+    """What an import quarantines: records without a valid metric or start."""
+    content = F.from_json("content", rejects.FIELDS)
+    return _import_rejects(spark, d).select(
+        "source", "user_id", "reason", content["metric_type"].alias("metric_type"),
+        content["value"].cast("double").alias("value"), content["started_at"].alias("started_at"))
+
+
+@query
+def replay_rejects(spark, d):
+    """The same rejects mended, kept, and replayed to samples."""
+    path = shared_dir(spark, "rejects")
+    rejects.keep(_import_rejects(spark, d), path, 1)
+
+    def mend(found):
+        named = F.replace("content", F.lit('"nothing"'), F.lit(f'"{S.STEPS}"'))
+        return found.withColumn("content", F.replace(named, F.lit('"soon"'), F.lit('"2024-01-01T00:00:00Z"')))
+
+    return rejects.replay(rejects.read(spark, path), mend)[0].select("user_id", "metric_type", "value", "unit", "started_at")
+
+
+@query
+def ingest_unnumbered(spark, d):
+    """Batches without user and number, all in one file: of equal instants the last line counts."""
+    path = shared_dir(spark, "unnumbered")
+    e = tables.events(spark, d)
+    sample = F.struct(F.lit(S.STEPS).alias("metric_type"), F.col("value"), F.lit("count").alias("unit"),
+                      F.lit("Watch").alias("source_device"), _instant(F.date_trunc("hour", "ts")).alias("started_at"),
+                      F.lit(None).cast("string").alias("ended_at"), F.lit(None).cast("string").alias("metadata"))
+    e.coalesce(1).sortWithinPartitions("event_id").select(F.array(sample).alias("samples")).write.json(path)
+    judged = ingest.check_batches(json_batches.read_batches(spark, path, user_id="me"))
+    return ingest.latest_per_key(ingest.samples_of(judged, "batch_no")).select("user_id", "metric_type", "started_at", "value")
+
+
+@query
+def backfill_resume(spark, d):
+    """History loaded by two runs, the first of which ends half way."""
+    root = shared_dir(spark, "backfill")
+    s = tables.long_samples(spark, d)
+    publish(spark, root, s.limit(0), daily.daily_summary(s.limit(0)), buckets=1)
+    backfill.run_backfill(spark, root, s, at_once=10, most=2)
+    backfill.run_backfill(spark, root, s, at_once=10)
+    return stored_samples(spark, root).select("user_id", "metric_type", "started_at", "value", "seq")
+
+
 @query
 def xml_to_store(spark, d):
-    """Two metrics imported from XML into the store, twice; of equal instants one value stays."""
+    """All importable metrics from XML into the store, twice; of equal instants one value stays."""
     root = shared_dir(spark, "import")
-    s = raw(spark, d, S.STEPS, S.HRV)
+    s = raw(spark, d)
     publish(spark, root, s.limit(0).withColumn("user_id", F.lit("me")), daily.daily_summary(s.limit(0)))
     whole = s.groupBy("metric_type", F.date_trunc("second", "started_at").alias("started_at")).agg(
         F.max("value").alias("value"), F.max("unit").alias("unit"), F.max("source_device").alias("source_device"),
@@ -935,8 +999,7 @@ def stream_rejects(spark, d):
     payload_rows(spark, d).write.json(f"{root}/landing")
     pipelines.ingest_batches(spark, f"{root}/landing", f"{root}/sink", f"{root}/checkpoint", max_samples=9,
                              rejects=f"{root}/rejects")
-    return spark.read.schema("user_id string, batch_no bigint, reason string").json(f"{root}/rejects").select(
-        "user_id", "batch_no", "reason")
+    return rejects.read(spark, f"{root}/rejects").select("user_id", F.col("place").cast("bigint").alias("batch_no"), "reason")
 
 
 @query

@@ -8,7 +8,7 @@ from pulseframe_checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a stream or write files while they are built.
-EAGER = {"compact_deltas", "late_after_drop", "upsert_delta_merge", "ingest_batch", "ingest_rejects", "publish_late_twice", "publish_tiers", "stream_rejects", "xml_to_store", "stream_daily", "stream_dedupe", "stream_ingest", "stream_upsert", "xml_import", "xml_import_report"}
+EAGER = {"backfill_resume", "import_rejects", "replay_rejects", "ingest_unnumbered", "xml_import_split", "compact_deltas", "late_after_drop", "upsert_delta_merge", "ingest_batch", "ingest_rejects", "publish_late_twice", "publish_tiers", "stream_rejects", "xml_to_store", "stream_daily", "stream_dedupe", "stream_ingest", "stream_upsert", "xml_import", "xml_import_report"}
 
 
 def plan(spark, name):

@@ -123,8 +123,8 @@ def test_two_writers_lose_no_row(spark, make, tmp_path, monkeypatch):
 
         monkeypatch.setattr(manifest, "commit", commit)
 
-    change = tables._Delivery.change
-    monkeypatch.setattr(tables._Delivery, "change", lambda self, entry: built.append(entry.number) or change(self, entry))
+    change = tables.Delivery.change
+    monkeypatch.setattr(tables.Delivery, "change", lambda self, entry: built.append(entry.number) or change(self, entry))
     interleaved(make([("u", S.STEPS, 5, "2024-03-05 12:00")]))
     assert tables.upsert_into_tiers(spark, root, make([("u", H, 2, "2024-01-06 12:00")])) == 3
     assert built == [1, 1]  # the change was put on top as it was
@@ -181,8 +181,8 @@ def test_a_second_drop_and_known_keys(spark, make, tmp_path):
     before = rows(tables.open_tiers(spark, root)[1], "date")
     tables.upsert_into_tiers(spark, root, known)
     assert rows(tables.open_tiers(spark, root)[1], "date") == before
-    found = tables.rejected(spark, root).select("started_at", "reason")
-    assert rows(found, "started_at") == [(dt.datetime(2024, 1, 5, 20), "already counted"), (dt.datetime(2024, 2, 1, 20), "already counted")]
+    found = tables.rejected(spark, root).selectExpr("substr(get_json_object(content, '$.started_at'), 1, 10) AS day", "reason")
+    assert rows(found, "day") == [("2024-01-05", "already counted"), ("2024-02-01", "already counted")]
 
 
 def test_a_late_null_takes_a_day_away(spark, make, tmp_path):

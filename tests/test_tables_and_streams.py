@@ -159,7 +159,7 @@ def test_a_poisoned_batch_does_not_stop_the_stream(spark, tmp_path):
         f.write('{"user_id":"u","batch_no":1760000000000000,"samples":[%s]}\n' % (sample % (f'"{S.HRV}"', "2026-01-03T10:00:00Z")))
     pipelines.upsert_batches(spark, landing, root, checkpoint, rejects=rejects)
     assert tables.stored_samples(spark, root).count() == 3
-    found = rows(spark.read.schema("reason string, content string").json(rejects).select("reason", "content"), "reason")
+    found = rows(spark.read.schema("reason string, content string").parquet(f"{rejects}/run=*").select("reason", "content"), "reason")
     assert [r for r, _ in found] == ["no metric", "no user", "unreadable", "unreadable start"]
     assert dict(found)["unreadable"] == "{broken"
 
