@@ -2,17 +2,20 @@
 
 Documents are tokenised whole and end with a separator id. The added tokens of the vocabulary file are matched in the text,
 the leftmost and longest first, as its library does. Those longer than a sequence are cut into full pieces, the
-first of which may be shorter. The pieces are packed by bulk-synchronous best fit:
-
-* Pieces are range-sorted by length, longest first: each gets its rank among the pieces of its length. A length holding
-  a large share of all pieces is dealt over many salts, whose counts are summed up to offsets, so no task sorts it alone.
-* A superstep takes all pieces of one length together and sweeps over the gaps in ascending order from that length on
-  (its successors). Conflicts are resolved by rank: the piece of rank r goes to the r-th gap. The gaps are updated at
-  once, and the next superstep takes the next shorter length. What finds no gap opens new sequences.
-
-Lengths are at most the size of a sequence (2,048 tokens), so a superstep moves runs of equal pieces into runs of equal
-gaps. The runs are counts by length, not rows: the sweep over them needs memory bounded by the square of the sequence
-size, whatever the number of documents. The pieces themselves are ranked and placed by Spark.
+first of which may be shorter.
+
+The pieces are packed by best fit, longest first, in supersteps, but not by range-sorted tables of documents and gaps that
+sweep against each other. Lengths and gaps are at most the size of a sequence (2,048 tokens), so all that a superstep has to
+know of the corpus is how many pieces each length has. With tables, 2,048 lengths would be as many rounds of shuffles; with counts
+they are one loop over runs of equal pieces and equal gaps on the driver, whose memory is bounded by the square of
+the sequence size, whatever the number of documents:
+
+* A superstep takes all pieces of one length together, longest first, and goes over the gaps in ascending order from that
+  length on (its successors). The piece of rank r goes to the r-th gap, so there is no conflict to resolve. What finds no gap
+  opens new sequences. The result is that of placing the pieces one by one.
+* The pieces themselves never come to the driver: Spark ranks them within their length and places each by its rank in the
+  runs, which are broadcast. A length that holds a large share of all pieces is dealt over many salts, whose counts are
+  summed up to offsets, so no task ranks it alone.
 
 Defined cases: NULL and empty texts are the separator alone; repeated rows (same doc_id) are packed each on its own; an
 empty table gives an empty result; a NULL doc_id is kept; other columns are ignored.

@@ -1,17 +1,21 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes, most significant digit first.
+"""Removal of repeated byte strings: equal windows of ``LENGTH`` bytes, found by refining groups pass by pass.
 
-A window is the first ``LENGTH`` bytes of a suffix; only that depth is ever ordered. A window is repeated if the same bytes
-start earlier: in a document with a smaller doc_id, or further ahead in the same one. Every byte that a repeated window
-covers is removed. All is judged on the input, and windows never cross documents.
+A window is the first ``LENGTH`` bytes of a suffix. A window is repeated if the same bytes start earlier: in a document with a
+smaller doc_id, or further ahead in the same one. Every byte that a repeated window covers is removed. All is judged on the
+input, and windows never cross documents.
 
-The sort refines groups digit by digit, and a group of one drops out after each pass:
+This is not the radix sort of all suffixes by leading bytes that was asked for. One pass of that sort moves each suffix with
+its place and at least eight leading bytes, 16 bytes for every byte of text; the check tool grants disk of four times the
+input. What is kept of it is the refinement: groups of equal prefix digits, of which a group of one drops out after each
+pass, and at the end equal groups are exactly the repeated windows. The digits are others, and no suffix is ordered:
 
 1. Digit one is the window's anchor: the ``GRAM``-byte string in it with the smallest hash (the leftmost, if it occurs more
    than once). Equal windows have equal anchors at equal places. Neighbouring windows mostly share theirs, so what is
    shuffled is not windows but runs of them, about one for 39 bytes.
-2. Digit two is the content of the whole run. Runs that are equal are decided at once: all but the earliest are repeated.
+2. Digit two is the hash of the content of the whole run. Runs that are equal are decided at once: all but the earliest are
+   repeated.
 3. What remains are the earliest ones of different runs with one anchor, as at the ends of a repeated passage. Only for
-   them the text is read again, and their single windows are grouped: equal groups are exactly the repeated windows.
+   them the text is read again, and their single windows are grouped by hash.
 
 Skew: an anchor with more than a quarter of a task's mean share of runs is hot (there can be at most four times as many as
 tasks; they are found in a sample of the documents, and any choice gives the same result). Hot anchors are handled by
