@@ -72,12 +72,12 @@ FROM reach GROUP BY conv_id
 _TOP_K = """
 WITH rows AS (
   SELECT vec_id, min([floor(64 * x::DOUBLE) for x in embedding]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
   GROUP BY vec_id
 ),
 scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  SELECT q.vec_id AS query_id, r.vec_id, CASE WHEN len(q.v) = 0 OR len(r.v) = 0 THEN 0 ELSE list_inner_product(q.v, r.v) END::BIGINT AS score
   FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
 ),
 ranked AS (

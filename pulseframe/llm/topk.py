@@ -2,17 +2,20 @@
 
 Vectors become integers, floor(scale * x). A block of rows is an inverted index: every non-zero component is a posting of
 its row in the list of its dimension, and its quantised impact is the bit length of its absolute value. Postings of one
-impact are the segments of one level, and levels are processed by descending impact for a block of queries: each adds its
-products to the scores so far. What a row may still gain or lose is at most |q| times the length of its postings that
-are not processed yet. Rows whose upper bound lies below the k-th best lower bound are proven out. A query stops as soon
-as few possible members are left, which are then scored exactly; without such proof it runs through the last level,
-where the scores are exact themselves. Ties at the last place are never cut before the exact scores are known.
+impact are the segments of one level, kept for the rows and dimensions that have any. Levels are processed by descending
+impact for a block of queries: each adds its products to the scores of its rows. What a row may still gain or lose is at
+most |q| times the length of its postings that are not processed yet. Rows whose upper bound lies below the k-th best lower
+bound are proven out, and once half of the rows are out for all queries of a block, their accumulators and postings are
+passed over. A query stops as soon as few possible members are left, which are then scored exactly; without such proof it
+runs through the last level, where the scores are exact themselves. Ties at the last place are never cut before the exact
+scores are known.
 
 Every query block meets every row block once, and a block's results are its k best per query. That is not a cross join:
 each side is dealt over the cells of a grid, and a cell holds a bounded number of rows whatever their values.
 
 Defined cases: see ``usable`` (a zero vector takes part); shorter vectors count as ending in zeros; a query with fewer
-other rows than k gets all of them; an empty table gives an empty result. Components must keep scores below 2**53.
+other rows than k gets all of them; an empty table gives an empty result. Scores that could reach 2**53, from where on doubles
+are not exact, are an error.
 """
 
 from __future__ import annotations
@@ -31,14 +34,18 @@ QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 _TOGETHER, _FEW = 256, 6
 
 
-def impact_levels(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By descending impact: the postings of the level (dimensions by rows), and each row's length of what comes after."""
+def impact_levels(rows: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """By descending impact: the level's rows, its dimensions, its postings (dimensions by rows), and each row's length of what
+    comes after."""
     size = np.abs(rows)
     impact = np.where(size > 0, np.frexp(size)[1], 0)
     levels = []
     for level in np.unique(impact[impact > 0])[::-1]:
+        own = impact == level
+        has, dims = np.flatnonzero(own.any(axis=1)), np.flatnonzero(own.any(axis=0))
+        postings = np.where(own, rows, 0.0)[np.ix_(has, dims)].T.copy()
         later = np.where(impact < level, rows, 0.0)
-        levels.append((np.where(impact == level, rows, 0.0).T.copy(), np.sqrt((later * later).sum(axis=1)) * (1 + 1e-12)))
+        levels.append((has, dims, postings, np.sqrt((later * later).sum(axis=1)) * (1 + 1e-12)))
     return levels
 
 
@@ -49,29 +56,38 @@ def score_at_a_time(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: i
     """
     found: list[tuple[np.ndarray, ...]] = []
     levels = impact_levels(rows)
-    active = np.arange(len(queries))
+    length = np.sqrt((queries ** 2).sum(axis=1)) * (1 + 1e-12)
+    if len(rows) and len(queries) and length.max() * np.sqrt((rows ** 2).sum(axis=1).max()) >= 2 ** 53:
+        raise ValueError("scores of 2**53 and more are not exact: use a smaller scale")
+    active, alive = np.arange(len(queries)), np.arange(len(rows))
     scores = np.zeros((len(queries), len(rows)))
     has = np.flatnonzero(own >= 0)
     scores[has, own[has]] = -np.inf
     k = min(k, len(rows))
     for step in range(max(1, len(levels))):
         if levels:
-            postings, rest = levels[step]
-            scores += queries[active] @ postings
-            slack = np.sqrt((queries[active] ** 2).sum(axis=1))[:, None] * (1 + 1e-12) * rest[None, :]
+            hit, dims, postings, rest = levels[step]
+            place = np.searchsorted(alive, hit)
+            in_play = np.flatnonzero((place < len(alive)) & (alive[place.clip(0, len(alive) - 1)] == hit))
+            scores[:, place[in_play]] += queries[np.ix_(active, dims)] @ postings[:, in_play]
+            slack = length[active][:, None] * rest[alive][None, :]
         else:
             slack = np.zeros_like(scores)
-        least = np.partition(scores - slack, len(rows) - k, axis=1)[:, len(rows) - k]
+        least = np.partition(scores - slack, len(alive) - k, axis=1)[:, len(alive) - k]
         possible = (scores + slack >= least[:, None]) & np.isfinite(scores)
         last = step >= len(levels) - 1
         done = np.full(len(active), last) | (possible.sum(axis=1) <= _FEW * k)
         if done.any():
             at, row = np.nonzero(possible & done[:, None])
-            at = active[at]
+            at, row = active[at], alive[row]
             found.append((at, row, np.einsum("ij,ij->i", queries[at], rows[row])))
-        active, scores = active[~done], scores[~done]
+        active, scores, possible = active[~done], scores[~done], possible[~done]
         if not len(active):
             break
+        # A query's own row stays, so that no query has fewer than k rows in play.
+        kept = possible.any(axis=0) | ~np.isfinite(scores).all(axis=0)
+        if 2 * kept.sum() < len(alive):
+            alive, scores = alive[kept], scores[:, kept]
     return tuple(np.concatenate(c) for c in zip(*found))
 
 

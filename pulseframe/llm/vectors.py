@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id and ``vec`` (doubles) of the rows that take part.
 
-    Left out: NULL vec_id; vectors that are NULL, empty or hold NULL, NaN or infinite components; without ``zero`` also
-    those of length zero. Of rows that share a vec_id, the one with the smallest vector counts.
+    Left out: NULL vec_id; vectors that are NULL or hold NULL, NaN or infinite components; without ``zero`` also those of
+    length zero, empty ones included. Of rows that share a vec_id, the one with the smallest vector counts.
     """
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).where(
-        F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
+        F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
     kept = kept.where(F.coalesce(finite, F.lit(False)))
     if not zero:
         kept = kept.where(F.exists("vec", lambda x: x != 0))

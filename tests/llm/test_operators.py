@@ -248,11 +248,25 @@ def test_exact_search_equals_a_plain_one(spark, monkeypatch):
     rows = vector_rows(2)
     rows[5] = (5, [0.0] * 6)
     out = topk.exact_top_k(spark.createDataFrame(rows + BAD + rows[:3], VECTORS).withColumn("score", F.lit(1)))
-    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in [*rows, (980, [])]}
     wanted = brute.top_k(whole, 20, 20, lambda a, b: sum(x * y for x, y in zip(a, b)))
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
 
 
+def test_scores_that_doubles_cannot_hold_are_an_error():
+    rows = np.array([[2.0 ** 27, 1.0], [2.0 ** 26, 3.0]])
+    with pytest.raises(ValueError):
+        topk.score_at_a_time(rows, rows, np.arange(2), 1)
+    assert len(topk.score_at_a_time(rows[:1] / 4, rows / 4, np.array([0]), 1)[0])
+
+
+def test_segments_hold_the_postings_of_their_rows_only():
+    rows = np.array([[0.0, 9.0, 0.0], [1.0, 0.0, 0.0], [0.0, -8.0, 1.0]])
+    levels = topk.impact_levels(rows)
+    assert [(h.tolist(), d.tolist(), p.tolist()) for h, d, p, _ in levels] == [
+        ([0, 2], [1], [[9.0, -8.0]]), ([1, 2], [0, 2], [[1.0, 0.0], [0.0, 1.0]])]
+
+
 def test_impact_levels_stop_early_and_lose_nothing():
     rng = np.random.default_rng(3)
     rows = np.floor(64 * rng.normal(size=(3000, 16)) ** 5)
