@@ -266,7 +266,7 @@ def _fold(spark: SparkSession, root: str, entry: Version, places: set[tuple]) ->
 
 
 def compact(spark: SparkSession, root: str, most: int = 0) -> int:
-    """Fold the deltas of all buckets that have more than `most`; the version in force."""
+    """Fold the deltas of all buckets that have more than `most`, and pieces of the ledger alike; the version in force."""
     def build(entry: Version) -> Change | None:
         places = _with_deltas(entry, most)
         return _fold(spark, root, entry, places) if places else None
@@ -277,8 +277,8 @@ def compact(spark: SparkSession, root: str, most: int = 0) -> int:
 def _with_deltas(entry: Version, most: int) -> set[tuple]:
     count: dict[tuple, int] = {}
     for d in entry.directories:
-        if d.delta:
-            count[d.where] = count.get(d.where, 0) + 1
+        if d.delta or d.tier == "ledger":  # whose first directory is what the others are added to
+            count[d.where] = count.get(d.where, -1 if d.tier == "ledger" else 0) + 1
     return {w for w, n in count.items() if n > most}
 
 

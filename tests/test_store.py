@@ -185,6 +185,24 @@ def test_a_second_drop_and_known_keys(spark, make, tmp_path):
     assert rows(found, "day") == [("2024-01-05", "already counted"), ("2024-02-01", "already counted")]
 
 
+def test_the_ledger_is_folded_and_still_knows_its_keys(spark, make, tmp_path):
+    root = str(tmp_path / "r")
+    s = make([("u", H, 1, "2024-01-05 12:00"), ("u", H, 2, "2024-03-30 12:00")])
+    tables.publish(spark, root, s, empty_summaries(s), buckets=1)
+    retention.run_retention(spark, root, "2024-04-20", 30, drop=True)
+    late = [make([("u", H, v, f"2024-01-05 1{v}:30")]) for v in (3, 4, 5)]
+    for new in late:
+        tables.upsert_into_tiers(spark, root, new)
+    tables.compact(spark, root)
+    assert len([d for d in in_force(spark, root) if d.tier == "ledger"]) == 1
+    number = tables.current_version(spark, root)
+    assert tables.compact(spark, root) == number
+    for new in late:
+        tables.upsert_into_tiers(spark, root, new)
+    assert rows(tables.open_tiers(spark, root)[1].select("sum_value", "sample_count")) == [(13.0, 4)]
+    assert tables.rejected(spark, root).count() == 3
+
+
 def test_a_late_null_takes_a_day_away(spark, make, tmp_path):
     root = str(tmp_path / "r")
     s = make([("u", H, 10, "2024-01-05 12:00"), ("u", H, 5, "2024-01-06 12:00"), ("u", H, 1, "2024-03-15 12:00")])
