@@ -8,8 +8,9 @@ are in force; a read is given exactly those.
   into; what is stored is neither read nor written for them.  Each delta has a rule: the `last`
   delivery counts, the row that was `first`, or the one of the highest `seq`.
 * **A read merges**: rows of buckets without deltas pass as they are; in the others, the delta's
-  row of a key, or the stored one, counts by the rule.  Deltas are small, so Spark joins them by
-  broadcast where its size check allows, and stored rows are not shuffled.
+  row of a key, or the stored one, counts by the rule.  Small deltas Spark joins by broadcast
+  where its size check allows, and stored rows are not shuffled.  That check goes by the bytes of
+  compressed files, so writes of more than `FEW` rows are not offered to it.
 * **`compact` folds** deltas into their buckets; a writer folds a bucket that has gathered
   `MOST_DELTAS` of them, or one under another rule, in the same version.
 * **Summaries** of days before the cut are recomputed from all raw rows of the days that new rows
@@ -26,6 +27,7 @@ import json
 import re
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -42,6 +44,8 @@ from .manifest import Change, Directory, Version
 BUCKETS = 4
 #: Deltas that a bucket gathers before they are folded into it.
 MOST_DELTAS = 8
+#: Rows up to which one side of a join may be broadcast; the manifest has the number of rows of each write.
+FEW = 100_000
 LAST, FIRST, SEQ = "last", "first", "seq"
 PARTITIONS = {"samples": ["metric_type", "month", "bucket"], "summaries": ["month", "bucket"],
               "ledger": ["metric_type", "month", "bucket"]}
@@ -126,6 +130,12 @@ def _scan(spark: SparkSession, root: str, tier: str, entry: Version, directories
     return manifest.scan(spark, root, tier, _schema(entry, tier), directories)
 
 
+def _side(rows: DataFrame, *directories: Directory) -> DataFrame:
+    """Rows that come from these directories, as a side of a join: beyond `FEW` both sides are shuffled."""
+    counts = {(d.tier, d.name): d.rows for d in directories}.values()
+    return rows if None not in counts and sum(counts) <= FEW else rows.hint("merge")
+
+
 def _of_deltas(rows: DataFrame, tier: str, deltas: list[Directory], rule: str) -> DataFrame:
     """The row of each key that counts among deltas; within a write a key is there once."""
     versions = {d.name: d.version for d in deltas}
@@ -144,20 +154,23 @@ def _merged(spark: SparkSession, root: str, tier: str, entry: Version, directori
     out = _scan(spark, root, tier, entry, [d for d in directories if d.where not in rule_of]).select(*columns)
     for rule in sorted(set(rule_of.values())):
         own = [d for d in directories if rule_of.get(d.where) == rule]
-        deltas = [d for d in own if d.delta]
-        base = _scan(spark, root, tier, entry, [d for d in own if not d.delta]).select(*columns)
+        deltas, stored = [d for d in own if d.delta], [d for d in own if not d.delta]
         new = _of_deltas(_scan(spark, root, tier, entry, deltas), tier, deltas, rule).select(*columns)
+        if not stored:
+            out = out.unionByName(new)
+            continue
+        base = _scan(spark, root, tier, entry, stored).select(*columns)
         if rule == FIRST:
-            new = new.join(base.select(*key), key, "left_anti")
+            new = new.join(_side(base.select(*key), *stored), key, "left_anti")
         elif rule == SEQ:
-            sent = new.select(*key, F.col("seq").alias("_seq"), F.lit(True).alias("_sent"))
+            sent = _side(new.select(*key, F.col("seq").alias("_seq"), F.lit(True).alias("_sent")), *deltas)
             # Of equal numbers the delta's row counts, and one without a number comes before all others.
             newer = F.col("seq").isNotNull() & (F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
             ahead = base.join(sent, key).filter(newer).select(*key)
             base = base.join(sent, key, "left").filter(F.col("_sent").isNull() | newer)
-            new = new.join(ahead, key, "left_anti")
+            new = new.join(_side(ahead, *deltas), key, "left_anti")
         else:
-            base = base.join(new.select(*key), key, "left_anti")
+            base = base.join(_side(new.select(*key), *deltas), key, "left_anti")
         out = out.unionByName(base.select(*columns)).unionByName(new.select(*columns))
     return out
 
@@ -327,9 +340,10 @@ class Delivery:
             near = _around(spark, days, buckets)
             if near:
                 places |= near
-                new = [Directory(d.tier, d.name, d.place, entry.number + 1, True, d.rule, d.written) for d in added]
+                new = [replace(d, version=entry.number + 1) for d in added]
                 raw = _merged(spark, root, "samples", entry, [d for d in [*entry.of("samples"), *new] if d.where in near])
-                on_days = raw.withColumn("date", local_day("started_at", tz)).join(days, list(DAY_KEY), "left_semi")
+                on_days = raw.withColumn("date", local_day("started_at", tz)).join(
+                    _side(days.distinct(), *before), list(DAY_KEY), "left_semi")
                 summaries.append(daily_summary(on_days, tz, exact=True).select(*_COLUMNS["summaries"]))
         if late is not None:
             fresh, known = _by_ledger(spark, root, entry, late, buckets)
@@ -339,7 +353,7 @@ class Delivery:
                 months = _places(fresh.withColumn("date", local_day("started_at", tz)), "summaries", buckets)
                 places |= months
                 old = _stored_summaries(spark, root, entry, entry.of("summaries", lambda d: d.where in months))
-                summaries.append(_with_late(old, daily_summary(fresh, tz, exact=True)))
+                summaries.append(_with_late(old, daily_summary(fresh, tz, exact=True), ledger))
             rejects.keep(_counted(known), f"{root}/rejects", self.id)
         if summaries:
             both = summaries[0] if len(summaries) == 1 else summaries[0].unionByName(summaries[1])
@@ -355,14 +369,15 @@ class Delivery:
 def _by_ledger(spark: SparkSession, root: str, entry: Version, late: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Late rows of dropped days: those whose keys are new, and those that have been counted."""
     places = _places(late, "ledger", buckets)
-    known = _scan(spark, root, "ledger", entry, entry.of("ledger", lambda d: d.where in places)).select(*SAMPLE_KEY)
+    kept = entry.of("ledger", lambda d: d.where in places)
+    known = _side(_scan(spark, root, "ledger", entry, kept).select(*SAMPLE_KEY), *kept)
     return late.join(known, list(SAMPLE_KEY), "left_anti"), late.join(known, list(SAMPLE_KEY), "left_semi")
 
 
-def _with_late(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored days with further values; both have the sums before rounding."""
+def _with_late(old: DataFrame, new: DataFrame, late: list[Directory]) -> DataFrame:
+    """Stored days with further values, those of the keys in ``late``; both have the sums before rounding."""
     total, n = F.sum(F.coalesce("_total", "sum_value")), F.sum("sample_count")
-    both = old.join(new.select(*DAY_KEY), list(DAY_KEY), "left_semi").unionByName(new)
+    both = old.join(_side(new.select(*DAY_KEY), *late), list(DAY_KEY), "left_semi").unionByName(new)
     return both.groupBy(*DAY_KEY).agg(
         half_up(ratio(total, n), 4).alias("avg_value"), F.min("min_value").alias("min_value"),
         F.max("max_value").alias("max_value"), half_up(total, 4).alias("sum_value"), n.alias("sample_count"),

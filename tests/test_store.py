@@ -1,6 +1,7 @@
 """The versioned store: manifests, deltas and their rules, folding, writers at once, late rows of dropped days."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -22,6 +23,10 @@ def values(spark, root):
     return {(r.user_id, r.started_at): r.value for r in tables.stored_samples(spark, root).collect()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def in_force(spark, root):
     return manifest.current(spark, root).directories
 
@@ -216,3 +221,33 @@ def test_the_first_whole_day_of_a_month():
     assert {z: str(tables.first_whole_day("2024-03", z)) for z in ZONES} == {
         "Asia/Tokyo": "2024-03-02", "America/Los_Angeles": "2024-03-01", "America/New_York": "2024-03-01",
         "Pacific/Kiritimati": "2024-03-02"}
+
+
+def test_large_deltas_are_not_broadcast(spark, make, tmp_path):
+    """Their files are small beside their rows, which Spark's size check does not see."""
+    root = str(tmp_path / "r")
+    s = make([("u1", H, 1, "2024-01-05 12:00")])
+    tables.publish(spark, root, s, empty_summaries(s), buckets=1)
+    many = spark.range(tables.FEW + 1).select(
+        F.lit("u2").alias("user_id"), F.lit(H).alias("metric_type"), F.lit(1.0).alias("value"), F.lit("u").alias("unit"),
+        F.lit("Ring").alias("source_device"), F.timestamp_seconds(F.lit(1_704_456_000) + F.col("id")).alias("started_at"),
+        F.lit(None).cast("timestamp").alias("ended_at"), F.lit(None).cast("string").alias("metadata"), F.col("id").alias("seq"))
+    tables.upsert_into_tiers(spark, root, many.limit(10))
+    assert "BroadcastHashJoin" in plan(tables.stored_samples(spark, root))
+    tables.upsert_into_tiers(spark, root, many)
+    assert {d.rows for d in in_force(spark, root) if d.tier == "samples"} == {1, 10, tables.FEW + 1}
+    assert "BroadcastHashJoin" not in plan(tables.stored_samples(spark, root))
+    assert tables.stored_samples(spark, root).count() == tables.FEW + 2
+
+
+def test_manifests_without_row_counts_are_read(spark, make, tmp_path):
+    root = str(tmp_path / "r")
+    s = make([("u1", H, 1, "2024-01-05 12:00")])
+    tables.publish(spark, root, s, empty_summaries(s), buckets=1)
+    tables.upsert_into_tiers(spark, root, make([("u1", H, 2, "2024-01-05 12:00")]))
+    (path,) = [p for p in (tmp_path / "r" / manifest.MANIFESTS).iterdir() if p.name == manifest.current(spark, root).settings["manifest"]]
+    lines = [json.loads(x)[:-1] for x in path.read_text().splitlines()]
+    path.write_text("".join(json.dumps(x) + "\n" for x in lines))
+    path.with_name(f".{path.name}.crc").unlink()
+    assert {d.rows for d in in_force(spark, root)} == {None}
+    assert list(values(spark, root).values()) == [2]
