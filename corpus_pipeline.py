@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import lines, near, packing, pii, toxicity
+from pulseframe.llm import lines, near, packing, pii, simhash, toxicity
 from pulseframe.llm.queries import pii_key, table, with_test_key
-from pulseframe.llm.shared import scratch
+from pulseframe.llm.shared import scratch, store
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -31,12 +31,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(out.select(*docs.columns))
 
 
+def fingerprint_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text) and the component of the document's SimHash fingerprint."""
+    prints = store(simhash.fingerprints(docs.withColumn("th", F.xxhash64("text")), keys=("doc_id", "th")))
+    return prints.join(simhash.clusters(prints), "fp").select("doc_id", "th", F.col("component").alias("cluster"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays, the one of the smallest
-    doc_id.  A document is a pair of doc_id and text: another text under the same id is another document, and of rows that
-    repeat both, one stays.  Documents without a doc_id all stay."""
+    """Of each group of near copies one document stays, the one of the smallest doc_id.  Near copies are documents that op2's
+    operator links, by fingerprints that differ in two bits at most, and those whose five-word shingles have a similarity of 0.8
+    or more, which fingerprints alone would mostly miss; a group is all that links of either kind reach.  A document is a pair of
+    doc_id and text: another text under the same id is another document, and of rows that repeat both, one stays.  Documents
+    without a doc_id all stay."""
     own = "_text_hash"
-    groups = near.near_copies(docs).groupBy("doc_id", F.col("th").alias(own)).agg(
+    alike = fingerprint_clusters(docs.where("doc_id IS NOT NULL"))
+    groups = near.near_copies(docs, alike=alike).groupBy("doc_id", F.col("th").alias(own)).agg(
         F.max("leads").alias("leads"), F.count("*").alias("rows"))
     rows = docs.withColumn(own, F.xxhash64("text"))
     others = groups.where("NOT leads").select("doc_id", own)

@@ -1,6 +1,7 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands propose, exact counts decide, crowds included.
 
 Two documents are linked if their sets of five-word shingles have a similarity of 0.8 or more; linked ones share a component.
+Links that another method has found, such as `simhash`, may be given and count alike.
 
 1. Documents with one set of shingles are one node, so copies of a text count once from here on.
 2. Each of 25 bands joins five minima into a key. A pair of similarity 0.8 shares no key with a chance of (1 - 0.8^5)^25,
@@ -232,9 +233,18 @@ def crowd_links(crowds: DataFrame, block: int = BLOCK) -> DataFrame:
     return links
 
 
-def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _joined(prints: DataFrame, alike: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes whose documents ``alike`` (doc_id, th, cluster) has in one cluster."""
+    # Rows may repeat doc_id and text on both sides.
+    held = prints.select("doc_id", "th", "node").distinct().join(alike.distinct(), ["doc_id", "th"]).select("cluster", "node").distinct()
+    least = held.groupBy("cluster").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    return held.join(least, "cluster").where("node > b").select(F.col("node").alias("a"), "b")
+
+
+def near_copies(docs: DataFrame, block: int = BLOCK, alike: DataFrame | None = None) -> DataFrame:
     """doc_id, th (hash of the text), component_id (the smallest doc_id that links reach), and whether the document ``leads``: it
-    has the smallest (doc_id, th) of its component."""
+    has the smallest (doc_id, th) of its component.  ``alike`` (doc_id, th, cluster) has documents that are linked already: those of
+    one cluster."""
     prints = store(_prints(docs))
     nodes = store(prints.groupBy("node").agg(
         F.min(F.struct("doc_id", "th")).alias("first"), F.first(F.struct("n", "keys")).alias("p"))
@@ -253,7 +263,8 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     least = large.groupBy("key").agg(F.min("node").alias("least"))
     crowds = components(large.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
     links = crowd_links(crowds.select("node", F.xxhash64("component").alias("crowd")).join(sets, "node"), block)
-    linked = components(compared.unionByName(links))
+    linked = components(links.unionByName(compared) if alike is None else
+                        links.unionByName(compared).unionByName(_joined(prints, alike)))
     named = nodes.select("node", "first").join(linked, "node", "left").select(
         "node", "first", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("lead"))

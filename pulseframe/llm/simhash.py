@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.components import components
-from pulseframe.llm.shared import store
+from pulseframe.llm.shared import releasing, store
 
 BITS, RADIUS, SHINGLE, SEED, SMALL = 64, 2, 3, 42, 8
 _BLOCK = 1 << 16
@@ -64,15 +64,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keys`` of each row, all long, and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch["text"]), np.uint64, len(batch))
-            yield pa.record_batch([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([*(batch[k] for k in keys), pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    kind = ", ".join(f"{k} long" for k in (*keys, "fp"))
+    return docs.select(*keys, "text").mapInArrow(releasing(run), kind)
 
 
 def near_links(prints: DataFrame, small: int = SMALL) -> DataFrame:
@@ -97,13 +98,18 @@ def near_links(prints: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach."""
-    prints = store(fingerprints(docs, shingle, seed))
+def clusters(prints: DataFrame) -> DataFrame:
+    """Each ``fp`` of ``prints``, the smallest doc_id that has it (first), and its component, the smallest ``fp`` that links reach."""
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(near_links(firsts.select("fp")))
-    named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach."""
+    prints = store(fingerprints(docs, shingle, seed))
+    named = clusters(prints)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "component").select("fp", "component_id")
     return prints.join(ids, "fp").select(

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pulseframe.llm import near
+from pulseframe.llm import near, simhash
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -157,3 +157,23 @@ def test_documents_are_pairs_of_id_and_text(spark):
     assert out.columns == frame.columns
     got = sorted((str(r.doc_id), (r.text or "")[:3]) for r in out.collect())
     assert got == sorted([("1", a[:3]), ("2", b[:3]), ("3", c[:3]), ("4", long[:3]), ("6", ""), ("None", a[:3]), ("None", "")])
+
+
+def test_near_dedup_has_the_links_of_fingerprints(spark):
+    """Documents within two bits of each other are near copies, also where their sets of shingles are not; groups reach across
+    both kinds of links."""
+    rng = random.Random(3)
+    phrase, other = ([f"{p}{i}" for i in range(40)] for p in "pq")
+    # Much of the same over and over, and a few words of their own: repeats count in fingerprints, not in sets.
+    texts = [" ".join(phrase * 30 + [f"d{d}w{k}" for k in range(24)]) for d in range(2)]
+    # A near copy by shingles of the second, but with a fingerprint of its own.
+    texts.append(" ".join(phrase * 3 + [f"d1w{k}" for k in range(24)]))
+    texts.append(" ".join(other))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(3)]
+    apart = [[(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for b in texts] for a in texts]
+    assert apart[0][1] <= 2 and similarity(texts[0], texts[1]) < 0.8
+    assert min(apart[0][2], apart[1][2]) > 2 and similarity(texts[1], texts[2]) >= 0.8 > similarity(texts[0], texts[2])
+    rows = [(d, t, "en") for d, t in enumerate(texts)] + [(None, texts[0], "en"), (7, texts[3], "en"), (7, texts[0], "en"), (3, texts[3], "en")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == [(d, texts[d]) for d in (0, 3, 4, 5, 6)]
+    assert sum(r.doc_id is None for r in out) == 1
