@@ -7,7 +7,7 @@ places is a unit. A text in which spaces meet other white space is taken as one
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +17,10 @@ import regex
 _SPACE, _NO_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 #: Texts are taken together up to this many bytes.
 _CHUNK = 16 << 20
+#: Keys beyond this length are not remembered.
+_LONGEST = 64
+#: Distinct units that are made together.
+_AHEAD = 50_000
 
 
 def pretokens(pattern: str) -> Callable[[str], list[str]]:
@@ -28,22 +32,33 @@ class Bounded(dict):
     """Remembers what ``make`` returned for a key, in two generations of at most ``most`` entries each.
 
     When the younger one is full it becomes the older one, and what is asked for again moves back: frequent keys stay.
+    ``make_many`` does the same for a list of keys.
     """
 
-    def __init__(self, make: Callable[[str], object], most: int):
+    def __init__(self, make: Callable[[str], object], most: int, make_many: Callable[[list[str]], list] | None = None):
         super().__init__()
-        self._make, self._most, self._older = make, most, {}
+        self._make, self._most, self._make_many, self._older = make, most, make_many, {}
 
     def __missing__(self, key: str) -> object:
         value = self._older.get(key)
         if value is None:
             value = self._make(key)
-        if len(key) <= 64:
+        self._remember(key, value)
+        return value
+
+    def _remember(self, key: str, value: object) -> None:
+        if len(key) <= _LONGEST:
             if len(self) >= self._most:
                 self._older = dict(self)
                 self.clear()
             self[key] = value
-        return value
+
+    def ahead(self, keys: Iterable[str]) -> None:
+        """Makes those of the keys that are not remembered, all together; they will be asked for next."""
+        older = self._older
+        new = list({k for k in keys if k not in self and k not in older and len(k) <= _LONGEST})
+        for key, value in zip(new, self._make_many(new) if new else ()):
+            self._remember(key, value)
 
 
 def chunks(text: pa.Array, most: int = _CHUNK) -> Iterator[pa.Array]:
@@ -59,14 +74,23 @@ def chunks(text: pa.Array, most: int = _CHUNK) -> Iterator[pa.Array]:
         yield text.slice(start)
 
 
-def encode_texts(text: pa.Array, encode: Callable[[str], object]) -> Iterator[list]:
-    """For each text the list of what ``encode`` returns for its units; ``encode`` should remember frequent ones."""
+def encode_texts(text: pa.Array, encode: Callable[[str], object],
+                 ahead: Callable[[Iterable[str]], object] | None = None) -> Iterator[list]:
+    """For each text the list of what ``encode`` returns for its units; ``encode`` should remember frequent ones.
+
+    ``ahead`` is told of units that are to be encoded next.
+    """
     for part in chunks(pc.fill_null(text, "").cast(pa.large_string())):
         pieces = pc.split_pattern(part, " ")
         coded = pieces.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
         loose = {i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()}
-        values = [None if i in loose else encode(" " + w) for i, w in enumerate(words)]
+        values = []
+        for a in range(0, len(words), _AHEAD):
+            units = [None if i in loose else " " + w for i, w in enumerate(words[a:a + _AHEAD], a)]
+            if ahead:
+                ahead(u for u in units if u is not None)
+            values += [None if u is None else encode(u) for u in units]
         index, ends = coded.indices.to_numpy(), pieces.offsets.to_numpy().tolist()
         first = ends[0]
         for k, whole in enumerate(part):

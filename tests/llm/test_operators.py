@@ -436,6 +436,30 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encoding_digests(spark.createDataFrame([], DOCS), MULTI, public_tokenizers.PATTERN).collect() == []
 
 
+def test_pretokens_that_share_a_queue_are_merged_each_in_its_own_order(monkeypatch):
+    """Ranks in no order: what a merge makes may have a lower rank than the merge itself."""
+    monkeypatch.setattr(bpe, "_TOGETHER", 300)
+    for seed in range(40):
+        rng = random.Random(seed)
+        tokens = [bytes([b]) for b in b"abcd"] + sorted({bytes(rng.choices(b"abcd", k=rng.randint(2, 5))) for _ in range(60)})
+        rng.shuffle(tokens)
+        ranks = {t: 7 * i for i, t in enumerate(tokens)}
+        codec = bpe.Codec(ranks, ".")
+
+        def plain(data):
+            parts = [data[i:i + 1] for i in range(len(data))]
+            while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+                i = min(pairs)[1]
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            return [ranks[data]] if data in ranks else [ranks[p] for p in parts]
+
+        words = [bytes(rng.choices(b"abcd", k=rng.randint(0, 60))) for _ in range(80)] + [b"abcd" * 100]
+        assert list(codec.encode_pretokens(words)) == [plain(w) for w in words]
+        assert codec.encode_pretoken(words[-1]) == plain(words[-1])
+    with pytest.raises(KeyError):
+        list(codec.encode_pretokens([b"ab", b"axb"]))
+
+
 def test_pieces_have_the_ids_of_the_library(spark):
     library = Tokenizer.from_file(JSON)
     library.encode_special_tokens = True
