@@ -2,7 +2,8 @@
 
 Duplicates are resolved by aggregation (`max_by` / `min_by` on the arrival
 order), which combines on the map side: a key with a third of all rows costs
-one row per task in the shuffle.
+one row per task in the shuffle.  That aggregation sorts, so a task holds the rows of its
+split; where the caller knows how many rows there are, they are spread over as many tasks first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from ..schema import MAX_BATCH, MAX_STRING, SAMPLE_COLUMNS, SAMPLE_KEY, SLEEP
 
 CORRUPT = "_corrupt_record"  # where Spark's JSON reader puts a line that it cannot read
 ARRIVAL = "arrival"          # a sample's place in the order of arrival, finer than `seq`, the number of its batch
+#: Rows that a task sorts, where their number is known.
+SORTED = 100_000
+#: Tasks that rows are spread over at most: up to so many, Spark's shuffle writes rows straight to files (its
+#: `spark.shuffle.sort.bypassMergeThreshold`); beyond, a task that reads a large split would hold all of it.
+SPREAD = 200
 
 
 def check_batches(batches: DataFrame, max_samples: int | None = MAX_BATCH, max_string: int | None = MAX_STRING) -> DataFrame:
@@ -98,16 +104,32 @@ def rejects(batches: DataFrame, batch_order: Column | str) -> DataFrame:
     return bad.unionByName(samples.select("user_id", "batch_no", "reason", content.alias("content")))
 
 
+def _order(df: DataFrame) -> Column:
+    return F.col(ARRIVAL) if ARRIVAL in df.columns else F.coalesce("seq", F.lit(-1 << 63))
+
+
 def _pick(df: DataFrame, key, chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
-    order = F.col(ARRIVAL) if ARRIVAL in rest else F.coalesce("seq", F.lit(-1 << 63))
-    return (df.groupBy(*key).agg(chooser(F.struct(*rest), order).alias("_r"))
+    return (df.groupBy(*key).agg(chooser(F.struct(*rest), _order(df)).alias("_r"))
             .select(*key, "_r.*").select(*df.columns))
 
 
-def latest_per_key(df: DataFrame, key=SAMPLE_KEY) -> DataFrame:
-    """One row per key, the last to arrive: by ``arrival`` where there is one, else by ``seq``."""
-    return _pick(df, key, F.max_by)
+def _spread(df: DataFrame, key, n: int) -> DataFrame:
+    """Rows dealt to `n` tasks by key and ``_share``; the rows of one key fall into many shares."""
+    return df.withColumn("_share", F.pmod(F.xxhash64(_order(df)), F.lit(n))).repartition(n, *key, "_share")
+
+
+def latest_per_key(df: DataFrame, key=SAMPLE_KEY, rows: int = 0) -> DataFrame:
+    """One row per key, the last to arrive: by ``arrival`` where there is one, else by ``seq``.
+
+    With the number of `rows`, where it is known, no task sorts a whole split of the input: the last row of
+    each key and share is found first, in tasks of about `SORTED` rows, then the last of each key.
+    """
+    if rows <= SORTED:
+        return _pick(df, key, F.max_by)
+    n = min(SPREAD, max(-(-rows // SORTED), df.sparkSession.sparkContext.defaultParallelism))
+    shares = _pick(_spread(df, key, n), (*key, "_share"), F.max_by).drop("_share")
+    return _pick(shares.repartition(n, *key), key, F.max_by)
 
 
 def first_per_key(df: DataFrame, key=SAMPLE_KEY) -> DataFrame:

@@ -45,8 +45,9 @@ def ingest_batches(spark: SparkSession, landing: str, sink: str, checkpoint: str
 
 
 def current(spark: SparkSession, sink: str) -> DataFrame:
-    """The appended samples, last write per key."""
-    return ingest.latest_per_key(spark.read.parquet(sink)).select(*S.SAMPLE_COLUMNS)
+    """The appended samples, last write per key; their number, which is in the files' footers, is how widely they are spread."""
+    appended = spark.read.parquet(sink)
+    return ingest.latest_per_key(appended, rows=appended.count()).select(*S.SAMPLE_COLUMNS)
 
 
 def upsert_batches(spark: SparkSession, landing: str, root: str, checkpoint: str, max_samples: int | None = S.MAX_BATCH,

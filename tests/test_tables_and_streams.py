@@ -8,7 +8,7 @@ from pulseframe import schema as S
 from pulseframe.operators import daily, ingest, retention
 from pulseframe.sources import json_batches, manifest, tables, xml_export
 from pulseframe.streaming import pipelines
-from tests.conftest import rows
+from tests.conftest import at, rows
 
 
 def files(path):
@@ -147,6 +147,25 @@ def test_stream_ingest_restarts_where_it_stopped(spark, tmp_path):
     assert rows(tables.stored_samples(spark, root).select("value"), "value") == [(30.0,), (40.0,)]
 
 
+def test_current_sorts_a_bounded_number_of_rows_in_a_task(spark, tmp_path, monkeypatch):
+    sink, n = str(tmp_path / "sink"), 3000
+    key = [("u0", 0) if i % 3 == 0 else (None if i % 50 == 1 else f"u{i % 7}", i % 400) for i in range(n)]  # one key has a third
+    made = [(u, S.HRV, float(i), "ms", "d", at("2026-01-01 00:00") + dt.timedelta(minutes=t), None, None, i) for i, (u, t) in enumerate(key)]
+    layout = "user_id string, metric_type string, value double, unit string, source_device string, started_at timestamp, ended_at timestamp, metadata string, seq long"
+    arrival = F.struct(F.col("seq").alias("number"), F.lit("").alias("file"), F.lit(0).alias("block"), F.col("seq").alias("line"), F.lit(0).alias("place"))
+    spark.createDataFrame(made, layout).withColumn(ingest.ARRIVAL, arrival).coalesce(1).write.parquet(f"{sink}/micro_batch=0")
+    want = {k: float(i) for i, k in enumerate(key)}
+    monkeypatch.setattr(ingest, "SORTED", 100)
+    got = pipelines.current(spark, sink)
+    assert sorted(r["value"] for r in got.collect()) == sorted(want.values())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[1]
+    assert "Sort" not in plan[plan.rindex("Exchange hashpartitioning"):]  # not the split that a task reads
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    dealt = ingest._spread(spark.read.parquet(sink), S.SAMPLE_KEY, 30).groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < 300
+
+
 def test_a_poisoned_batch_does_not_stop_the_stream(spark, tmp_path):
     landing, root, checkpoint, rejects = (str(tmp_path / n) for n in ("landing", "store", "cp", "rejects"))
     batch(spark, landing, 1, 10)
